@@ -4,7 +4,7 @@ Six of the nine kinds follow a pattern and are found with native expressions. Th
 three (person names, driver and medical licences) need a model: pass ``recognizer``, a
 pandas UDF text -> array<struct<entity:string,value:string>>."""
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
@@ -79,13 +79,17 @@ def detect_entities(text, recognizer=None) -> Column:
     return F.concat(*parts)
 
 
-def mask_entities(text) -> Column:
-    """Every rule entity replaced by its <KIND> tag."""
-    out = F.col(text) if isinstance(text, str) else text
+def mask_entities(df: DataFrame, column="content") -> DataFrame:
+    """Every rule entity replaced by its <KIND> tag; one projection per kind."""
+    out = df
     for kind, pattern in ENTITY_PATTERNS.items():
+        text = F.col(column)
         if kind in _CHECKS:
-            # only checked values are replaced: fold over the values found in this text
-            out = F.aggregate(F.array_distinct(entity_values(out, kind)), out, _replaced(kind))
+            # only checked values are replaced: fold over the distinct values of this text
+            found = F.array_distinct(entity_values(column, kind))
+            out = out.withColumn("_found", found).withColumn(
+                column, F.aggregate("_found", text, _replaced(kind))
+            )
         else:
-            out = F.regexp_replace(out, pattern, f"<{kind}>")
-    return out
+            out = out.withColumn(column, F.regexp_replace(text, pattern, f"<{kind}>"))
+    return out.drop("_found")

@@ -100,3 +100,18 @@ def task_plan(response, query) -> Column:
     trimmed = F.regexp_replace(body, r"^\s+|\s+$", "")
     parsed = F.when(F.startswith(trimmed, F.lit("[")), F.from_json(trimmed, PLAN_SCHEMA))
     return F.coalesce(parsed, fallback)
+
+
+def with_reject_reasons(df):
+    """Add ``reasons``: the request fields outside their limits. An empty list means valid."""
+    checks = {
+        "username": F.length("username").between(1, 100),
+        "role": F.col("role").isin(*C.ROLES),
+        "query": F.length("query").between(1, 1000),
+        "k": F.col("k").between(1, 20),
+        "framework": F.col("framework").isin(*C.FRAMEWORK_DOMAINS),
+    }
+    failed = [
+        F.when(~F.coalesce(ok, F.lit(False)), F.lit(field)) for field, ok in checks.items()
+    ]
+    return df.withColumn("reasons", F.array_compact(F.array(*failed)))

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from custodia import constants as C
 from custodia.functions.text import cut
 from custodia.operators.trailing import trailing_counts
+from custodia.session import union
 
 ALERT_SCHEMA = (
     "alert_type string, type string, timestamp timestamp, user string, session_id string, "
@@ -100,10 +101,7 @@ def create_alert(df: DataFrame, alert_type, message, severity=C.MEDIUM, user=Non
 
 def union_alerts(*alerts: DataFrame) -> DataFrame:
     """Alerts of all kinds in one table; columns a kind lacks are null."""
-    first, *rest = alerts
-    for other in rest:
-        first = first.unionByName(other, allowMissingColumns=True)
-    return first
+    return union(*alerts, allow_missing=True)
 
 
 def filter_alerts(alerts: DataFrame, severity=None) -> DataFrame:

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from custodia import constants as C
+from custodia.session import union
 
 
 def recent_n(df: DataFrame, n: int, ts="ts", order_id="request_id") -> DataFrame:
@@ -15,6 +16,48 @@ def retain_last_n(df: DataFrame, n=C.LOG_RETENTION, ts="ts", order_id="request_i
     return recent_n(df, n, ts, order_id)
 
 
+def positions(df: DataFrame, *order) -> DataFrame:
+    """1-based position of each row of a short result, for readers that want it in order."""
+    ordered = F.sort_array(F.collect_list(F.struct(*order, F.struct(*df.columns).alias("row"))))
+    return (
+        df.agg(ordered.alias("rows"))
+        .select(F.posexplode("rows").alias("at", "r"))
+        .select("r.row.*", (F.col("at") + 1).cast("long").alias("position"))
+    )
+
+
+def interaction_log(rows: DataFrame, ids) -> DataFrame:
+    """One log row per answered (or failed) query, with the defaults of anonymous users."""
+    from custodia.functions.text import preview
+
+    answer = F.coalesce("response", F.concat(F.lit("Error: "), F.col("error")))
+    micros = F.unix_micros("end_ts") - F.unix_micros("start_ts")
+    return rows.select(
+        *ids,
+        F.coalesce("username", F.lit("anonymous")).alias("user"),
+        F.coalesce("role", F.lit("guest")).alias("user_role"),
+        "query",
+        F.col("start_ts").alias("timestamp"),
+        preview(answer).alias("response_preview"),
+        (micros / 1e6).alias("duration_seconds"),
+        F.when(F.col("error").isNull(), "success").otherwise("error").alias("status"),
+        "error",
+    )
+
+
+def dashboard_summary(violations: DataFrame, alerts: DataFrame, audit: DataFrame,
+                      retention=C.LOG_RETENTION) -> DataFrame:
+    """The totals of all three logs as one row."""
+    kept = retain_last_n(violations, retention, "recorded_at", "violation_id")
+    guard = kept.agg(
+        F.count("*").alias("total_violations"),
+        F.count_if(F.col("severity") == C.CRITICAL).alias("critical_violations"),
+        F.count_if(F.col("severity") == C.HIGH).alias("high_violations"),
+    )
+    parts = union(guard, security_metrics(alerts), audit_counters(audit), allow_missing=True)
+    return parts.agg(*[F.max(c).alias(c) for c in parts.columns])
+
+
 def stage_times(df: DataFrame) -> DataFrame:
     """Seconds to milliseconds per stage, their total, query length and hour key."""
     total = F.col("retrieval_time") + F.col("validation_time") + F.col("generation_time")
@@ -53,7 +96,7 @@ def system_metrics(metrics: DataFrame, history=1000) -> DataFrame:
         at(0.95).alias("p95_latency_ms"),
         at(0.99).alias("p99_latency_ms"),
     )
-    both = totals.unionByName(latency, allowMissingColumns=True)
+    both = union(totals, latency, allow_missing=True)
     return both.agg(*[F.max(c).alias(c) for c in both.columns])
 
 
@@ -136,9 +179,10 @@ def audit_counters(audit: DataFrame) -> DataFrame:
     )
 
 
-def audit_events(requests: DataFrame) -> DataFrame:
+def audit_events(requests: DataFrame, *ids) -> DataFrame:
     """Audit rows of both kinds from requests with an ``allowed`` flag."""
     common = [
+        *ids,
         F.col("ts").alias("timestamp"),
         F.col("username").alias("user"),
         F.col("role").alias("user_role"),
@@ -158,7 +202,7 @@ def audit_events(requests: DataFrame) -> DataFrame:
         "documents_retrieved",
         "documents_validated",
     )
-    return access.unionByName(queries, allowMissingColumns=True)
+    return union(access, queries, allow_missing=True)
 
 
 def latency_histogram(df: DataFrame, keys, seconds: str, bounds=None) -> DataFrame:

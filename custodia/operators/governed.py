@@ -9,6 +9,7 @@ from custodia import constants as C
 from custodia.functions.roles import with_general_role
 from custodia.functions.text import user_prompt
 from custodia.operators import access, alerts, guardrails, retrieval
+from custodia.session import materialize, union
 
 _DOC_COLUMNS = ["id", "title", "content", "domain"]
 
@@ -26,9 +27,8 @@ def secure_answer_inputs(ranked: DataFrame, corpus: DataFrame, queries: DataFram
     if framework:
         valid = access.compliance_filter(docs, framework)
         kept = F.col("documents_compliant")
-        known = F.when(F.col(framework).isin(*C.FRAMEWORK_DOMAINS), F.col(framework)).otherwise(F.col(framework))
         refusal = F.concat(
-            F.lit("No documents available that comply with "), F.upper(known),
+            F.lit("No documents available that comply with "), F.upper(framework),
             F.lit(" requirements for your access level."),
         )
     else:
@@ -87,9 +87,13 @@ def retrieve_and_validate(requests: DataFrame, retrieve, corpus: DataFrame, verd
         "reason", _reason("does not have access to", "domain")
     )
 
-    judged = guardrails.input_gate(
-        open_requests, verdicts, verdict_key, verdict_key, per_minute, per_user_hour,
-        order_id="query_id",
+    # the gate and the ranking feed every output table: write them once (no texts but the query's)
+    judged = materialize(
+        guardrails.input_gate(
+            open_requests, verdicts, verdict_key, verdict_key, per_minute, per_user_hour,
+            order_id="query_id",
+        ),
+        "gate",
     )
     safe = judged.filter("is_safe")
     violations = guardrails.violation_record(judged.filter(~F.col("is_safe")), query="query")
@@ -99,9 +103,14 @@ def retrieve_and_validate(requests: DataFrame, retrieve, corpus: DataFrame, verd
         "query_id", "role", "department_role", "username", "session_id", "ts", "query",
         F.col("domain").alias("wanted_domain"),
     )
-    found = retrieval.with_documents(ranked.join(wanted, "query_id"), corpus, *_DOC_COLUMNS)
+    found = materialize(
+        retrieval.with_documents(ranked.join(wanted, "query_id"), corpus, "domain"), "found"
+    )
     in_domain = retrieval.domain_or_public(found)
-    valid = access.validate_documents(in_domain)
+    texts = retrieval.with_documents(
+        access.access_filter(in_domain), corpus, "id", "title", "content"
+    )
+    valid = access.annotate(texts)
     order = Window.partitionBy("query_id").orderBy("rank")  # at most 2k rows per query
     documents = valid.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
@@ -109,7 +118,7 @@ def retrieve_and_validate(requests: DataFrame, retrieve, corpus: DataFrame, verd
         "reason", _reason("attempted to access document in", "domain")
     )
     denial = ["ts", "username", "session_id", "role", "domain", "query", "reason"]
-    denials = refused.select(*denial).unionByName(late.select(*denial))
+    denials = union(refused.select(*denial), late.select(*denial))
 
     denied_events = denials.select(
         F.lit("access_control").alias("event_type"),
@@ -117,7 +126,7 @@ def retrieve_and_validate(requests: DataFrame, retrieve, corpus: DataFrame, verd
         F.col("role").alias("user_role"), "domain", F.lit("denied").alias("decision"),
     )
     shown = access.validation_counts(in_domain, ["query_id"]).select("query_id", "documents_validated")
-    totals = ranked.groupBy("query_id").agg(F.count("*").alias("documents_retrieved"))
+    totals = found.groupBy("query_id").agg(F.count("*").alias("documents_retrieved"))
     query_events = (
         wanted.join(totals, "query_id", "left").join(shown, "query_id", "left").select(
             F.lit("query").alias("event_type"),
@@ -132,27 +141,43 @@ def retrieve_and_validate(requests: DataFrame, retrieve, corpus: DataFrame, verd
     )
     return ToolRun(
         documents,
-        denied_events.unionByName(query_events, allowMissingColumns=True),
+        union(denied_events, query_events, allow_missing=True),
         raised,
         violations,
     )
 
 
-def run_task_plan(plans: DataFrame, tools: DataFrame) -> DataFrame:
-    """Tasks of parsed plans in order of priority, one result per agent (the last one wins).
-
-    ``plans``: query_id, plan (array of agent, task, priority); ``tools``: agent, tool."""
-    tasks = plans.select("query_id", F.posexplode("plan").alias("pos", "t")).select(
+def _tasks(plans):
+    return plans.select("query_id", F.posexplode("plan").alias("pos", "t")).select(
         "query_id", "pos",
         F.coalesce("t.agent", F.lit(C.DEFAULT_AGENT)).alias("agent"),
         F.coalesce("t.task", F.lit("")).alias("task"),
         F.coalesce("t.priority", F.lit(C.DEFAULT_PRIORITY)).alias("priority"),
     )
-    known = tasks.withColumn(
+
+
+def plan_steps(plans: DataFrame) -> DataFrame:
+    """The tasks of each plan with their step: by priority, then as listed."""
+    order = Window.partitionBy("query_id").orderBy("priority", "pos")
+    return _tasks(plans).withColumn("step", F.row_number().over(order).cast("long"))
+
+
+def assigned_tasks(plans: DataFrame, tools: DataFrame) -> DataFrame:
+    """Tasks with the tool of their agent; unknown names go to the retriever, agents without a
+    tool yield nothing."""
+    known = _tasks(plans).withColumn(
         "agent", F.when(F.col("agent").isin(*C.AGENTS), F.col("agent")).otherwise(C.DEFAULT_AGENT)
     )
+    return known.join(F.broadcast(tools), "agent")
+
+
+def run_task_plan(plans: DataFrame, tools: DataFrame) -> DataFrame:
+    """One result per agent of a plan, the last one in order of priority.
+
+    ``plans``: query_id, plan (array of agent, task, priority); ``tools``: agent, tool, one row
+    per agent."""
     return (
-        known.join(F.broadcast(tools), "agent")
+        assigned_tasks(plans, tools)
         .groupBy("query_id", "agent")
         .agg(F.max(F.struct("priority", "pos", "task", "tool")).alias("m"))
         .select("query_id", "agent", "m.tool", "m.task", "m.priority")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from custodia import constants as C
 from custodia.operators import tfidf
 from custodia.operators.topk import SCORE_DIGITS, top_k
+from custodia.session import union
 
 METHODS = {"cosine": "semantic-pinecone", "l2": "semantic-faiss", "dot": "semantic-pinecone"}
 
@@ -37,7 +38,7 @@ def hits_union(semantic: DataFrame, keyword: DataFrame, metric="cosine",
         (F.col("score") * wk).alias("relevance_score"),
         (F.col("rank") + 1_000_000).cast("long").alias("position"),
     )
-    return first.unionByName(second)
+    return union(first, second)
 
 
 def merge_hits(hits: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from custodia import constants as C
 from custodia.operators.topk import top_k
-from custodia.session import materialize
+from custodia.session import materialize, union
 
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
 
@@ -97,9 +97,7 @@ def vocabulary(docs: DataFrame, text="content", max_features=1000, max_df=0.95,
         .join(frequent.select(F.col("term").alias("_a")), F.col("words")[0] == F.col("_a"), "left_semi")
         .join(frequent.select(F.col("term").alias("_b")), F.col("words")[1] == F.col("_b"), "left_semi")
     )
-    candidates = words.filter(F.col("cf") >= floor).unionByName(
-        _stats(pairs).filter(F.col("cf") >= floor)
-    )
+    candidates = union(words, _stats(pairs)).filter(F.col("cf") >= floor)
     kept = (
         candidates.filter(F.col("df") <= limit)
         .orderBy(F.col("cf").desc(), "term")

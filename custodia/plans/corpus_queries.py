@@ -11,6 +11,7 @@ from custodia.plans.registry import query
 from custodia.plans.sql_views import entity_list, mask, role_mask, terms, with_views, words
 from custodia.plans.sql_views import text as lit
 from custodia.sources import tables as T
+from custodia.session import union
 
 # words that do occur in the shared documents, besides the rule terms
 EXTRA_TERMS = ["License", "the", "Une", "Password"]
@@ -313,7 +314,7 @@ def _responses(spark, sf_dir):
         (F.lit(-1) - doc).alias("rid"), doc.alias("conv_id"), F.col("text").alias("response"),
         T.pick(C.ROLES, F.floor(doc / 2)).alias("role"),
     )
-    return turns.unionByName(docs)
+    return union(turns, docs)
 
 
 def _entity_sql():
@@ -378,4 +379,4 @@ def _mask_kinds(column):
 
 @query("mask_entities", with_views("corpus", f"SELECT id, {_mask_kinds('content')} AS content FROM corpus"))
 def mask_entities(spark, sf_dir):
-    return T.corpus(spark, sf_dir).select("id", E.mask_entities("content").alias("content"))
+    return E.mask_entities(T.corpus(spark, sf_dir).select("id", "content"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from custodia import constants as C
 from custodia.operators import access, guardrails
+from custodia.session import union
 
 DOMAINS = ["finance", "hr", "health", "legal", "public"]
 CLASSIFICATIONS = ["confidential", "internal", "confidential", "confidential", "public"]
@@ -160,7 +161,7 @@ def violations(spark, sf_dir) -> DataFrame:
         F.lit(None).cast("string").alias("query"),
         F.timestamp_seconds(F.lit(1704067200) + F.col("id") * 60).alias("ts"),
     )
-    both = rate.unionByName(text)
+    both = union(rate, text)
     return both.select(
         "violation_id", "violation_type", "severity", "description",
         F.col("ts").alias("recorded_at"),
