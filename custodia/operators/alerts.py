@@ -63,11 +63,16 @@ def excessive_denials(denials: DataFrame, limit=C.MAX_DENIALS_PER_HOUR, user="us
                       order_id="request_id", micros="micros", seconds=3600,
                       cap=C.DENIAL_HISTORY) -> DataFrame:
     """A HIGH alert for each denial that is at least the ``limit``-th of its user's last hour."""
-    counted = trailing_counts(denials, [user], micros, order_id, seconds, "n").withColumn(
-        "n", F.least("n", F.lit(cap)).cast("long")
-    )
+    counted = trailing_counts(denials, [user], micros, order_id, seconds, "n_recent")
+    return excessive_alerts(counted, limit, user, cap)
+
+
+def excessive_alerts(counted: DataFrame, limit=C.MAX_DENIALS_PER_HOUR, user="username",
+                     cap=C.DENIAL_HISTORY) -> DataFrame:
+    """The alerts of denials that already carry their ``n_recent`` count."""
+    capped = counted.withColumn("n", F.least("n_recent", F.lit(cap)).cast("long"))
     number = F.col("n").cast("string")
-    return counted.filter(F.col("n") >= limit).select(
+    return capped.filter(F.col("n") >= limit).select(
         F.lit("excessive_denials").alias("alert_type"),
         F.lit("EXCESSIVE_DENIALS").alias("type"),
         F.col("ts").alias("timestamp"),

@@ -2,7 +2,7 @@
 
 import importlib
 
-_MODULES = ["corpus_queries", "log_queries", "retrieval_queries"]
+_MODULES = ["corpus_queries", "log_queries", "retrieval_queries", "source_queries", "stream_queries"]
 
 
 def load_all():
