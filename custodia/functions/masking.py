@@ -74,7 +74,7 @@ def with_role_patterns(df: DataFrame, role="role", domain="domain") -> DataFrame
     return df.join(
         table,
         (F.col(role) == F.col("rule_role"))
-        & (F.col("rule_domain").isNull() | (F.col("rule_domain") == F.col(domain))),
+        & ((F.col("rule_domain") == "*") | (F.col("rule_domain") == F.col(domain))),
         "left",
     ).select(
         *df.columns,

@@ -24,12 +24,14 @@ def rate_limit_global(requests: DataFrame, limit=C.MAX_REQUESTS_PER_MINUTE, orde
 
 def rate_limit_user(requests: DataFrame, limit=C.MAX_REQUESTS_PER_USER_HOUR, user="username",
                     order_id="request_id", micros="micros", seconds=3600,
-                    cap=C.USER_HISTORY) -> DataFrame:
-    """Add ``n_user`` and ``blocked_user``. Give it the requests that passed the global limit."""
-    counted = trailing_counts(requests, [user], micros, order_id, seconds, "n_user")
-    return counted.withColumn("n_user", _capped("n_user", cap)).withColumn(
-        "blocked_user", F.col("n_user") > limit
-    )
+                    cap=C.USER_HISTORY, recorded=None) -> DataFrame:
+    """Add ``n_user`` and ``blocked_user``. With ``recorded``, a condition, the other requests
+    are not counted and get null."""
+    counted = trailing_counts(requests, [user], micros, order_id, seconds, "n_user", recorded)
+    capped = _capped("n_user", cap)
+    if recorded is not None:
+        capped = F.when(recorded, capped)
+    return counted.withColumn("n_user", capped).withColumn("blocked_user", F.col("n_user") > limit)
 
 
 def rate_limits(requests: DataFrame, per_minute=C.MAX_REQUESTS_PER_MINUTE,
@@ -37,13 +39,9 @@ def rate_limits(requests: DataFrame, per_minute=C.MAX_REQUESTS_PER_MINUTE,
                 order_id="request_id", micros="micros") -> DataFrame:
     """Both limits in order: a globally blocked request is not recorded for its user."""
     globally = rate_limit_global(requests, per_minute, order_id, micros)
-    passed = globally.filter(~F.col("blocked_global")).select(
-        user, micros, order_id
-    )
-    per_user = rate_limit_user(passed, per_user_hour, user, order_id, micros).select(
-        F.col(order_id).alias("_id"), "n_user", "blocked_user"
+    return rate_limit_user(
+        globally, per_user_hour, user, order_id, micros, recorded=~F.col("blocked_global")
     )
-    return globally.join(per_user, F.col(order_id) == F.col("_id"), "left").drop("_id")
 
 
 def rate_violation_columns() -> dict:
@@ -69,9 +67,9 @@ def moderation_gate(texts: DataFrame, verdicts: DataFrame, key: str, verdict_key
                     toxic="toxic") -> DataFrame:
     """Add ``unsafe``; a text without a verdict passes. Verdicts come as a table, so a model
     runs once over the texts and not once per request."""
-    table = verdicts.groupBy(F.col(verdict_key).alias("_key")).agg(F.max(toxic).alias("_toxic"))
-    return texts.join(table, F.col(key) == F.col("_key"), "left").select(
-        *texts.columns, (F.coalesce("_toxic", F.lit(0)) == 1).alias("unsafe")
+    unsafe = verdicts.filter(F.col(toxic) == 1).select(F.col(verdict_key).alias("_key")).distinct()
+    return texts.join(unsafe, F.col(key) == F.col("_key"), "left").select(
+        *texts.columns, F.col("_key").isNotNull().alias("unsafe")
     )
 
 

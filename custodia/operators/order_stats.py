@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 _ACCURACY = 20_000
 _MARGIN = 4.0 / _ACCURACY
 _SMALL = 50_000
+_SALTS = 64
 
 
 def order_statistics(df: DataFrame, keys, value: str, fractions) -> DataFrame:
@@ -44,7 +45,12 @@ def order_statistics(df: DataFrame, keys, value: str, fractions) -> DataFrame:
             F.count_if(F.col("_v") < F.col("wanted")[i]["lo"]).alias(f"b{i}") for i in range(size)
         ]
     )
-    joined = rows.join(brackets, keys)
+    # a hot key meets its bracket in _SALTS places
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64("_v"), F.lit(_SALTS)))
+    everywhere = brackets.withColumn(
+        "_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_SALTS - 1).cast("long")))
+    )
+    joined = salted.join(everywhere, [*keys, "_salt"])
     under = joined.groupBy(*keys).agg(below.alias("under"))
     inside = (
         joined.select(

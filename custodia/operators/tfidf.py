@@ -6,6 +6,8 @@ bigrams are formed. Terms in more than ``max_df`` of the documents are dropped,
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ from custodia import constants as C
 from custodia.operators.topk import top_k
 from custodia.session import materialize, union
 
+_INLINE_WORDS = 5000  # a word set up to this size is held by every task
+
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
 
 
@@ -73,6 +77,26 @@ def _exploded(docs: DataFrame, text: str, terms) -> DataFrame:
     return docs.select(F.inline(term_counts(terms(F.col(text)))))
 
 
+def _only(words: Column, known) -> Column:
+    """Words outside the set become null, so that pairs across them are no pairs."""
+    return F.transform(words, lambda w: F.when(w.isin(known), w))
+
+
+def _pair_counts(docs, text, stop_words, frequent):
+    """Counts per document of the bigrams of frequent words."""
+    head = [row[0] for row in frequent.limit(_INLINE_WORDS + 1).collect()]
+    if len(head) <= _INLINE_WORDS:
+        return _exploded(docs, text, lambda c: bigrams(_only(tokens(c, stop_words), head)))
+    # many words tie at the cut: filter by joins, the strategy is left to the optimizer
+    first, second = frequent.toDF("_a"), frequent.toDF("_b")
+    return (
+        _exploded(docs, text, lambda c: bigrams(tokens(c, stop_words)))
+        .withColumn("words", F.split("term", " "))
+        .join(first, F.col("words")[0] == F.col("_a"), "left_semi")
+        .join(second, F.col("words")[1] == F.col("_b"), "left_semi")
+    )
+
+
 def vocabulary(docs: DataFrame, text="content", max_features=1000, max_df=0.95,
                stop_words=None) -> DataFrame:
     """The fitted terms: (term, term_id, cf, df, idf). At most ``max_features`` rows.
@@ -88,18 +112,11 @@ def vocabulary(docs: DataFrame, text="content", max_features=1000, max_df=0.95,
     ranked = words.filter(F.col("df") <= limit).orderBy(F.col("cf").desc()).limit(max_features)
     cut = ranked.agg(F.min("cf").alias("cut"), F.count("*").alias("n")).first()
     floor = cut["cut"] if cut["n"] == max_features else 1
-
-    # size unknown (ties at the cut): the join strategy is left to the optimizer
-    frequent = words.filter(F.col("cf") >= floor).select("term")
-    pairs = (
-        _exploded(docs, text, lambda c: bigrams(tokens(c, stop_words)))
-        .withColumn("words", F.split("term", " "))
-        .join(frequent.select(F.col("term").alias("_a")), F.col("words")[0] == F.col("_a"), "left_semi")
-        .join(frequent.select(F.col("term").alias("_b")), F.col("words")[1] == F.col("_b"), "left_semi")
-    )
-    candidates = union(words, _stats(pairs)).filter(F.col("cf") >= floor)
+    reaching = words.filter(F.col("cf") >= floor)
+    pairs = _stats(_pair_counts(docs, text, stop_words, reaching.select("term")))
     kept = (
-        candidates.filter(F.col("df") <= limit)
+        union(reaching, pairs.filter(F.col("cf") >= floor))
+        .filter(F.col("df") <= limit)
         .orderBy(F.col("cf").desc(), "term")
         .limit(max_features)
     )
@@ -115,27 +132,49 @@ def vocabulary(docs: DataFrame, text="content", max_features=1000, max_df=0.95,
 
 
 def weigh(texts: DataFrame, vocab: DataFrame, key: str, text: str, stop_words=None) -> DataFrame:
-    """Per text with a known term: its unit-length sparse vector, array<struct<i,w>>."""
+    """Per text with a known term: its unit-length sparse vector, array<struct<i,w>>.
+
+    The vocabulary has at most ``max_features`` rows, so each task holds it: nothing is
+    shuffled. Terms are found and counted natively; tasks only look up weights, batch-wise."""
+    rows = vocab.select("term", "term_id", "idf").collect()
+    words = [row["term"] for row in rows if " " not in row["term"]]
+    pairs = [row["term"] for row in rows if " " in row["term"]]
+    pair_words = sorted({word for pair in pairs for word in pair.split(" ")})
+    position = {row["term"]: at for at, row in enumerate(rows)}
+    ids = np.array([row["term_id"] for row in rows], np.int32)
+    idf = np.array([row["idf"] for row in rows])
 
     def terms(c):
-        return _bind(tokens(c, stop_words), lambda w: F.concat(w, bigrams(w)))
-
-    known = F.broadcast(vocab.select("term", "term_id", "idf"))  # at most max_features rows
-    weighted = (
-        texts.select(key, F.inline(term_counts(terms(F.col(text)))))
-        .join(known, "term")
-        .select(key, "term_id", (F.col("tf") * F.col("idf")).alias("w"))
-    )
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")))
-    return (
-        weighted.groupBy(key)
-        .agg(norm.alias("norm"), F.collect_list(F.struct("term_id", "w")).alias("raw"))
-        .select(
-            key,
-            F.transform(
-                "raw", lambda s: F.struct(s["term_id"].alias("i"), (s["w"] / F.col("norm")).alias("w"))
-            ).alias("vec"),
-        )
+        def known(w):
+            single = F.filter(w, lambda t: t.isin(words))
+            if not pairs:
+                return single
+            double = F.filter(bigrams(_only(w, pair_words)), lambda t: t.isin(pairs))
+            return F.concat(single, double)
+
+        return _bind(tokens(c, stop_words), known)
+
+    counted = texts.select(F.col(key).cast("long").alias(key), term_counts(terms(F.col(text))).alias("c"))
+
+    def run(batches):
+        for batch in batches:
+            column = batch.column(1)
+            lengths = column.value_lengths().to_numpy(zero_copy_only=False)
+            flat = column.flatten()
+            encoded = flat.field(0).dictionary_encode()
+            lookup = np.array([position[t] for t in encoded.dictionary.to_pylist()], np.int64)
+            at = lookup[encoded.indices.to_numpy()]
+            weights = flat.field(1).to_numpy() * idf[at]
+            starts = np.r_[0, np.cumsum(lengths)].astype(np.int32)
+            norms = np.sqrt(np.add.reduceat(weights * weights, starts[:-1]))
+            weights = weights / np.repeat(norms, lengths)
+            entries = pa.StructArray.from_arrays([pa.array(ids[at]), pa.array(weights)], ["i", "w"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.ListArray.from_arrays(pa.array(starts), entries)], [key, "vec"]
+            )
+
+    return counted.filter(F.size("c") > 0).mapInArrow(
+        run, f"{key} long, vec array<struct<i:int,w:double>>"
     )
 
 

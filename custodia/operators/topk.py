@@ -16,8 +16,7 @@ from pyspark.sql import functions as F
 
 SCORE_DIGITS = 9  # ranking precision: hides the summation order of the product
 BROADCAST_BYTES = 64 << 20
-CELL_QUERIES = 4096
-CELL_ITEMS = 65_536
+CELL_BYTES = 64 << 20
 _SCORES_PER_STEP = 4_000_000
 
 
@@ -115,7 +114,7 @@ def _usable(df, key, vector, layout, dim):
     out = df.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("vec"))
     if layout == "dense":
         # ragged or missing vectors cannot be scored; ensure_dimension() reports them
-        out = out.filter(F.size("vec") == dim)
+        out = out.filter(F.size(F.array_compact("vec")) == dim)
     return out
 
 
@@ -151,10 +150,13 @@ def _with_broadcast_queries(items, head, k, dim, metric, layout, positive_only):
 
 
 def _with_cells(items, queries, k, dim, metric, layout, positive_only):
-    def blocks(df, size):
-        return max(1, math.ceil(df.count() / size))
+    # a cell holds at most this many rows of each side, at 8 bytes per dimension
+    rows = max(1, CELL_BYTES // (8 * dim))
 
-    q_blocks, i_blocks = blocks(queries, CELL_QUERIES), blocks(items, CELL_ITEMS)
+    def blocks(df):
+        return max(1, math.ceil(df.count() / rows))
+
+    q_blocks, i_blocks = blocks(queries), blocks(items)
 
     def placed(df, own, own_blocks, other, other_blocks):
         return df.withColumn(own, F.pmod(F.xxhash64("id"), F.lit(own_blocks))).withColumn(

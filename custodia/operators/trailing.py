@@ -43,11 +43,12 @@ def _slice_bases(marks, keys):
 
 
 def trailing_counts(events: DataFrame, keys, micros: str, order_id: str, width_seconds: int,
-                    out="n_recent") -> DataFrame:
+                    out="n_recent", counted=None) -> DataFrame:
     """Add, per row, how many rows of its key lie less than ``width_seconds`` back.
 
     The row itself counts; of the rows at its own instant those with a smaller id count.
-    ``micros`` is a bigint time in microseconds, ``order_id`` an integer that orders ties."""
+    ``micros`` is a bigint time in microseconds, ``order_id`` an integer that orders ties.
+    With ``counted``, a condition, only rows that meet it are counted; all rows are kept."""
     columns = events.columns
     constant = [] if keys else ["_all"]
     part = [*keys, *constant]
@@ -56,11 +57,13 @@ def trailing_counts(events: DataFrame, keys, micros: str, order_id: str, width_s
     )
     for name in constant:
         rows = rows.withColumn(name, F.lit(0))
+    one = F.lit(1) if counted is None else F.when(counted, 1).otherwise(0)
+    rows = rows.withColumn("_one", one.cast("long"))
 
-    counted = rows.groupBy(*part, "_t", "_chunk").agg(F.count("*").alias("n"))
+    instants = rows.groupBy(*part, "_t", "_chunk").agg(F.sum("_one").alias("n"))
     width_us = width_seconds * _SLICE_US
     # each counted instant twice: where it stands, and where its window starts
-    marks = counted.select(
+    marks = instants.select(
         *part,
         "_t",
         "_chunk",
@@ -85,7 +88,8 @@ def trailing_counts(events: DataFrame, keys, micros: str, order_id: str, width_s
     earlier = placed.groupBy(*part, "_t", "_chunk").agg(
         F.sum(sign * (F.col("before") + F.col("base"))).alias("_earlier")
     )
-    own = F.row_number().over(Window.partitionBy(*part, "_t", "_chunk").orderBy(order_id))
+    within = Window.partitionBy(*part, "_t", "_chunk").orderBy(order_id)
+    own = F.sum("_one").over(within.rowsBetween(Window.unboundedPreceding, 0))
     return rows.join(earlier, [*part, "_t", "_chunk"]).select(
         *columns, (F.col("_earlier") + own).cast("long").alias(out)
     )

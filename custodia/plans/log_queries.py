@@ -50,14 +50,13 @@ def validate_requests(spark, sf_dir):
 
 
 @query("message_text", """
-    SELECT conv_id, role, string_agg(text, ' ' ORDER BY turn) AS message FROM conversations WHERE text <> ''
-    GROUP BY conv_id, role""")
+    SELECT conv_id, turn, array_to_string(list_filter(string_split(text, chr(10)), lambda p: p <> ''), ' ') AS message
+    FROM conversations WHERE role = 'user' AND len(list_filter(string_split(text, chr(10)), lambda p: p <> '')) > 0""")
 def message_text(spark, sf_dir):
-    turns = T.table(spark, sf_dir, "conversations")
-    # a conversation has few turns; its parts are gathered in turn order
-    parts = F.transform(F.sort_array(F.collect_list(F.struct("turn", "text"))), lambda s: s["text"])
-    grouped = turns.groupBy("conv_id", "role").agg(parts.alias("parts"))
-    return grouped.select("conv_id", "role", text.message_text("parts").alias("message")).filter("message is not null")
+    """The lines of a user turn stand for the parts of its message."""
+    turns = T.table(spark, sf_dir, "conversations").filter("role = 'user'")
+    parts = turns.select("conv_id", "turn", F.split("text", "\n").alias("parts"))
+    return parts.select("conv_id", "turn", text.message_text("parts").alias("message")).filter("message is not null")
 
 
 @query("stage_times", with_views("query_metrics", """

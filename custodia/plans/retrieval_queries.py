@@ -592,7 +592,7 @@ _KNOWN = f"CASE WHEN agent IN ({', '.join(map(lit, C.AGENTS))}) THEN agent ELSE
 
 
 def _tools(spark):
-    return spark.createDataFrame(_TOOLS, "agent string, tool string")
+    return rules.local_table(spark, _TOOLS, "agent", "tool")
 
 
 @query("task_to_agent", with_views("questions", f"""

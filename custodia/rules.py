@@ -6,42 +6,41 @@ from pyspark.sql import functions as F
 from custodia import constants as C
 
 
+def _literal(value) -> str:
+    if isinstance(value, int):
+        return str(value)
+    if isinstance(value, (list, tuple)):
+        return "array(" + ", ".join(map(_literal, value)) + ")"
+    return "'" + str(value).replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def local_table(spark: SparkSession, rows, *names) -> DataFrame:
+    """A small constant table, planned as a local relation and broadcast."""
+    values = ", ".join("(" + ", ".join(map(_literal, row)) + ")" for row in rows)
+    return F.broadcast(spark.sql(f"SELECT * FROM VALUES {values} AS t({', '.join(names)})"))
+
+
 def role_access(spark: SparkSession) -> DataFrame:
-    rows = [
-        (role, role_pos, domain, domain_pos)
-        for role_pos, (role, domains) in enumerate(C.ROLE_ACCESS.items())
-        for domain_pos, domain in enumerate(domains)
-    ]
-    return F.broadcast(
-        spark.createDataFrame(rows, "role string, role_pos int, domain string, domain_pos int")
-    )
+    rows = [(role, domain) for role, domains in C.ROLE_ACCESS.items() for domain in domains]
+    return local_table(spark, rows, "role", "domain")
 
 
 def roles_by_domain(spark: SparkSession) -> DataFrame:
     """domain -> roles that may read it, in rule order."""
-    return F.broadcast(_ordered_list(role_access(spark), "domain", "role_pos", "role", "roles"))
+    domains = dict.fromkeys(d for listed in C.ROLE_ACCESS.values() for d in listed)
+    rows = [(d, [r for r, listed in C.ROLE_ACCESS.items() if d in listed]) for d in domains]
+    return local_table(spark, rows, "domain", "roles")
 
 
 def domains_by_role(spark: SparkSession) -> DataFrame:
     """role -> domains it may read, in rule order."""
-    return F.broadcast(_ordered_list(role_access(spark), "role", "domain_pos", "domain", "domains"))
-
-
-def _ordered_list(df, key, pos, value, name):
-    ordered = F.sort_array(F.collect_list(F.struct(pos, value)))
-    return df.groupBy(key).agg(F.transform(ordered, lambda s: s[value]).alias(name))
+    return local_table(spark, C.ROLE_ACCESS.items(), "role", "domains")
 
 
 def masking_rules(spark: SparkSession) -> DataFrame:
-    """(role, domain) pairs with an own pattern list; a null domain stands for the rest."""
-    rows = [
-        (role, domain, patterns)
-        for role, domain, patterns in C.MASKING_RULES
-        if role is not None
-    ]
-    return F.broadcast(
-        spark.createDataFrame(rows, "rule_role string, rule_domain string, patterns array<string>")
-    )
+    """(role, domain) pairs with an own pattern list; the domain ``*`` stands for any."""
+    rows = [(role, domain or "*", names) for role, domain, names in C.MASKING_RULES if role]
+    return local_table(spark, rows, "rule_role", "rule_domain", "patterns")
 
 
 def department_roles(spark: SparkSession) -> DataFrame:
@@ -50,13 +49,12 @@ def department_roles(spark: SparkSession) -> DataFrame:
         for department, mapping in C.DEPARTMENT_ROLES.items()
         for pos, (name, general) in enumerate(mapping.items())
     ]
-    schema = "department string, role_pos int, department_role string, general_role string"
-    return F.broadcast(spark.createDataFrame(rows, schema))
+    return local_table(spark, rows, "department", "role_pos", "department_role", "general_role")
 
 
 def framework_domains(spark: SparkSession) -> DataFrame:
     rows = [(fw, domain) for fw, domains in C.FRAMEWORK_DOMAINS.items() for domain in domains]
-    return F.broadcast(spark.createDataFrame(rows, "framework string, domain string"))
+    return local_table(spark, rows, "framework", "domain")
 
 
 def routing_topics(spark: SparkSession, topics=None) -> DataFrame:
@@ -65,4 +63,4 @@ def routing_topics(spark: SparkSession, topics=None) -> DataFrame:
         for pos, (domain, words) in enumerate((topics or C.ROUTING_TOPICS).items())
         for word in words
     ]
-    return F.broadcast(spark.createDataFrame(rows, "topic_pos int, topic string, word string"))
+    return local_table(spark, rows, "topic_pos", "topic", "word")

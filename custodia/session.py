@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _DIR_KEY = "spark.checkpoint.dir"
 
@@ -61,6 +62,27 @@ def materialize(df: DataFrame, name: str, partition_by=()) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_SPREAD_BYTES_PER_CORE = 64 << 20
+_small = {}
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Spread a small table of few files over the cores, for work that is heavy per row.
+
+    A file is read in units of row groups, so a table of one group would keep one core busy.
+    Tables with as many files as cores, or above a checked size, are left as they are."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    files = df.inputFiles()
+    if len(files) >= cores:
+        return df
+    known = tuple(files)
+    if known not in _small:
+        sizes = spark.read.format("binaryFile").load(list(files)).agg(F.sum("length"))
+        _small[known] = (sizes.first()[0] or 0) <= cores * _SPREAD_BYTES_PER_CORE
+    return df.repartition(cores, key) if _small[known] else df
+
+
 def union(*frames: DataFrame, allow_missing=False) -> DataFrame:
     """All rows of the frames, by column name.
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from custodia import constants as C
 from custodia.operators import access, guardrails
-from custodia.session import union
+from custodia.session import spread, union
 
 DOMAINS = ["finance", "hr", "health", "legal", "public"]
 CLASSIFICATIONS = ["confidential", "internal", "confidential", "confidential", "public"]
@@ -30,7 +30,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def corpus(spark, sf_dir) -> DataFrame:
     n = F.col("doc_id")
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents"), "doc_id").select(
         n.alias("id"),
         F.concat(F.lit("Document "), n.cast("string")).alias("title"),
         F.col("text").alias("content"),

@@ -64,6 +64,10 @@ def dashboard_counts(log: DataFrame, by, ts="ts", width="1 hour", slide=None, la
 def cache_sessions(accesses: DataFrame, key="fingerprint", ts="ts", ttl_seconds=C.CACHE_TTL_SECONDS,
                    late="10 minutes") -> DataFrame:
     """Runs of accesses no further apart than the ttl: all but the first of a run are hits."""
+    # merge a key's accesses before the shuffle, so a hot key does not arrive row by row
+    accesses.sparkSession.conf.set(
+        "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition", "true"
+    )
     return (
         accesses.withWatermark(ts, late)
         .groupBy(F.session_window(ts, f"{ttl_seconds} seconds").alias("w"), key)
