@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from custodia import constants as C
 from custodia.functions import entities as E
 from custodia.operators.trailing import trailing_counts
+from custodia.session import materialize
 
 
 def _capped(count, cap):
@@ -38,10 +39,13 @@ def rate_limits(requests: DataFrame, per_minute=C.MAX_REQUESTS_PER_MINUTE,
                 per_user_hour=C.MAX_REQUESTS_PER_USER_HOUR, user="username",
                 order_id="request_id", micros="micros") -> DataFrame:
     """Both limits in order: a globally blocked request is not recorded for its user."""
-    globally = rate_limit_global(requests, per_minute, order_id, micros)
-    return rate_limit_user(
+    # only keys and times go through the counting; the wide rows are joined once at the end
+    slim = requests.select(order_id, user, micros)
+    globally = materialize(rate_limit_global(slim, per_minute, order_id, micros), "rate-limits")
+    counted = rate_limit_user(
         globally, per_user_hour, user, order_id, micros, recorded=~F.col("blocked_global")
     )
+    return requests.join(counted.drop(user, micros), order_id)
 
 
 def rate_violation_columns() -> dict:

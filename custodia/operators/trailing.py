@@ -1,22 +1,24 @@
 """Exact trailing-window counts without a large group.
 
 A plain window per key (or with no key) puts a hot key into one task. Here every count is
-the difference of two running positions, and a position is assembled from three levels,
-each with a bounded group:
+the difference of two running positions, and a position is put together from two levels, each
+with a group bounded by the clock and not by the rows:
 
-  * inside a one-second slice of a key: at most 10^6 distinct microseconds per id chunk,
+  * inside a slice of 2^24 microseconds (17 s) of a key: one row per instant and id chunk,
     because rows of the same key and instant are counted before the shuffle;
-  * slices inside an epoch of 4096 seconds;
-  * epochs of a key: one row per 68 minutes of log.
+  * the slices of a key: at most 1.9 million per year of log.
 
-Rows of one key at the same instant are taken in id order, in chunks of 65,536 ids."""
+Rows of one key at the same instant are taken in id order, in chunks of 2^16 ids. The counted
+instants are written once, since both levels start from them."""
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_SLICE_US = 1_000_000
-_EPOCH_SLICES = 4096
-_ID_CHUNK = 65_536
+from custodia.session import materialize
+
+_SECOND_US = 1_000_000
+_SLICE_BITS = 24
+_CHUNK_BITS = 16
 _LAST_CHUNK = 2**62
 
 
@@ -29,17 +31,7 @@ def _running_before(df, part, order, value):
 def _slice_bases(marks, keys):
     """Rows before each (key, slice)."""
     slices = marks.groupBy(*keys, "slice").agg(F.sum("n").alias("n"))
-    slices = slices.withColumn("epoch", F.floor(F.col("slice") / _EPOCH_SLICES))
-    epochs = slices.groupBy(*keys, "epoch").agg(F.sum("n").alias("n"))
-    epochs = epochs.select(
-        *keys, "epoch", _running_before(epochs, keys, ["epoch"], "n").alias("epoch_base")
-    )
-    in_epoch = _running_before(slices, [*keys, "epoch"], ["slice"], "n")
-    return (
-        slices.withColumn("in_epoch", in_epoch)
-        .join(epochs, [*keys, "epoch"])
-        .select(*keys, "slice", (F.col("in_epoch") + F.col("epoch_base")).alias("base"))
-    )
+    return slices.select(*keys, "slice", _running_before(slices, keys, ["slice"], "n").alias("base"))
 
 
 def trailing_counts(events: DataFrame, keys, micros: str, order_id: str, width_seconds: int,
@@ -53,15 +45,17 @@ def trailing_counts(events: DataFrame, keys, micros: str, order_id: str, width_s
     constant = [] if keys else ["_all"]
     part = [*keys, *constant]
     rows = events.withColumn("_t", F.col(micros)).withColumn(
-        "_chunk", F.floor(F.col(order_id) / _ID_CHUNK)
+        "_chunk", F.shiftright(order_id, _CHUNK_BITS)
     )
     for name in constant:
         rows = rows.withColumn(name, F.lit(0))
     one = F.lit(1) if counted is None else F.when(counted, 1).otherwise(0)
     rows = rows.withColumn("_one", one.cast("long"))
 
-    instants = rows.groupBy(*part, "_t", "_chunk").agg(F.sum("_one").alias("n"))
-    width_us = width_seconds * _SLICE_US
+    instants = materialize(
+        rows.groupBy(*part, "_t", "_chunk").agg(F.sum("_one").alias("n")), "instants"
+    )
+    width_us = width_seconds * _SECOND_US
     # each counted instant twice: where it stands, and where its window starts
     marks = instants.select(
         *part,
@@ -80,7 +74,7 @@ def trailing_counts(events: DataFrame, keys, micros: str, order_id: str, width_s
             )
         ).alias("m"),
     ).select(*part, "_t", "_chunk", "m.*")
-    marks = marks.withColumn("slice", F.floor(F.col("at") / _SLICE_US))
+    marks = marks.withColumn("slice", F.shiftright("at", _SLICE_BITS))
 
     before = _running_before(marks, [*part, "slice"], ["at", "at_chunk"], "n")
     placed = marks.withColumn("before", before).join(_slice_bases(marks, part), [*part, "slice"])

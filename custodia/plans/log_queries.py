@@ -349,8 +349,8 @@ def deque_caps(spark, sf_dir):
 
 _CACHE = """touched AS (SELECT md5(event_type || query) AS fingerprint, micros FROM requests),
     gaps AS (SELECT fingerprint, micros - lag(micros) OVER (PARTITION BY fingerprint ORDER BY micros) AS gap FROM touched),
-    per_key AS (SELECT fingerprint, count(*) AS accesses, count_if(gap <= 3600000000) AS hits,
-      count(*) - count_if(gap <= 3600000000) AS misses FROM gaps GROUP BY fingerprint)"""
+    per_key AS (SELECT fingerprint, count(*) AS accesses, count_if(coalesce(gap <= 3600000000, false)) AS hits,
+      count(*) - count_if(coalesce(gap <= 3600000000, false)) AS misses FROM gaps GROUP BY fingerprint)"""
 
 
 def _cache_keys(spark, sf_dir):

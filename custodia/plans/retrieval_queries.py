@@ -28,11 +28,17 @@ def keyword_index(spark, sf_dir):
     return _fitted[key]
 
 
-def _vectors(spark, sf_dir):
+def _stored(spark, sf_dir):
     stored = T.table(spark, sf_dir, "embeddings")
     return stored.select(F.col("vec_id").alias("id"), "embedding")
 
 
+def _vectors(spark, sf_dir):
+    """The vectors of documents that exist; tables bucketed by id join without a shuffle."""
+    ids = T.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))
+    return _stored(spark, sf_dir).join(ids, "id", "left_semi")
+
+
 def _rounded(ranked, score="score"):
     return ranked.withColumn(score, F.round(score, 6)).withColumn("rank", F.col("rank").cast("long"))
 
@@ -102,7 +108,7 @@ def vector_delete_namespace(spark, sf_dir):
 @query("ensure_index", with_views("corpus", """
     SELECT id, coalesce(len(embedding), -1) = 64 AS usable FROM corpus LEFT JOIN embeddings ON vec_id = id"""))
 def ensure_index(spark, sf_dir):
-    docs = T.corpus(spark, sf_dir).select("id").join(_vectors(spark, sf_dir), "id", "left")
+    docs = T.corpus(spark, sf_dir).select("id").join(_stored(spark, sf_dir), "id", "left")
     good, bad = vector_store.ensure_dimension(docs, DIM)
     return union(
         good.select("id", F.lit(True).alias("usable")), bad.select("id", F.lit(False).alias("usable"))
@@ -125,7 +131,7 @@ def index_stats(spark, sf_dir):
 def indexing_stats(spark, sf_dir):
     docs = T.corpus(spark, sf_dir).select(
         "id", F.col("id").alias("position"), (F.length("content") / 10000).alias("seconds")
-    ).join(_vectors(spark, sf_dir), "id", "left")
+    ).join(_stored(spark, sf_dir), "id", "left")
     return analytics.indexing_stats(vector_store.load_batches(docs, DIM))
 
 
