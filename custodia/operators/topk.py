@@ -18,6 +18,7 @@ SCORE_DIGITS = 9  # ranking precision: hides the summation order of the product
 BROADCAST_BYTES = 64 << 20
 CELL_BYTES = 64 << 20
 _SCORES_PER_STEP = 4_000_000
+_ITEM_BYTES = 8 << 20
 
 
 def _dense(column, dim):
@@ -57,53 +58,54 @@ class _Best:
 
     def __init__(self, count, k, positive_only):
         self.k, self.positive_only = k, positive_only
-        self.row = np.empty(0, np.int64)
-        self.score = np.empty(0)
-        self.id = np.empty(0, np.int64)
+        self.kept = (np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64))
         self.floor = np.full(count, -np.inf)
+        self.waiting, self.waiting_rows = [], 0
+        self.enough = 2 * count * k + 100_000
 
     def add(self, first_row, scores, ids):
         k, width = self.k, scores.shape[1]
         floor = self.floor[first_row : first_row + len(scores)]
         if width > k:
-            kth = np.partition(scores, width - k, axis=1)[:, width - k]
-            floor = np.maximum(floor, kth)
+            floor = np.maximum(floor, np.partition(scores, width - k, axis=1)[:, width - k])
         keep = scores >= floor[:, None]
         if self.positive_only:
             keep &= scores > 0
         r, c = np.nonzero(keep)
-        if len(r):
-            self._merge(r + first_row, scores[r, c], ids[c])
-
-    def _merge(self, row, score, ids):
-        row = np.concatenate([self.row, row])
-        score = np.concatenate([self.score, score])
-        ids = np.concatenate([self.id, ids])
+        self.waiting.append((r + first_row, scores[r, c], ids[c]))
+        self.waiting_rows += len(r)
+        if self.waiting_rows > self.enough:
+            self.merge()
+
+    def merge(self):
+        parts = zip(self.kept, *self.waiting)
+        row, score, ids = (np.concatenate(p) for p in parts)
         order = np.lexsort((ids, -score, row))
         row, score, ids = row[order], score[order], ids[order]
-        starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+        starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else row
         rank = np.arange(len(row)) - np.repeat(starts, np.diff(np.r_[starts, len(row)]))
-        kept = rank < self.k
-        full = rank == self.k - 1
-        self.floor[row[full]] = score[full]
-        self.row, self.score, self.id = row[kept], score[kept], ids[kept]
+        best, last = rank < self.k, rank == self.k - 1
+        self.floor[row[last]] = score[last]
+        self.kept = row[best], score[best], ids[best]
+        self.waiting, self.waiting_rows = [], 0
+        return self.kept
 
 
 def _score_batches(batches, query_ids, query_matrix, k, metric, layout, positive_only):
     best = _Best(len(query_ids), k, positive_only)
     dim = query_matrix.shape[1]
+    item_step = max(256, _ITEM_BYTES // (8 * dim))
     for batch in batches:
-        for offset in range(0, batch.num_rows, 1024):
-            part = batch.slice(offset, 1024)
+        for offset in range(0, batch.num_rows, item_step):
+            part = batch.slice(offset, item_step)
             items = _DECODERS[layout](part.column(1), dim)
             ids = part.column(0).to_numpy(zero_copy_only=False)
             step = max(1, _SCORES_PER_STEP // max(1, len(ids)))
             for first in range(0, len(query_ids), step):
-                scores = _scores(query_matrix[first : first + step], items, metric)
-                best.add(first, scores, ids)
+                best.add(first, _scores(query_matrix[first : first + step], items, metric), ids)
+    row, score, ids = best.merge()
     return pa.RecordBatch.from_arrays(
-        [pa.array(query_ids[best.row]), pa.array(best.id), pa.array(best.score)],
-        ["query_id", "item_id", "score"],
+        [pa.array(query_ids[row]), pa.array(ids), pa.array(score)], ["query_id", "item_id", "score"]
     )
 
 

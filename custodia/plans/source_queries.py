@@ -194,3 +194,36 @@ def embedder(spark, sf_dir):
     return T.question_vectors(spark, sf_dir).select(
         "query_id", F.size("embedding").cast("long").alias("dim"), F.round(total, 4).alias("total")
     )
+
+
+def _flags(texts):
+    """Stands in for a moderation model: flags mentions of a credential."""
+    return texts.str.lower().str.contains("password", regex=False)
+
+
+@query("moderator", """
+    SELECT doc_id AS id, contains(lower(text), 'password') AS unsafe,
+      CASE WHEN contains(lower(text), 'password') THEN 'toxic_content' END AS violation_type FROM documents""")
+def moderator(spark, sf_dir):
+    docs = T.corpus(spark, sf_dir).select("id", "content")
+    verdicts = plugins.verdict_table(docs, "id", "content", plugins.moderator(_flags))
+    judged = guardrails.moderation_gate(docs, verdicts, "id", "verdict_id")
+    return judged.select("id", "unsafe", F.when(F.col("unsafe"), C.TOXIC_CONTENT).alias("violation_type"))
+
+
+def _names(texts):
+    """Stands in for a name model: pairs of capitalised words."""
+    import re
+
+    pattern = re.compile("[A-Z][a-z]+ [A-Z][a-z]+")
+    return [[("PERSON", name) for name in pattern.findall(t)] for t in texts]
+
+
+@query("entity_recognizer", with_views("doc_verdicts", """
+    SELECT id, len(found) + len(regexp_extract_all(content, '[A-Z][a-z]+ [A-Z][a-z]+')) AS entity_count,
+      len(regexp_extract_all(content, '[A-Z][a-z]+ [A-Z][a-z]+')) AS persons FROM doc_verdicts"""))
+def entity_recognizer(spark, sf_dir):
+    docs = T.corpus(spark, sf_dir).select("id", F.col("content").alias("response"), F.lit("guest").alias("role"))
+    gated = guardrails.pii_output_gate(docs, recognizer=plugins.entity_recognizer(_names))
+    persons = F.size(F.filter("entities", lambda e: e == "PERSON"))
+    return gated.select("id", "entity_count", persons.cast("long").alias("persons"))
