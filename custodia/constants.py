@@ -135,6 +135,15 @@ LATENCY_BUCKETS = [
     0.005, 0.01, 0.025, 0.05, 0.075, 0.1, 0.25, 0.5, 0.75, 1.0, 2.5, 5.0, 7.5, 10.0,
 ]
 
+# --- fixed values: names of the retrieval methods in results --------------------------
+SEMANTIC_METHODS = {
+    "cosine": "semantic-pinecone",
+    "dot": "semantic-pinecone",
+    "l2": "semantic-faiss",
+}
+KEYWORD_METHOD = "keyword-tfidf"
+HYBRID_METHOD = "hybrid"
+
 # --- fixed values: violation kinds and severities -----------------------------------
 PII_DETECTED = "pii_detected"
 TOXIC_CONTENT = "toxic_content"

@@ -151,10 +151,15 @@ def security_metrics(alerts: DataFrame) -> DataFrame:
     )
 
 
-def compliance_report(audit: DataFrame, now, days=30, framework="general") -> DataFrame:
+def compliance_report(audit: DataFrame, now, days=30, framework="general", retention=None,
+                      order_id="request_id") -> DataFrame:
     """Access attempts and queries of the last ``days`` before ``now`` (cut-off inclusive).
 
-    The status says whether a denied access happened in the period."""
+    The status says whether a denied access happened in the period. With ``retention`` only that
+    many of the newest events are looked at, as a bounded in-memory log would."""
+    if retention is not None:
+        newest = [F.col(c).desc() for c in ("timestamp", order_id, "event_type")]
+        audit = audit.orderBy(*newest).limit(retention)
     recent = audit.filter(F.col("timestamp") >= now - F.expr(f"interval {int(days)} days"))
     access = F.col("event_type") == "access_control"
     denied = F.count_if(access & (F.col("decision") == "denied"))

@@ -11,8 +11,6 @@ from custodia.functions.text import user_prompt
 from custodia.operators import access, alerts, guardrails, retrieval
 from custodia.session import materialize, union
 
-_DOC_COLUMNS = ["id", "title", "content", "domain"]
-
 
 def secure_answer_inputs(ranked: DataFrame, corpus: DataFrame, queries: DataFrame,
                          framework=None) -> DataFrame:
@@ -22,20 +20,22 @@ def secure_answer_inputs(ranked: DataFrame, corpus: DataFrame, queries: DataFram
     framework column named by ``framework``)."""
     extra = [framework] if framework else []
     hits = ranked.join(queries.select("query_id", "role", *extra), "query_id")
-    docs = retrieval.with_documents(hits, corpus, *_DOC_COLUMNS)
-    counts = access.validation_counts(docs, ["query_id"], framework=framework)
+    # domains first: counts need no more, and texts are read for permitted documents only
+    found = materialize(retrieval.with_documents(hits, corpus, "domain"), "found")
+    counts = access.validation_counts(found, ["query_id"], framework=framework)
+    permitted = access.access_filter(found)
     if framework:
-        valid = access.compliance_filter(docs, framework)
+        permitted = access.compliance_pairs(permitted, framework)
         kept = F.col("documents_compliant")
         refusal = F.concat(
             F.lit("No documents available that comply with "), F.upper(framework),
             F.lit(" requirements for your access level."),
         )
     else:
-        valid = access.validate_documents(docs)
         kept = F.col("documents_validated")
         refusal = F.lit(C.REFUSAL_TEXT)
-    context = retrieval.assemble_context(valid)
+    texts = retrieval.with_texts(permitted, corpus, "id", "title", "content")
+    context = retrieval.assemble_context(access.annotate(texts))
     zero = F.lit(0).cast("long")
     # left joins: a refused query keeps its row
     return (
@@ -107,9 +107,7 @@ def retrieve_and_validate(requests: DataFrame, retrieve, corpus: DataFrame, verd
         retrieval.with_documents(ranked.join(wanted, "query_id"), corpus, "domain"), "found"
     )
     in_domain = retrieval.domain_or_public(found)
-    texts = retrieval.with_documents(
-        access.access_filter(in_domain), corpus, "id", "title", "content"
-    )
+    texts = retrieval.with_texts(access.access_filter(in_domain), corpus, "id", "title", "content")
     valid = access.annotate(texts)
     order = Window.partitionBy("query_id").orderBy("rank")  # at most 2k rows per query
     documents = valid.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
@@ -168,7 +166,9 @@ def assigned_tasks(plans: DataFrame, tools: DataFrame) -> DataFrame:
     known = _tasks(plans).withColumn(
         "agent", F.when(F.col("agent").isin(*C.AGENTS), F.col("agent")).otherwise(C.DEFAULT_AGENT)
     )
-    return known.join(F.broadcast(tools), "agent")
+    # one tool per known agent: a handful of rows, whatever is passed in
+    usable = tools.filter(F.col("agent").isin(*C.AGENTS)).dropDuplicates(["agent"])
+    return known.join(F.broadcast(usable), "agent")
 
 
 def run_task_plan(plans: DataFrame, tools: DataFrame) -> DataFrame:

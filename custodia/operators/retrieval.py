@@ -8,7 +8,7 @@ from custodia.operators import tfidf
 from custodia.operators.topk import SCORE_DIGITS, top_k
 from custodia.session import union
 
-METHODS = {"cosine": "semantic-pinecone", "l2": "semantic-faiss", "dot": "semantic-pinecone"}
+_BROADCAST_IDS = 1_000_000
 
 
 def semantic_top_k(vectors: DataFrame, queries: DataFrame, k: int, dim: int, metric="cosine",
@@ -28,13 +28,13 @@ def hits_union(semantic: DataFrame, keyword: DataFrame, metric="cosine",
     score = F.lit(ws) if metric == "l2" else F.col("score") * ws
     first = semantic.select(
         "query_id", "item_id",
-        F.lit(METHODS[metric]).alias("method"),
+        F.lit(C.SEMANTIC_METHODS[metric]).alias("method"),
         score.alias("relevance_score"),
         F.col("rank").cast("long").alias("position"),
     )
     second = keyword.select(
         "query_id", "item_id",
-        F.lit("keyword-tfidf").alias("method"),
+        F.lit(C.KEYWORD_METHOD).alias("method"),
         (F.col("score") * wk).alias("relevance_score"),
         (F.col("rank") + 1_000_000).cast("long").alias("position"),
     )
@@ -46,7 +46,7 @@ def merge_hits(hits: DataFrame) -> DataFrame:
     At most two rows meet in a group."""
     return hits.groupBy("query_id", "item_id").agg(
         F.sum("relevance_score").alias("relevance_score"),
-        F.when(F.count("*") > 1, "hybrid").otherwise(F.min("method")).alias("retrieval_method"),
+        F.when(F.count("*") > 1, C.HYBRID_METHOD).otherwise(F.min("method")).alias("retrieval_method"),
         F.min("position").alias("position"),
     )
 
@@ -73,11 +73,23 @@ def hybrid_retrieve(vectors: DataFrame, index: tfidf.KeywordIndex, queries: Data
 
 
 def with_documents(hits: DataFrame, corpus: DataFrame, *columns) -> DataFrame:
-    """Join the hits to the corpus; long texts are read only here, after the cut."""
+    """Join ranked hits to short columns of their documents."""
     docs = corpus.select(F.col("id").alias("_id"), *columns)
     return hits.join(docs, F.col("item_id") == F.col("_id")).drop("_id")
 
 
+def with_texts(hits: DataFrame, corpus: DataFrame, *columns) -> DataFrame:
+    """Join hits to long columns of their documents.
+
+    ``hits`` should be a stored table: its ids are counted first. Up to a checked number of them
+    the corpus is filtered where it is read, so that no unwanted text is shuffled; beyond that it
+    is a plain join."""
+    ids = hits.select(F.col("item_id").alias("id")).distinct()
+    if ids.limit(_BROADCAST_IDS + 1).count() <= _BROADCAST_IDS:
+        corpus = corpus.join(F.broadcast(ids), "id", "left_semi")
+    return with_documents(hits, corpus, *columns)
+
+
 def first_by_id(corpus: DataFrame, key="id", position="position") -> DataFrame:
     """The first document per id. The minimum combines before the shuffle, so copies are cheap."""
     others = [c for c in corpus.columns if c not in (key, position)]

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +29,9 @@ def _bind(value: Column, use) -> Column:
 def tokens(text, stop_words=None) -> Column:
     words = F.regexp_extract_all(F.lower(text), F.lit(TOKEN_PATTERN), F.lit(0))
     stops = C.STOP_WORDS if stop_words is None else stop_words
-    return F.filter(words, lambda w: ~w.isin(*stops)) if stops else words
+    if not stops:
+        return words
+    return F.filter(words, lambda w: ~w.isin(*stops))
 
 
 def bigrams(words: Column) -> Column:
@@ -77,16 +80,27 @@ def _exploded(docs: DataFrame, text: str, terms) -> DataFrame:
     return docs.select(F.inline(term_counts(terms(F.col(text)))))
 
 
-def _only(words: Column, known) -> Column:
+def _listed(words) -> str:
+    """The words as a SQL list; they hold only letters, digits, underscores and blanks."""
+    return "(" + ", ".join(f"'{w}'" for w in words) + ")"
+
+
+def _kept(column: str, words) -> Column:
+    """The words of the set, others left out."""
+    return F.expr(f"filter({column}, t -> t IN {_listed(words)})")
+
+
+def _blanked(column: str, words) -> Column:
     """Words outside the set become null, so that pairs across them are no pairs."""
-    return F.transform(words, lambda w: F.when(w.isin(known), w))
+    return F.expr(f"transform({column}, t -> CASE WHEN t IN {_listed(words)} THEN t END)")
 
 
 def _pair_counts(docs, text, stop_words, frequent):
     """Counts per document of the bigrams of frequent words."""
     head = [row[0] for row in frequent.limit(_INLINE_WORDS + 1).collect()]
     if len(head) <= _INLINE_WORDS:
-        return _exploded(docs, text, lambda c: bigrams(_only(tokens(c, stop_words), head)))
+        found = docs.select(tokens(F.col(text), stop_words).alias("_w"))
+        return found.select(F.inline(term_counts(bigrams(_blanked("_w", head)))))
     # many words tie at the cut: filter by joins, the strategy is left to the optimizer
     first, second = frequent.toDF("_a"), frequent.toDF("_b")
     return (
@@ -144,20 +158,22 @@ def weigh(texts: DataFrame, vocab: DataFrame, key: str, text: str, stop_words=No
     ids = np.array([row["term_id"] for row in rows], np.int32)
     idf = np.array([row["idf"] for row in rows])
 
-    def terms(c):
-        def known(w):
-            single = F.filter(w, lambda t: t.isin(words))
-            if not pairs:
-                return single
-            double = F.filter(bigrams(_only(w, pair_words)), lambda t: t.isin(pairs))
-            return F.concat(single, double)
-
-        return _bind(tokens(c, stop_words), known)
-
-    counted = texts.select(F.col(key).cast("long").alias(key), term_counts(terms(F.col(text))).alias("c"))
+    found = texts.select(F.col(key).cast("long").alias(key), tokens(F.col(text), stop_words).alias("_w"))
+    nothing = F.array().cast("array<string>")
+    single = _kept("_w", words) if words else nothing
+    double = nothing
+    if pairs:
+        found = found.withColumn("_b", bigrams(_blanked("_w", pair_words)))
+        double = _kept("_b", pairs)
+    counted = found.select(key, term_counts(F.concat(single, double)).alias("c"))
 
     def run(batches):
         for batch in batches:
+            # texts without a known term are left out here: as a plan filter, the condition would
+            # be pushed below the counting and compute it twice
+            batch = batch.filter(pc.greater(pc.list_value_length(batch.column(1)), 0))
+            if not batch.num_rows:
+                continue
             column = batch.column(1)
             lengths = column.value_lengths().to_numpy(zero_copy_only=False)
             flat = column.flatten()
@@ -173,9 +189,7 @@ def weigh(texts: DataFrame, vocab: DataFrame, key: str, text: str, stop_words=No
                 [batch.column(0), pa.ListArray.from_arrays(pa.array(starts), entries)], [key, "vec"]
             )
 
-    return counted.filter(F.size("c") > 0).mapInArrow(
-        run, f"{key} long, vec array<struct<i:int,w:double>>"
-    )
+    return counted.mapInArrow(run, f"{key} long, vec array<struct<i:int,w:double>>")
 
 
 @dataclass

@@ -13,7 +13,7 @@ from custodia.plans.sql_views import text as lit
 from custodia.sources import tables as T
 from custodia.sources import vector_store
 from custodia.functions.roles import with_general_role
-from custodia.session import union
+from custodia.session import materialize, union
 
 DIM = 64
 K = 5
@@ -159,7 +159,7 @@ def semantic_topk_l2(spark, sf_dir):
     ranked = _rounded(_semantic(spark, sf_dir, K, "l2"))
     return ranked.select(
         "query_id", "item_id", "rank", F.lit(C.SEMANTIC_WEIGHT).alias("relevance_score"),
-        F.lit(retrieval.METHODS["l2"]).alias("retrieval_method"), (-F.col("score")).alias("distance"),
+        F.lit(C.SEMANTIC_METHODS["l2"]).alias("retrieval_method"), (-F.col("score")).alias("distance"),
     )
 
 
@@ -186,8 +186,8 @@ def query_similar_filtered(spark, sf_dir):
         T.vectors(spark, sf_dir), T.question_vectors(spark, sf_dir), K, DIM, namespace="ns0", domain="finance"
     )
     docs = T.corpus(spark, sf_dir)
-    shown = retrieval.with_documents(
-        hits, docs, "title", "domain", F.substring("content", 1, 1000).alias("content_preview")
+    shown = retrieval.with_texts(
+        materialize(hits, "hits"), docs, "title", "domain", F.substring("content", 1, 1000).alias("content_preview")
     )
     return _rounded(shown.withColumnRenamed("item_id", "id"))
 
@@ -423,10 +423,12 @@ def compliance_answer_inputs(spark, sf_dir):
 
 def _validated(spark, sf_dir):
     asked = T.questions(spark, sf_dir).select("query_id", "query", "role")
-    docs = retrieval.with_documents(
-        _hybrid(spark, sf_dir, K).join(asked, "query_id"), T.corpus(spark, sf_dir), "id", "title", "content", "domain"
+    corpus = T.corpus(spark, sf_dir)
+    hits = _hybrid(spark, sf_dir, K).join(asked, "query_id")
+    found = materialize(retrieval.with_documents(hits, corpus, "domain"), "found")
+    return access.annotate(
+        retrieval.with_texts(access.access_filter(found), corpus, "id", "title", "content")
     )
-    return access.validate_documents(docs)
 
 
 @query("build_context", with_views(_GOV, """

@@ -6,7 +6,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 _DIR_KEY = "spark.checkpoint.dir"
 
@@ -21,6 +20,8 @@ def local_session(cpus="*", shuffle_partitions=8, **conf):
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "12g")
+        # call sites for error messages cost several driver calls per expression
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
@@ -62,25 +63,14 @@ def materialize(df: DataFrame, name: str, partition_by=()) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-_SPREAD_BYTES_PER_CORE = 64 << 20
-_small = {}
-
-
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Spread a small table of few files over the cores, for work that is heavy per row.
+    """Spread a table that is read in fewer splits than there are cores.
 
-    A file is read in units of row groups, so a table of one group would keep one core busy.
-    Tables with as many files as cores, or above a checked size, are left as they are."""
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    files = df.inputFiles()
-    if len(files) >= cores:
-        return df
-    known = tuple(files)
-    if known not in _small:
-        sizes = spark.read.format("binaryFile").load(list(files)).agg(F.sum("length"))
-        _small[known] = (sizes.first()[0] or 0) <= cores * _SPREAD_BYTES_PER_CORE
-    return df.repartition(cores, key) if _small[known] else df
+    A split is at most ``spark.sql.files.maxPartitionBytes``, so only a small table is ever
+    shuffled here; without it, a file of one row group keeps a single core busy with work that
+    is heavy per row."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
 
 
 def union(*frames: DataFrame, allow_missing=False) -> DataFrame:
