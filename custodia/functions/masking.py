@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from custodia import constants as C
 from custodia import rules
+from custodia.functions.once import bind
 
 _PATTERN = {name: (pattern, tag) for name, pattern, tag in C.PII_PATTERNS}
 
@@ -92,13 +93,13 @@ def mask_by_role(df: DataFrame, column="content", role="role", domain="domain")
 
 def sensitive_terms(text, terms=None) -> Column:
     """Terms contained in the text ignoring case, in list order; null when there is none."""
-    lowered = F.lower(text)
-    found = F.array_compact(
-        F.array(
-            *[F.when(F.contains(lowered, F.lit(t.lower())), F.lit(t)) for t in terms or C.SENSITIVE_TERMS]
-        )
+    def contained(lowered):
+        hits = [F.when(F.contains(lowered, F.lit(t.lower())), F.lit(t)) for t in terms or C.SENSITIVE_TERMS]
+        return F.array_compact(F.array(*hits))
+
+    return bind(
+        bind(F.lower(text), contained), lambda found: F.when(F.size(found) > 0, found)
     )
-    return F.when(F.size(found) > 0, found)
 
 
 def register_functions(spark: SparkSession) -> None:

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from custodia import constants as C
+from custodia.functions.once import bind
 from custodia.operators.topk import top_k
 from custodia.session import materialize, union
 
@@ -21,11 +22,6 @@ _INLINE_WORDS = 5000  # a word set up to this size is held by every task
 TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
 
 
-def _bind(value: Column, use) -> Column:
-    """Evaluate ``value`` once per row and hand it to ``use``."""
-    return F.transform(F.array(value), use)[0]
-
-
 def tokens(text, stop_words=None) -> Column:
     words = F.regexp_extract_all(F.lower(text), F.lit(TOKEN_PATTERN), F.lit(0))
     stops = C.STOP_WORDS if stop_words is None else stop_words
@@ -35,7 +31,7 @@ def tokens(text, stop_words=None) -> Column:
 
 
 def bigrams(words: Column) -> Column:
-    return _bind(
+    return bind(
         words,
         lambda w: F.when(
             F.size(w) > 1,
@@ -55,7 +51,7 @@ def term_counts(terms: Column) -> Column:
             F.sequence(F.lit(0), F.size(s) - 1),
             lambda i: (i == 0) | ~F.get(s, i).eqNullSafe(F.get(s, i - 1)),
         )
-        return _bind(
+        return bind(
             starts,
             lambda st: F.transform(
                 st,
@@ -67,7 +63,7 @@ def term_counts(terms: Column) -> Column:
         )
 
     empty = F.array().cast("array<struct<term:string,tf:int>>")
-    return _bind(F.sort_array(terms), lambda s: F.when(F.size(s) > 0, runs(s)).otherwise(empty))
+    return bind(F.sort_array(terms), lambda s: F.when(F.size(s) > 0, runs(s)).otherwise(empty))
 
 
 def _stats(counted: DataFrame) -> DataFrame:

@@ -8,7 +8,8 @@ with a group bounded by the clock and not by the rows:
     because rows of the same key and instant are counted before the shuffle;
   * the slices of a key: at most 1.9 million per year of log.
 
-Rows of one key at the same instant are taken in id order, in chunks of 2^16 ids. The counted
+Rows of one key at the same instant are taken in id order, in chunks of 2^16 ids (running ids
+fill a chunk; scattered ids only make more chunks). The counted
 instants are written once, since both levels start from them."""
 
 from pyspark.sql import DataFrame, Window

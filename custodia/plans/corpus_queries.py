@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 from custodia import constants as C
 from custodia import rules
 from custodia.functions import masking, roles, text
-from custodia.operators import access, analytics, guardrails
+from custodia.functions.once import filter_computed
+from custodia.operators import access, guardrails
 from custodia.functions import entities as E
 from custodia.plans.registry import query
 from custodia.plans.sql_views import entity_list, mask, role_mask, terms, with_views, words
@@ -342,7 +343,8 @@ def pii_output_gate(spark, sf_dir):
     SELECT rid, array_to_string(list_sort(list_distinct(found)), ',') AS kinds, len(list_distinct(found)) AS n_kinds
     FROM gated WHERE len(found) > 0""")
 def distinct_entities(spark, sf_dir):
-    gated = guardrails.pii_output_gate(_responses(spark, sf_dir)).filter("blocked_pii")
+    gated = guardrails.pii_output_gate(_responses(spark, sf_dir))
+    gated = filter_computed(gated, F.col("blocked_pii"))
     return gated.select(
         "rid", F.array_join("entity_kinds", ",").alias("kinds"), F.size("entity_kinds").cast("long").alias("n_kinds")
     )

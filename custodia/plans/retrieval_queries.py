@@ -6,13 +6,11 @@ from custodia import constants as C
 from custodia import rules
 from custodia.functions import text
 from custodia.operators import access, analytics, governed, retrieval, tfidf
-from custodia.operators.topk import top_k
 from custodia.plans.registry import query
 from custodia.plans.sql_views import hybrid, role_mask, rows, with_views, words
 from custodia.plans.sql_views import text as lit
 from custodia.sources import tables as T
 from custodia.sources import vector_store
-from custodia.functions.roles import with_general_role
 from custodia.session import materialize, union
 
 DIM = 64

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from custodia import constants as C
 from custodia.functions import masking, plugins
+from custodia.functions.once import filter_computed
 from custodia.operators import analytics, guardrails
 from custodia.plans.log_queries import _alerts, _interactions, sql_stamp, stamp
 from custodia.plans.registry import query
@@ -126,9 +127,12 @@ def _audit_lines(spark, sf_dir):
     )
     found = masking.sensitive_terms(F.col("content"), EXTRA_TERMS)
     start = F.lit("2024-03-01 00:00:00").cast("timestamp")
-    pii = T.corpus(spark, sf_dir).filter(found.isNotNull()).select(
+    flagged_docs = filter_computed(
+        T.corpus(spark, sf_dir).select("id", found.alias("found")), F.col("found").isNotNull()
+    )
+    pii = flagged_docs.select(
         (F.lit(-1) - F.col("id")).alias("n"), start.alias("ts"),
-        logs.pii_line(F.col("id").cast("string"), found).alias("line"),
+        logs.pii_line(F.col("id").cast("string"), F.col("found")).alias("line"),
     )
     asked = T.questions(spark, sf_dir).select(
         (F.lit(1000000000) + F.col("query_id")).alias("n"), "ts",

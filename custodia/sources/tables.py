@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from custodia import constants as C
+from custodia.functions.once import filter_computed
 from custodia.operators import access, guardrails
 from custodia.session import spread, union
 
@@ -153,7 +154,8 @@ def violations(spark, sf_dir) -> DataFrame:
     docs = corpus(spark, sf_dir).select("id", F.col("content").alias("response"), F.col("author").alias("username"))
     judged = guardrails.output_gate(
         docs.withColumn("role", F.lit("guest")), verdicts(spark, sf_dir), "id", "verdict_id"
-    ).filter(~F.col("is_safe"))
+    )
+    judged = filter_computed(judged, ~F.col("is_safe"))
     text = judged.select(
         F.concat(F.lit("d"), F.col("id").cast("string")).alias("violation_id"),
         "violation_type", "severity", "description", "username",

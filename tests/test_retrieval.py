@@ -5,7 +5,6 @@ from collections import Counter
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
 
 from custodia import constants as C
 from custodia.operators import governed, retrieval, tfidf, topk
