@@ -78,7 +78,7 @@ def _exploded(docs: DataFrame, text: str, terms) -> DataFrame:
 
 def _listed(words) -> str:
     """The words as a SQL list; they hold only letters, digits, underscores and blanks."""
-    return "(" + ", ".join(f"'{w}'" for w in words) + ")"
+    return "(" + (", ".join(f"'{w}'" for w in words) or "NULL") + ")"
 
 
 def _kept(column: str, words) -> Column:

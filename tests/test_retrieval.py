@@ -241,3 +241,22 @@ def test_positions_that_are_no_numbers_are_skipped(rows):
     docs = rows("position long, title string", (0, "zero"), (1, "one"))
     out = {r["query_id"]: r["title"] for r in retrieval.hits_by_position(found, docs).collect()}
     assert out == {1: "zero", 2: "one"}
+
+
+# --- empty inputs ---------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("path", [0, 1 << 20])
+def test_no_queries_or_no_items(rows, path):
+    items = rows("id long, embedding array<double>", (1, [1.0, 0.0]))
+    queries = rows("query_id long, embedding array<double>", (1, [1.0, 1.0]))
+    assert topk.top_k(items, queries.limit(0), 3, 2, broadcast_bytes=path).count() == 0
+    assert topk.top_k(items.limit(0), queries, 3, 2, broadcast_bytes=path).count() == 0
+
+
+def test_corpus_without_terms(rows):
+    docs = rows("id long, content string", (1, ""), (2, "a"), (3, None))
+    index = tfidf.fit(docs)
+    assert index.vocab.count() == 0 and index.vectors.count() == 0
+    asked = rows("query_id long, query string", (1, "anything"))
+    assert tfidf.keyword_top_k(index, asked, 3).count() == 0
