@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from custodia import constants as C
 from custodia.functions.once import bind
-from custodia.operators.topk import top_k
+from custodia.operators.topk import id_type, top_k
 from custodia.session import materialize, union
 
 _INLINE_WORDS = 5000  # a word set up to this size is held by every task
@@ -154,7 +154,8 @@ def weigh(texts: DataFrame, vocab: DataFrame, key: str, text: str, stop_words=No
     ids = np.array([row["term_id"] for row in rows], np.int32)
     idf = np.array([row["idf"] for row in rows])
 
-    found = texts.select(F.col(key).cast("long").alias(key), tokens(F.col(text), stop_words).alias("_w"))
+    kind = id_type(texts, key)
+    found = texts.select(F.col(key).cast(kind).alias(key), tokens(F.col(text), stop_words).alias("_w"))
     nothing = F.array().cast("array<string>")
     single = _kept("_w", words) if words else nothing
     double = nothing
@@ -185,7 +186,7 @@ def weigh(texts: DataFrame, vocab: DataFrame, key: str, text: str, stop_words=No
                 [batch.column(0), pa.ListArray.from_arrays(pa.array(starts), entries)], [key, "vec"]
             )
 
-    return counted.mapInArrow(run, f"{key} long, vec array<struct<i:int,w:double>>")
+    return counted.mapInArrow(run, f"{key} {kind}, vec array<struct<i:int,w:double>>")
 
 
 @dataclass

@@ -13,6 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 SCORE_DIGITS = 9  # ranking precision: hides the summation order of the product
 BROADCAST_BYTES = 64 << 20
@@ -38,6 +39,24 @@ def _sparse(column, dim):
     return out
 
 
+def id_type(df, column):
+    """Ids are bigint where they are integers, else strings."""
+    kind = df.schema[column].dataType
+    return "long" if isinstance(kind, T.IntegralType) else "string"
+
+
+def _ids(column):
+    """Arrow ids to a numpy array that sorts as Spark does."""
+    if pa.types.is_integer(column.type):
+        return column.to_numpy(**_copy(column))
+    return np.array(column.to_pylist(), dtype=np.str_)
+
+
+def _copy(column):
+    return {} if isinstance(column, pa.ChunkedArray) else {"zero_copy_only": False}
+
+
+_ARROW_IDS = {"long": pa.int64(), "string": pa.string()}
 _DECODERS = {"dense": _dense, "sparse": _sparse}
 
 
@@ -56,9 +75,10 @@ def _scores(queries, items, metric):
 class _Best:
     """Running best k per query, ties by smaller id."""
 
-    def __init__(self, count, k, positive_only):
+    def __init__(self, count, k, positive_only, item_type):
         self.k, self.positive_only = k, positive_only
-        self.kept = (np.empty(0, np.int64), np.empty(0), np.empty(0, np.int64))
+        no_ids = np.empty(0, np.int64 if item_type == "long" else np.str_)
+        self.kept = (np.empty(0, np.int64), np.empty(0), no_ids)
         self.floor = np.full(count, -np.inf)
         self.waiting, self.waiting_rows = [], 0
         self.enough = 2 * count * k + 100_000
@@ -91,29 +111,31 @@ class _Best:
         return self.kept
 
 
-def _score_batches(batches, query_ids, query_matrix, k, metric, layout, positive_only):
-    best = _Best(len(query_ids), k, positive_only)
+def _score_batches(batches, query_ids, query_matrix, k, metric, layout, positive_only, types):
+    best = _Best(len(query_ids), k, positive_only, types[1])
     dim = query_matrix.shape[1]
     item_step = max(256, _ITEM_BYTES // (8 * dim))
     for batch in batches:
         for offset in range(0, batch.num_rows, item_step):
             part = batch.slice(offset, item_step)
             items = _DECODERS[layout](part.column(1), dim)
-            ids = part.column(0).to_numpy(zero_copy_only=False)
+            ids = _ids(part.column(0))
             step = max(1, _SCORES_PER_STEP // max(1, len(ids)))
             for first in range(0, len(query_ids), step):
                 best.add(first, _scores(query_matrix[first : first + step], items, metric), ids)
     row, score, ids = best.merge()
     return pa.RecordBatch.from_arrays(
-        [pa.array(query_ids[row]), pa.array(ids), pa.array(score)], ["query_id", "item_id", "score"]
+        [pa.array(query_ids[row], _ARROW_IDS[types[0]]), pa.array(ids, _ARROW_IDS[types[1]]), pa.array(score)],
+        ["query_id", "item_id", "score"],
     )
 
 
-_OUT = "query_id long, item_id long, score double"
+def _schema(types):
+    return f"query_id {types[0]}, item_id {types[1]}, score double"
 
 
 def _usable(df, key, vector, layout, dim):
-    out = df.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("vec"))
+    out = df.select(F.col(key).cast(id_type(df, key)).alias("id"), F.col(vector).alias("vec"))
     if layout == "dense":
         # ragged or missing vectors cannot be scored; ensure_dimension() reports them
         out = out.filter(F.size(F.array_compact("vec")) == dim)
@@ -125,33 +147,34 @@ def top_k(items: DataFrame, queries: DataFrame, k: int, dim: int, metric="cosine
           broadcast_bytes=BROADCAST_BYTES) -> DataFrame:
     """(query_id, item_id, score, rank) of the k best items per query.
 
-    ``metric`` is cosine, dot or l2 (score = minus the squared distance). Both keys are bigint."""
+    ``metric`` is cosine, dot or l2 (score = minus the squared distance)."""
+    types = id_type(queries, query_key), id_type(items, item_key)
     item_rows = _usable(items, item_key, vector, layout, dim)
     query_rows = _usable(queries, query_key, vector, layout, dim)
     # decoded queries are dense float64, whatever their layout
     limit = max(1, broadcast_bytes // (8 * dim))
     head = query_rows.limit(limit + 1).toArrow()
     if head.num_rows <= limit:
-        partial = _with_broadcast_queries(item_rows, head, k, dim, metric, layout, positive_only)
+        partial = _with_broadcast_queries(item_rows, head, k, dim, metric, layout, positive_only, types)
     else:
-        partial = _with_cells(item_rows, query_rows, k, dim, metric, layout, positive_only)
+        partial = _with_cells(item_rows, query_rows, k, dim, metric, layout, positive_only, types)
     best_first = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "item_id")
     return partial.withColumn("rank", F.row_number().over(best_first)).filter(F.col("rank") <= k)
 
 
-def _with_broadcast_queries(items, head, k, dim, metric, layout, positive_only):
-    ids = head.column(0).to_numpy()
+def _with_broadcast_queries(items, head, k, dim, metric, layout, positive_only, types):
+    ids = _ids(head.column(0))
     matrix = _DECODERS[layout](head.column(1), dim)
     shared = items.sparkSession.sparkContext.broadcast((ids, matrix))
 
     def run(batches):
         query_ids, query_matrix = shared.value
-        yield _score_batches(batches, query_ids, query_matrix, k, metric, layout, positive_only)
+        yield _score_batches(batches, query_ids, query_matrix, k, metric, layout, positive_only, types)
 
-    return items.mapInArrow(run, _OUT)
+    return items.mapInArrow(run, _schema(types))
 
 
-def _with_cells(items, queries, k, dim, metric, layout, positive_only):
+def _with_cells(items, queries, k, dim, metric, layout, positive_only, types):
     # a cell holds at most this many rows of each side, at 8 bytes per dimension
     rows = max(1, CELL_BYTES // (8 * dim))
 
@@ -169,14 +192,11 @@ def _with_cells(items, queries, k, dim, metric, layout, positive_only):
     right = placed(items, "ib", i_blocks, "qb", q_blocks).select("qb", "ib", "id", "vec")
 
     def run(query_table, item_table):
-        query_ids = query_table.column("id").to_numpy()
-        if not len(query_ids) or not item_table.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "item_id": pa.array([], pa.int64()),
-                             "score": pa.array([], pa.float64())})
+        query_ids = _ids(query_table.column("id"))
         matrix = _DECODERS[layout](query_table.column("vec"), dim)
-        batches = item_table.select(["id", "vec"]).combine_chunks().to_batches()
+        batches = item_table.select(["id", "vec"]).combine_chunks().to_batches() if len(query_ids) else []
         return pa.Table.from_batches(
-            [_score_batches(batches, query_ids, matrix, k, metric, layout, positive_only)]
+            [_score_batches(batches, query_ids, matrix, k, metric, layout, positive_only, types)]
         )
 
-    return left.groupBy("qb", "ib").cogroup(right.groupBy("qb", "ib")).applyInArrow(run, _OUT)
+    return left.groupBy("qb", "ib").cogroup(right.groupBy("qb", "ib")).applyInArrow(run, _schema(types))

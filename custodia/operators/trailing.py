@@ -14,6 +14,7 @@ instants are written once, since both levels start from them."""
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from custodia.session import materialize
 
@@ -40,14 +41,15 @@ def trailing_counts(events: DataFrame, keys, micros: str, order_id: str, width_s
     """Add, per row, how many rows of its key lie less than ``width_seconds`` back.
 
     The row itself counts; of the rows at its own instant those with a smaller id count.
-    ``micros`` is a bigint time in microseconds, ``order_id`` an integer that orders ties.
+    ``micros`` is a bigint time in microseconds, ``order_id`` orders ties (best a running integer).
     With ``counted``, a condition, only rows that meet it are counted; all rows are kept."""
     columns = events.columns
     constant = [] if keys else ["_all"]
     part = [*keys, *constant]
-    rows = events.withColumn("_t", F.col(micros)).withColumn(
-        "_chunk", F.shiftright(order_id, _CHUNK_BITS)
-    )
+    # ids that are no integers cannot be cut in order: they form one chunk
+    integral = isinstance(events.schema[order_id].dataType, T.IntegralType)
+    chunk = F.shiftright(F.col(order_id).cast("long"), _CHUNK_BITS) if integral else F.lit(0).cast("long")
+    rows = events.withColumn("_t", F.col(micros)).withColumn("_chunk", chunk)
     for name in constant:
         rows = rows.withColumn(name, F.lit(0))
     one = F.lit(1) if counted is None else F.when(counted, 1).otherwise(0)

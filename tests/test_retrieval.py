@@ -260,3 +260,24 @@ def test_corpus_without_terms(rows):
     assert index.vocab.count() == 0 and index.vectors.count() == 0
     asked = rows("query_id long, query string", (1, "anything"))
     assert tfidf.keyword_top_k(index, asked, 3).count() == 0
+
+
+@pytest.mark.parametrize("path", [0, 1 << 20])
+def test_string_ids(rows, path):
+    items = rows("id string, embedding array<double>", ("doc_2", [1.0, 0.0]), ("doc_10", [1.0, 0.0]), ("é", [0.0, 1.0]))
+    queries = rows("query_id string, embedding array<double>", ("q", [1.0, 0.1]), ("r", [0.0, 1.0]))
+    out = topk.top_k(items, queries, 2, 2, broadcast_bytes=path)
+    assert {(r["query_id"], r["rank"]): r["item_id"] for r in out.collect()} == {
+        ("q", 1): "doc_10", ("q", 2): "doc_2", ("r", 1): "é", ("r", 2): "doc_10",
+    }
+
+
+def test_hybrid_with_string_ids(rows):
+    docs = rows("id string, content string", ("a", "alpha beta"), ("b", "beta gamma"), ("c", "delta"))
+    index = tfidf.fit(docs)
+    vecs = rows("id string, embedding array<double>", ("a", [1.0, 0.0]), ("b", [0.0, 1.0]), ("c", [-1.0, 0.0]))
+    asked = rows("query_id string, query string, embedding array<double>", ("q", "gamma", [1.0, 0.0]))
+    out = retrieval.hybrid_retrieve(vecs, index, asked, k=2, dim=2).collect()
+    assert [(r["item_id"], r["retrieval_method"]) for r in sorted(out, key=lambda r: r["rank"])] == [
+        ("a", "semantic-pinecone"), ("b", "hybrid"),
+    ]

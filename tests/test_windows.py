@@ -135,3 +135,9 @@ def test_system_metrics_use_the_last_queries_only(rows):
     assert (out["p50_latency_ms"], out["p95_latency_ms"], out["p99_latency_ms"]) == (15.0, 19.0, 19.0)
     empty = analytics.system_metrics(rows(schema)).first()
     assert empty["total_queries"] == 0 and empty["p99_latency_ms"] == 0.0
+
+
+def test_trailing_counts_with_string_ids(rows):
+    df = rows("key string, t long, id string", ("a", 0, "x"), ("a", 0, "y"), ("a", 59 * SECOND, "z"))
+    out = trailing_counts(df, ["key"], "t", "id", 60)
+    assert {r["id"]: r["n_recent"] for r in out.collect()} == {"x": 1, "y": 2, "z": 3}
