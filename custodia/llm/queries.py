@@ -1,8 +1,9 @@
 """The registered queries of the operators: thin wrappers that shape each operator's result."""
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from custodia.llm import common, simhash
+from custodia.llm import common, pieces, simhash
 
 QUERIES = {}
 ORACLES = {}
@@ -17,3 +18,12 @@ def _query(build):
 def op1_simhash_near_dedup(spark, sf_dir):
     found = simhash.near_duplicates(common.table(spark, sf_dir, "documents"), words=4, distance=4)
     return found.select("doc_id", "fingerprint", F.col("component").alias("component_id"))
+
+
+@_query
+def op2_sentencepiece(spark, sf_dir):
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    encoded = pieces.encode(common.table(spark, sf_dir, "documents").select("doc_id", "text"), model)
+    counted = encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), pieces.id_digest().alias("ids_sha256"), "ids")
+    decoded = pieces.decode(counted, model, keep_ids=False)
+    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
