@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from custodia.llm import common, pieces, simhash
+from custodia.llm import common, pieces, sharding, simhash
 
 QUERIES = {}
 ORACLES = {}
@@ -27,3 +27,12 @@ def op2_sentencepiece(spark, sf_dir):
     counted = encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), pieces.id_digest().alias("ids_sha256"), "ids")
     decoded = pieces.decode(counted, model, keep_ids=False)
     return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@_query
+def op4_sharding(spark, sf_dir):
+    found = sharding.shard(common.table(spark, sf_dir, "documents"), "doc_id", "text", shards=8)
+    return found.select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
