@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from custodia.llm import common, pieces, sharding, simhash
+from custodia.llm import common, decontaminate, pieces, sharding, simhash
 
 QUERIES = {}
 ORACLES = {}
@@ -36,3 +36,15 @@ def op4_sharding(spark, sf_dir):
         "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+@_query
+def op8_decontamination(spark, sf_dir):
+    tables = [common.table(spark, sf_dir, name) for name in ("documents", "benchmark")]
+    found = decontaminate.find(*tables, words=10)
+    n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    names = F.array_sort(F.transform("items", lambda i: i.cast("string")))
+    return found.select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", names), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
+    )
