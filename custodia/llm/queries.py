@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from custodia.llm import common, decontaminate, pieces, sharding, simhash
+from custodia.llm import common, decontaminate, pieces, sharding, simhash, substrings
 
 QUERIES = {}
 ORACLES = {}
@@ -48,3 +48,9 @@ def op8_decontamination(spark, sf_dir):
         "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
         F.sha2(F.concat_ws(",", names), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"),
     )
+
+
+@_query
+def op6_substring_dedup(spark, sf_dir):
+    kept = substrings.remove_repeats(common.table(spark, sf_dir, "documents"), words=13)
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
