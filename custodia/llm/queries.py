@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from custodia.llm import common, decontaminate, pieces, sharding, simhash, substrings
+from custodia.llm import common, decontaminate, pieces, quality_rules, sharding, simhash, substrings
 
 QUERIES = {}
 ORACLES = {}
@@ -54,3 +54,13 @@ def op8_decontamination(spark, sf_dir):
 def op6_substring_dedup(spark, sf_dir):
     kept = substrings.remove_repeats(common.table(spark, sf_dir, "documents"), words=13)
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@_query
+def op5_quality_rules(spark, sf_dir):
+    docs, labels = (common.table(spark, sf_dir, name) for name in ("documents", "labels"))
+    trusted = quality_rules.trusted_ids(labels, "doc_id", F.col("quality") == 1)
+    found = quality_rules.judge(docs, quality_rules.fit(docs, trusted))
+    return found.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "score", "base_failed", "kept"
+    )
