@@ -15,35 +15,45 @@ from custodia.llm.common import SPACE, text_of
 
 BUCKETS = 1 << 16
 SMOOTHING = 10.0  # counts added to a bucket on both sides: rare n-grams weigh little
-THRESHOLD = -0.1
+THRESHOLD = -0.07
 TRUSTED_ROWS = 20_000  # at most about as many trusted texts make the target
 SYMBOLS = "#*$%&|<>"
-_WHITE = " \t\n\x0b\x0c\r"
 
 
 def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, f"[{SPACE}]+"), "")
 
 
-def _without(text: Column, characters: str) -> Column:
-    return F.translate(text, characters, "")
-
-
 def duplicate_lines(text: Column) -> Column:
     """Lines with a word that equal an earlier line."""
     lines = F.filter(F.split(text, "\n"), lambda line: line.rlike(f"[^{SPACE}]"))
     return (F.size(lines) - F.size(F.array_distinct(lines))).cast("long")
 
 
-def _windows(words: str) -> Column:
-    """(hash, position) of every run of three words, sorted."""
-    w = F.col(words)
-    return F.sort_array(
-        F.transform(
-            F.slice(w, 1, F.greatest(F.size(w) - 2, F.lit(0))),
-            lambda x, i: F.struct(F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)).alias("h"), i.alias("i")),
-        )
-    )
+def _hashes(words: str) -> Column:
+    return F.transform(words, lambda x: F.xxhash64(x))
+
+
+def _next(hashes: Column, i: Column, n: int) -> Column:
+    return F.get(hashes, i + n)
+
+
+def _first(column: str, without: int) -> Column:
+    """The array but its last elements."""
+    return F.slice(column, 1, F.greatest(F.size(column) - without, F.lit(0)))
+
+
+def _threes(hashes: str) -> Column:
+    """A hash of every run of three words."""
+    h = F.col(hashes)
+    return F.transform(_first(hashes, 2), lambda x, i: F.xxhash64(x, _next(h, i, 1), _next(h, i, 2)))
+
+
+def _sorted_if_any_repeats(threes: str) -> Column:
+    """(hash, position) of the runs, sorted; nothing where all differ, as in most texts."""
+    t = F.col(threes)
+    pairs = F.sort_array(F.transform(t, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
+    return F.when(F.size(F.array_distinct(t)) < F.size(t), pairs)
 
 
 def _repeated(windows: str) -> Column:
@@ -65,13 +75,11 @@ def _union_of_threes(positions: str) -> Column:
     return F.aggregate(added, F.lit(0).cast("long"), lambda total, n: total + n)
 
 
-def ngram_buckets(words: str, buckets=BUCKETS) -> Column:
-    """Buckets of all words and all pairs of neighbours."""
-    w = F.col(words)
-    size = F.lit(buckets)
-    one = F.transform(w, lambda x: F.pmod(F.xxhash64(x), size).cast("int"))
-    pairs = F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0)))
-    two = F.transform(pairs, lambda x, i: F.pmod(F.xxhash64(x, F.get(w, i + 1)), size).cast("int"))
+def ngram_buckets(hashes: str, buckets=BUCKETS) -> Column:
+    """Buckets of all words and all pairs of neighbours, from the words' hashes."""
+    h, size = F.col(hashes), F.lit(buckets)
+    one = F.transform(h, lambda x: F.pmod(x, size).cast("int"))
+    two = F.transform(_first(hashes, 1), lambda x, i: F.pmod(F.xxhash64(x, _next(h, i, 1)), size).cast("int"))
     return F.concat(one, two)
 
 
@@ -87,12 +95,14 @@ def fit(docs: DataFrame, trusted: DataFrame, id_col="doc_id", text_col="text", b
     """(bucket, weight) of all buckets that occur: log p(trusted) - log p(corpus), both smoothed.
 
     ``docs`` are counted whole; ids in ``trusted``, a bounded table, mark the trusted texts."""
-    marked = docs.select(F.col(id_col).alias("_id"), words_of(text_of(text_col)).alias("_w")).join(
+    marked = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text")).join(
         F.broadcast(trusted), F.col("_id") == F.col("_trusted"), "left"  # a bounded sample
     )
+    hashed = marked.withColumn("_w", words_of(F.col("_text"))).withColumn("_h", _hashes("_w"))
     counts = (
-        marked.select(F.col("_trusted").isNotNull().cast("long").alias("t"), ngram_buckets("_w", buckets).alias("_b"))
-        .select("t", F.explode("_b").alias("bucket"))
+        hashed.select(F.col("_trusted").isNotNull().cast("long").alias("t"), ngram_buckets("_h", buckets).alias("_b"))
+        .select("t", F.explode_outer("_b").alias("bucket"))  # a plain explode would test the array again at the scan
+        .filter(F.col("bucket").isNotNull())
         .groupBy("bucket")
         .agg(F.sum("t").cast("double").alias("t"), F.count("*").cast("double").alias("r"))
     )
@@ -113,17 +123,19 @@ def judge(docs: DataFrame, weights: DataFrame, id_col="doc_id", text_col="text",
         docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text"))
         .withColumn("_row", F.monotonically_increasing_id())
         .withColumn("_w", words_of(text))
-        .withColumn("_s", _windows("_w"))
+        .withColumn("_h", _hashes("_w"))
+        .withColumn("_t", _threes("_h"))
+        .withColumn("_s", _sorted_if_any_repeats("_t"))
         .withColumn("_p", _repeated("_s"))
     )
     base = counted.select(
         "_id", "_row",
-        F.size("_w").cast("long").alias("n_words"),
-        F.length(_without(text, _WHITE)).cast("long").alias("word_chars"),
-        (F.length(text) - F.length(_without(text, SYMBOLS))).cast("long").alias("n_symbols"),
+        F.size("_h").cast("long").alias("n_words"),
+        (F.length(text) - F.regexp_count(text, F.lit(f"[{SPACE}]"))).cast("long").alias("word_chars"),
+        F.regexp_count(text, F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
         duplicate_lines(text).alias("n_dup_lines"),
-        _union_of_threes("_p").alias("n_repeat_words"),
-        ngram_buckets("_w", buckets).alias("_b"),
+        F.coalesce(_union_of_threes("_p"), F.lit(0).cast("long")).alias("n_repeat_words"),
+        ngram_buckets("_h", buckets).alias("_b"),
     )
     base = base.withColumn("bucket", F.explode_outer("_b")).drop("_b")
     # at most ``buckets`` rows
