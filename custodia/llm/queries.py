@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from custodia.llm import common, decontaminate, pieces, quality_rules, sharding, simhash, substrings
+from custodia.llm import common, decontaminate, pieces, quality_rules, secrets, sharding, simhash, substrings
 
 QUERIES = {}
 ORACLES = {}
@@ -64,3 +64,21 @@ def op5_quality_rules(spark, sf_dir):
     return found.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "score", "base_failed", "kept"
     )
+
+
+@_query
+def op10_secret_scan(spark, sf_dir):
+    found = secrets.find(common.table(spark, sf_dir, "documents"))
+
+    def listed(spans):
+        parts = F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string")))
+        return F.concat_ws(",", parts)
+
+    def count(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    base = F.filter("spans", lambda s: s["kind"] != "novel")
+    return found.select(
+        "doc_id", count("assign"), count("access"), count("hex"),
+        F.sha2(listed(base), 256).alias("base_sha256"), listed("spans").alias("spans"),
+    )
