@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from custodia.llm import common, decontaminate, pieces, quality_rules, secrets, sharding, simhash, substrings
+from custodia.llm import common, decontaminate, pieces, quality_rules, secrets, sharding, simhash, substrings, toxicity
 
 QUERIES = {}
 ORACLES = {}
@@ -82,3 +82,25 @@ def op10_secret_scan(spark, sf_dir):
         "doc_id", count("assign"), count("access"), count("hex"),
         F.sha2(listed(base), 256).alias("base_sha256"), listed("spans").alias("spans"),
     )
+
+
+TOXIC = 0.3  # score from which a text counts as toxic
+
+
+def held_out(id_col="doc_id"):
+    """Rows whose labels are never learnt from."""
+    return F.crc32(F.encode(F.col(id_col).cast("string"), "UTF-8")) % 4 == 2
+
+
+def toxicity_model(docs, spark, sf_dir):
+    return toxicity.fit(docs, common.table(spark, sf_dir, "labels"), learn=~held_out())
+
+
+@_query
+def op3_toxicity(spark, sf_dir):
+    docs = common.table(spark, sf_dir, "documents")
+    found = toxicity.score(docs, toxicity_model(docs, spark, sf_dir))
+    return found.select(
+        "doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= TOXIC).cast("int").alias("predicted"),
+    )
