@@ -3,7 +3,9 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from custodia.llm import common, decontaminate, pieces, quality_rules, secrets, sharding, simhash, substrings, toxicity
+from custodia.llm import (
+    common, decontaminate, pieces, quality_rules, secrets, sharding, simhash, substrings, surrogates, toxicity,
+)
 
 QUERIES = {}
 ORACLES = {}
@@ -104,3 +106,9 @@ def op3_toxicity(spark, sf_dir):
         "doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score",
         (F.col("score") >= TOXIC).cast("int").alias("predicted"),
     )
+
+
+@_query
+def op7_pii_surrogates(spark, sf_dir):
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    return surrogates.pseudonymize(docs, count_col="n_entities")
