@@ -4,7 +4,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from custodia.llm import (
-    common, decontaminate, pieces, quality_rules, secrets, sharding, simhash, substrings, surrogates, toxicity,
+    common, cotraining, decontaminate, pieces, quality_rules, secrets, sharding, simhash, substrings, surrogates, toxicity,
 )
 
 QUERIES = {}
@@ -112,3 +112,14 @@ def op3_toxicity(spark, sf_dir):
 def op7_pii_surrogates(spark, sf_dir):
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
     return surrogates.pseudonymize(docs, count_col="n_entities")
+
+
+@_query
+def op9_quality_classifier(spark, sf_dir):
+    docs, labels = (common.table(spark, sf_dir, name) for name in ("documents", "labels"))
+    model = cotraining.fit(docs, labels, learn=~held_out())
+    found = cotraining.score(docs, model)
+    return found.select(
+        "doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "text_score", "metadata_score", "score",
+        (F.col("score") >= 0.5).alias("kept"),
+    )
