@@ -38,10 +38,10 @@ def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents with their ids, the ids' count, and whether decoding them gives the text back."""
     model = public_tokenizers.path(TOKENIZER)
-    encoded = pieces.encode(docs.withColumn("_text_hash", F.xxhash64(common.text_of("text"))), model)
-    decoded = pieces.decode(encoded, model, out_col="_decoded")
-    exact = F.xxhash64("_decoded") == F.col("_text_hash")
-    return decoded.withColumns({"n_tokens": F.size("ids").cast("long"), "round_trip": exact}).drop("_decoded", "_text_hash")
+    decoded = common.free_name(docs, "_decoded")
+    encoded = pieces.encode(docs, model, decoded_col=decoded)
+    exact = F.col(decoded) == common.text_of("text")
+    return encoded.withColumns({"n_tokens": F.size("ids").cast("long"), "round_trip": exact}).drop(decoded)
 
 
 STAGES = [

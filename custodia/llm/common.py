@@ -100,6 +100,14 @@ def local_components(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, lengthened until no column has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def text_of(column="text"):
     """The text, empty where it is null."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

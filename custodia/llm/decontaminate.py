@@ -119,8 +119,8 @@ def _test_blocks(benchmark, item_col, text_col, words, limit):
     """The test set in blocks of bounded bytes, one at a time."""
     size = F.octet_length(common.text_of(text_col)) + 16
     total = benchmark.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
-    parts = -(-total // limit)
-    own = F.pmod(F.xxhash64(text_col), F.lit(max(1, parts)))
+    parts = max(1, -(-total // limit))
+    own = F.pmod(F.xxhash64(text_col), F.lit(parts))
     for part in range(parts):
         rows = benchmark.filter(own == part).select(item_col, common.text_of(text_col)).distinct().collect()
         yield TestSet([tuple(r) for r in rows], words)

@@ -22,9 +22,10 @@ from pyspark.sql import types as T
 from custodia.llm import common
 
 MARK = "▁"
-TABLE_CHUNKS = 400_000
-TABLE_CHARS = 16_000_000
-IDS_AT_ONCE = 500_000
+TABLE_CHUNKS = 300_000
+TABLE_CHARS = 12_000_000
+ENCODE_BYTES = 2 << 20  # of text encoded at once
+IDS_AT_ONCE = 250_000
 _CHUNK = re.compile(r" *[^ ]+| +\Z")
 _PROBE = "Ａ ﬁ  x "  # a full-width letter, a ligature, a double and a trailing space
 
@@ -98,23 +99,44 @@ class ChunkTable(dict):
         return pa.ListArray.from_arrays(pa.array(before[ends].astype(np.int32)), pa.array(self.ids[at]))
 
 
-def encode(docs: DataFrame, model_path: str, text_col="text", ids_col="ids") -> DataFrame:
+def encode(docs: DataFrame, model_path: str, text_col="text", ids_col="ids", decoded_col=None) -> DataFrame:
     """The rows with the library's ids of their text, without begin or end ids.
 
-    Null and empty texts have no ids. The column is replaced if it is there. The model file must be
-    on every executor, as the library itself."""
-    rest = [c for c in docs.columns if c != ids_col]
-    chosen = docs.select(*rest, common.text_of(text_col).alias("_text"))
+    ``decoded_col`` adds what the library decodes from all ids of a row, in the same pass. Null and
+    empty texts have no ids. Columns of these names are replaced. The model file must be on every
+    executor, as the library itself."""
+    new = [ids_col] + ([decoded_col] if decoded_col else [])
+    rest = [c for c in docs.columns if c not in new]
+    text = common.free_name(docs, "_text")
+    # a text that is kept anyway is sent once
+    source = text_col if text_col in rest else text
+    chosen = docs.select(*rest, *([] if source == text_col else [common.text_of(text_col).alias(text)]))
 
     def run(batches):
-        table = ChunkTable(load(model_path))
+        model = load(model_path)
+        table = ChunkTable(model)
         for batch in batches:
-            for block in common.blocks(batch, "_text"):
-                ids = table.encode(common.string_array(block.column("_text")).to_pylist())
-                yield pa.record_batch([*(block.column(c) for c in rest), ids], [*rest, ids_col])
+            for block in common.blocks(batch, source, ENCODE_BYTES):
+                ids = table.encode(common.string_array(block.column(source)).to_pylist())
+                columns = [*(block.column(c) for c in rest), ids]
+                if decoded_col:
+                    columns.append(pa.array(_decode(model, ids), pa.string()))
+                yield pa.record_batch(columns, [*rest, *new])
 
     schema = docs.select(*rest).schema.add(ids_col, T.ArrayType(T.IntegerType()))
-    return chosen.mapInArrow(run, schema)
+    return chosen.mapInArrow(run, schema.add(decoded_col, "string") if decoded_col else schema)
+
+
+def _decode(model, ids: pa.Array) -> list[str]:
+    """What the library decodes from each list, a bounded number of ids at a time."""
+    counts = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False)
+    part = np.cumsum(counts, dtype=np.int64) // IDS_AT_ONCE
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(ids)]
+    texts = []
+    for start, end in zip(cuts, cuts[1:]):
+        lists = [x or [] for x in ids.slice(start, end - start).to_pylist()]
+        texts += model.decode(lists, num_threads=1) if lists else []
+    return texts
 
 
 def decode(encoded: DataFrame, model_path: str, ids_col="ids", out_col="decoded", keep_ids=True) -> DataFrame:
@@ -125,16 +147,8 @@ def decode(encoded: DataFrame, model_path: str, ids_col="ids", out_col="decoded"
     def run(batches):
         model = sentencepiece.SentencePieceProcessor(model_file=model_path)
         for batch in batches:
-            counts = pc.fill_null(pc.list_value_length(batch.column(ids_col)), 0).to_numpy(zero_copy_only=False)
-            part = np.cumsum(counts, dtype=np.int64) // IDS_AT_ONCE
-            cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
-            for start, end in zip(cuts, cuts[1:]):
-                block = batch.slice(start, end - start)
-                lists = [ids or [] for ids in block.column(ids_col).to_pylist()]
-                texts = model.decode(lists, num_threads=1) if lists else []
-                yield pa.record_batch(
-                    [*(block.column(c) for c in rest), pa.array(texts, pa.string())], [*rest, out_col]
-                )
+            texts = pa.array(_decode(model, batch.column(ids_col)), pa.string())
+            yield pa.record_batch([*(batch.column(c) for c in rest), texts], [*rest, out_col])
 
     return chosen.mapInArrow(run, encoded.select(*rest).schema.add(out_col, "string"))
 

@@ -25,10 +25,12 @@ def op1_simhash_near_dedup(spark, sf_dir):
 @_query
 def op2_sentencepiece(spark, sf_dir):
     model = public_tokenizers.path("piece_bpe_32k.model")
-    encoded = pieces.encode(common.table(spark, sf_dir, "documents").select("doc_id", "text"), model)
-    counted = encoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), pieces.id_digest().alias("ids_sha256"), "ids")
-    decoded = pieces.decode(counted, model, keep_ids=False)
-    return decoded.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
+    encoded = pieces.encode(docs, model, decoded_col="decoded")
+    return encoded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), pieces.id_digest().alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
 
 
 @_query

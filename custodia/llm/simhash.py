@@ -202,6 +202,7 @@ def keep_first(docs: DataFrame, id_col="doc_id", text_col="text", words=4, dista
     key = F.struct(
         F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id"), F.xxhash64(common.text_of(text_col)).alias("h")
     )
-    found = near_duplicates(docs.select(key.alias("_key"), text_col), "_key", text_col, words, distance)
-    kept = found.filter(F.col("_key") == F.col("component")).select("_key").distinct()
-    return docs.withColumn("_key", key).join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(docs.columns)
+    name = common.free_name(docs, "_key")
+    found = near_duplicates(docs.select(key.alias(name), F.col(text_col)), name, text_col, words, distance)
+    kept = found.filter(F.col(name) == F.col("component")).select(name).distinct()
+    return docs.withColumn(name, key).join(kept, name, "left_semi").dropDuplicates([name]).select(docs.columns)
