@@ -121,15 +121,15 @@ def judge(docs: DataFrame, weights: DataFrame, id_col="doc_id", text_col="text",
     text = F.col("_text")
     counted = (
         docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text"))
-        .withColumn("_row", F.monotonically_increasing_id())
         .withColumn("_w", words_of(text))
         .withColumn("_h", _hashes("_w"))
         .withColumn("_t", _threes("_h"))
         .withColumn("_s", _sorted_if_any_repeats("_t"))
         .withColumn("_p", _repeated("_s"))
     )
+    # the row number, last, also keeps later filters above these steps, which would repeat them
     base = counted.select(
-        "_id", "_row",
+        "_id", F.monotonically_increasing_id().alias("_row"),
         F.size("_h").cast("long").alias("n_words"),
         (F.length(text) - F.regexp_count(text, F.lit(f"[{SPACE}]"))).cast("long").alias("word_chars"),
         F.regexp_count(text, F.lit(f"[{SYMBOLS}]")).cast("long").alias("n_symbols"),
