@@ -120,9 +120,6 @@ DEFAULT_PRIORITY = 999
 MAX_REQUESTS_PER_MINUTE = 60
 MAX_REQUESTS_PER_USER_HOUR = 100
 MAX_DENIALS_PER_HOUR = 10
-GLOBAL_HISTORY = 1000
-USER_HISTORY = 200
-DENIAL_HISTORY = 100
 LOG_RETENTION = 1000
 AUDIT_RETENTION = 10000
 CACHE_TTL_SECONDS = 3600

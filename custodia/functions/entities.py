@@ -68,7 +68,8 @@ def _tagged(kind):
 
 
 def _replaced(kind):
-    return lambda acc, v: F.replace(acc, v, F.lit(f"<{kind}>"))
+    # where the pattern can match the value, not inside longer numbers or words
+    return lambda acc, v: F.regexp_replace(acc, F.concat(F.lit("\\b\\Q"), v, F.lit("\\E\\b")), F.lit(f"<{kind}>"))
 
 
 def detect_entities(text, recognizer=None) -> Column:

@@ -35,23 +35,28 @@ def with_embeddings(df: DataFrame, text="content", embed=None, stored=None, key=
 
 
 def moderator(function):
-    """texts -> True where unsafe. A model that fails on a batch lets it pass."""
+    """texts -> (unsafe, failed). Where a batch fails, its texts are judged one by one; only a text
+    that fails by itself passes, and is marked."""
 
-    @F.pandas_udf("boolean")
-    def moderate(texts: pd.Series) -> pd.Series:
+    def judge(texts):
         try:
-            return pd.Series([bool(v) for v in function(texts)], index=texts.index)
+            return [(bool(v), False) for v in function(texts)]
         except Exception:
-            return pd.Series(False, index=texts.index)
+            if len(texts) == 1:
+                return [(False, True)]
+            return [verdict for i in range(len(texts)) for verdict in judge(texts.iloc[i : i + 1])]
+
+    @F.pandas_udf("unsafe boolean, failed boolean")
+    def moderate(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame(judge(texts), columns=["unsafe", "failed"])
 
     return moderate
 
 
 def verdict_table(df: DataFrame, key: str, text: str, moderate) -> DataFrame:
-    """The verdicts of a model in the shape of the stored ones."""
-    return df.select(
-        F.col(key).alias("verdict_id"), moderate(F.col(text)).cast("int").alias("toxic")
-    )
+    """The verdicts of a model in the shape of the stored ones; ``failed`` texts were not judged."""
+    judged = df.select(F.col(key).alias("verdict_id"), moderate(F.col(text)).alias("v"))
+    return judged.select("verdict_id", F.col("v.unsafe").cast("int").alias("toxic"), "v.failed")
 
 
 def entity_recognizer(function):

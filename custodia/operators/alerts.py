@@ -60,19 +60,16 @@ def denial_to_alert(denials: DataFrame, user="username", reason="reason", query=
 
 
 def excessive_denials(denials: DataFrame, limit=C.MAX_DENIALS_PER_HOUR, user="username",
-                      order_id="request_id", micros="micros", seconds=3600,
-                      cap=C.DENIAL_HISTORY) -> DataFrame:
+                      order_id="request_id", micros="micros", seconds=3600) -> DataFrame:
     """A HIGH alert for each denial that is at least the ``limit``-th of its user's last hour."""
     counted = trailing_counts(denials, [user], micros, order_id, seconds, "n_recent")
-    return excessive_alerts(counted, limit, user, cap)
+    return excessive_alerts(counted, limit, user)
 
 
-def excessive_alerts(counted: DataFrame, limit=C.MAX_DENIALS_PER_HOUR, user="username",
-                     cap=C.DENIAL_HISTORY) -> DataFrame:
+def excessive_alerts(counted: DataFrame, limit=C.MAX_DENIALS_PER_HOUR, user="username") -> DataFrame:
     """The alerts of denials that already carry their ``n_recent`` count."""
-    capped = counted.withColumn("n", F.least("n_recent", F.lit(cap)).cast("long"))
-    number = F.col("n").cast("string")
-    return capped.filter(F.col("n") >= limit).select(
+    number = F.col("n_recent").cast("string")
+    return counted.filter(F.col("n_recent") >= limit).select(
         F.lit("excessive_denials").alias("alert_type"),
         F.lit("EXCESSIVE_DENIALS").alias("type"),
         F.col("ts").alias("timestamp"),
@@ -83,7 +80,7 @@ def excessive_alerts(counted: DataFrame, limit=C.MAX_DENIALS_PER_HOUR, user="use
         ).alias("message"),
         F.concat(number, F.lit(" denials in last hour for user "), F.col(user)).alias("description"),
         F.lit(C.HIGH).alias("severity"),
-        F.col("n").alias("denial_count"),
+        F.col("n_recent").alias("denial_count"),
     )
 
 

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from custodia import constants as C
+from custodia.operators.order_stats import order_statistics
 from custodia.session import union
 
 
@@ -12,18 +13,14 @@ def recent_n(df: DataFrame, n: int, ts="ts", order_id="request_id") -> DataFrame
     return df.orderBy(F.col(ts).desc(), F.col(order_id).desc()).limit(n)
 
 
-def retain_last_n(df: DataFrame, n=C.LOG_RETENTION, ts="ts", order_id="request_id") -> DataFrame:
-    return recent_n(df, n, ts, order_id)
+def retain_last_n(df: DataFrame, n=None, ts="ts", order_id="request_id") -> DataFrame:
+    """The whole log, or its newest ``n`` rows where a bound is asked for."""
+    return df if n is None else recent_n(df, n, ts, order_id)
 
 
 def positions(df: DataFrame, *order) -> DataFrame:
     """1-based position of each row of a short result, for readers that want it in order."""
-    ordered = F.sort_array(F.collect_list(F.struct(*order, F.struct(*df.columns).alias("row"))))
-    return (
-        df.agg(ordered.alias("rows"))
-        .select(F.posexplode("rows").alias("at", "r"))
-        .select("r.row.*", (F.col("at") + 1).cast("long").alias("position"))
-    )
+    return df.withColumn("position", F.row_number().over(Window.orderBy(*order)).cast("long"))
 
 
 def interaction_log(rows: DataFrame, ids) -> DataFrame:
@@ -46,8 +43,8 @@ def interaction_log(rows: DataFrame, ids) -> DataFrame:
 
 
 def dashboard_summary(violations: DataFrame, alerts: DataFrame, audit: DataFrame,
-                      retention=C.LOG_RETENTION) -> DataFrame:
-    """The totals of all three logs as one row."""
+                      retention=None) -> DataFrame:
+    """The totals of all three logs as one row; ``retention`` bounds the violations looked at."""
     kept = retain_last_n(violations, retention, "recorded_at", "violation_id")
     guard = kept.agg(
         F.count("*").alias("total_violations"),
@@ -73,8 +70,10 @@ def stage_times(df: DataFrame) -> DataFrame:
     ).drop("retrieval_time", "validation_time", "generation_time")
 
 
-def system_metrics(metrics: DataFrame, history=1000) -> DataFrame:
-    """One row: lifetime counters, and mean and percentiles over the last ``history`` queries."""
+def system_metrics(metrics: DataFrame, history=None) -> DataFrame:
+    """One row: lifetime counters, and mean and percentiles of the latency.
+
+    With ``history`` the latency figures are those of that many of the newest queries."""
     totals = metrics.agg(
         F.count("*").alias("total_queries"),
         F.count_if("success").alias("successful_queries"),
@@ -82,22 +81,18 @@ def system_metrics(metrics: DataFrame, history=1000) -> DataFrame:
         F.coalesce(F.sum("documents_retrieved"), F.lit(0)).alias("total_documents_retrieved"),
         F.coalesce(F.sum("documents_denied"), F.lit(0)).alias("total_validation_denials"),
     )
-    latest = recent_n(metrics, history, "ts", "query_id").select("total_time_ms")
-    values = latest.agg(F.array_sort(F.collect_list("total_time_ms")).alias("v"))
-
-    def at(fraction):
-        position = F.floor(F.size("v") * F.lit(fraction)).cast("int")
-        return F.coalesce(F.get("v", position), F.lit(0.0))
-
-    mean = F.try_divide(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), F.size("v"))
-    latency = values.select(
-        F.coalesce(mean, F.lit(0.0)).alias("avg_latency_ms"),
-        at(0.50).alias("p50_latency_ms"),
-        at(0.95).alias("p95_latency_ms"),
-        at(0.99).alias("p99_latency_ms"),
+    timed = retain_last_n(metrics, history, "ts", "query_id").select("total_time_ms")
+    mean = timed.agg(F.coalesce(F.avg("total_time_ms"), F.lit(0.0)).alias("avg_latency_ms"))
+    fractions = {"p50_latency_ms": 0.5, "p95_latency_ms": 0.95, "p99_latency_ms": 0.99}
+    ranked = order_statistics(timed, [], "total_time_ms", list(fractions.values()))
+    ranks = ranked.agg(
+        *[
+            F.coalesce(F.max(F.when(F.col("p") == p, F.col("total_time_ms"))), F.lit(0.0)).alias(name)
+            for name, p in fractions.items()
+        ]
     )
-    both = union(totals, latency, allow_missing=True)
-    return both.agg(*[F.max(c).alias(c) for c in both.columns])
+    parts = union(totals, mean, ranks, allow_missing=True)
+    return parts.agg(*[F.max(c).alias(c) for c in parts.columns])
 
 
 def counts_by(df: DataFrame, *keys) -> DataFrame:
@@ -119,9 +114,11 @@ def queries_by_role_and_hour(metrics: DataFrame) -> DataFrame:
     )
 
 
-def guardrail_metrics(violations: DataFrame, retention=C.LOG_RETENTION, ts="recorded_at",
+def guardrail_metrics(violations: DataFrame, retention=None, ts="recorded_at",
                       order_id="violation_id") -> DataFrame:
-    """Counts by severity and by type over the retained log, and the totals, as (kind, key, n)."""
+    """Counts by severity and by type over the log, and the totals, as (kind, key, n).
+
+    With ``retention`` only that many of the newest violations are looked at."""
     kept = retain_last_n(violations, retention, ts, order_id).select(
         F.coalesce("severity", F.lit("UNKNOWN")).alias("severity"),
         F.coalesce("violation_type", F.lit("UNKNOWN")).alias("violation_type"),

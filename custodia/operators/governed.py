@@ -19,7 +19,7 @@ def secure_answer_inputs(ranked: DataFrame, corpus: DataFrame, queries: DataFram
     ``ranked`` is a retrieval result; ``queries`` has query_id, query, role (and the
     framework column named by ``framework``)."""
     extra = [framework] if framework else []
-    hits = ranked.join(queries.select("query_id", "role", *extra), "query_id")
+    hits = materialize(ranked.join(queries.select("query_id", "role", *extra), "query_id"), "hits")
     # domains first: counts need no more, and texts are read for permitted documents only
     found = materialize(retrieval.with_documents(hits, corpus, "domain"), "found")
     counts = access.validation_counts(found, ["query_id"], framework=framework)
@@ -34,7 +34,7 @@ def secure_answer_inputs(ranked: DataFrame, corpus: DataFrame, queries: DataFram
     else:
         kept = F.col("documents_validated")
         refusal = F.lit(C.REFUSAL_TEXT)
-    texts = retrieval.with_texts(permitted, corpus, "id", "title", "content")
+    texts = retrieval.with_documents(permitted, corpus, "id", "title", "content")
     context = retrieval.assemble_context(access.annotate(texts))
     zero = F.lit(0).cast("long")
     # left joins: a refused query keeps its row
@@ -103,11 +103,10 @@ def retrieve_and_validate(requests: DataFrame, retrieve, corpus: DataFrame, verd
         "query_id", "role", "department_role", "username", "session_id", "ts", "query",
         F.col("domain").alias("wanted_domain"),
     )
-    found = materialize(
-        retrieval.with_documents(ranked.join(wanted, "query_id"), corpus, "domain"), "found"
-    )
+    hits = materialize(ranked.join(wanted, "query_id"), "hits")
+    found = materialize(retrieval.with_documents(hits, corpus, "domain"), "found")
     in_domain = retrieval.domain_or_public(found)
-    texts = retrieval.with_texts(access.access_filter(in_domain), corpus, "id", "title", "content")
+    texts = retrieval.with_documents(access.access_filter(in_domain), corpus, "id", "title", "content")
     valid = access.annotate(texts)
     order = Window.partitionBy("query_id").orderBy("rank")  # at most 2k rows per query
     documents = valid.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

@@ -9,43 +9,31 @@ from custodia.operators.trailing import trailing_counts
 from custodia.session import materialize
 
 
-def _capped(count, cap):
-    # the reference keeps a bounded history, so a count can never exceed its length
-    return F.least(F.col(count), F.lit(cap)).cast("long")
-
-
 def rate_limit_global(requests: DataFrame, limit=C.MAX_REQUESTS_PER_MINUTE, order_id="request_id",
-                      micros="micros", seconds=60, cap=C.GLOBAL_HISTORY) -> DataFrame:
+                      micros="micros", seconds=60) -> DataFrame:
     """Add ``n_global`` and ``blocked_global``; blocked requests count too."""
     counted = trailing_counts(requests, [], micros, order_id, seconds, "n_global")
-    return counted.withColumn("n_global", _capped("n_global", cap)).withColumn(
-        "blocked_global", F.col("n_global") > limit
-    )
+    return counted.withColumn("blocked_global", F.coalesce(F.col("n_global") > limit, F.lit(False)))
 
 
 def rate_limit_user(requests: DataFrame, limit=C.MAX_REQUESTS_PER_USER_HOUR, user="username",
-                    order_id="request_id", micros="micros", seconds=3600,
-                    cap=C.USER_HISTORY, recorded=None) -> DataFrame:
+                    order_id="request_id", micros="micros", seconds=3600, recorded=None) -> DataFrame:
     """Add ``n_user`` and ``blocked_user``. With ``recorded``, a condition, the other requests
     are not counted and get null."""
     counted = trailing_counts(requests, [user], micros, order_id, seconds, "n_user", recorded)
-    capped = _capped("n_user", cap)
     if recorded is not None:
-        capped = F.when(recorded, capped)
-    return counted.withColumn("n_user", capped).withColumn("blocked_user", F.col("n_user") > limit)
+        counted = counted.withColumn("n_user", F.when(recorded, F.col("n_user")))
+    return counted.withColumn("blocked_user", F.col("n_user") > limit)
 
 
 def rate_limits(requests: DataFrame, per_minute=C.MAX_REQUESTS_PER_MINUTE,
                 per_user_hour=C.MAX_REQUESTS_PER_USER_HOUR, user="username",
                 order_id="request_id", micros="micros") -> DataFrame:
-    """Both limits in order: a globally blocked request is not recorded for its user."""
-    # only keys and times go through the counting; the wide rows are joined once at the end
-    slim = requests.select(order_id, user, micros)
-    globally = materialize(rate_limit_global(slim, per_minute, order_id, micros), "rate-limits")
-    counted = rate_limit_user(
-        globally, per_user_hour, user, order_id, micros, recorded=~F.col("blocked_global")
-    )
-    return requests.join(counted.drop(user, micros), order_id)
+    """Both limits in order: a globally blocked request is not recorded for its user.
+
+    Rows that share an id stay apart. A request without a time counts nowhere and passes."""
+    globally = materialize(rate_limit_global(requests, per_minute, order_id, micros), "rate-limits")
+    return rate_limit_user(globally, per_user_hour, user, order_id, micros, recorded=~F.col("blocked_global"))
 
 
 def rate_violation_columns() -> dict:
@@ -99,7 +87,8 @@ def pii_output_gate(responses: DataFrame, text="response", role="role", recogniz
     """Entities found in responses of roles that may not see them.
 
     ``entities`` keeps one item per finding, ``entity_kinds`` the distinct kinds, sorted."""
-    checked = ~F.col(role).isin("admin", "analyst")
+    # a missing role is no exempt role
+    checked = ~F.coalesce(F.col(role).isin("admin", "analyst"), F.lit(False))
     found = F.when(checked, E.detect_entities(text, recognizer))
     return (
         responses.withColumn("_found", found)

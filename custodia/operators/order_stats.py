@@ -12,6 +12,13 @@ _SMALL = 50_000
 _SALTS = 64
 
 
+def _null_safe_join(left: DataFrame, right: DataFrame, keys, how="inner") -> DataFrame:
+    """Equi-join in which null keys meet."""
+    other = right.withColumnsRenamed({k: f"_right_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_right_{k}")) for k in keys]
+    return left.join(other, same, how).drop(*[f"_right_{k}" for k in keys])
+
+
 def order_statistics(df: DataFrame, keys, value: str, fractions) -> DataFrame:
     """One row per key and fraction: columns ``p``, ``n`` and ``value``."""
     keys = list(keys) or ["_all"]
@@ -50,7 +57,7 @@ def order_statistics(df: DataFrame, keys, value: str, fractions) -> DataFrame:
     everywhere = brackets.withColumn(
         "_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_SALTS - 1).cast("long")))
     )
-    joined = salted.join(everywhere, [*keys, "_salt"])
+    joined = _null_safe_join(salted, everywhere, [*keys, "_salt"])
     under = joined.groupBy(*keys).agg(below.alias("under"))
     inside = (
         joined.select(
@@ -73,9 +80,13 @@ def order_statistics(df: DataFrame, keys, value: str, fractions) -> DataFrame:
     offsets = F.array(*[F.col(f"under.b{i}") for i in range(size)])
     found = (
         inside.withColumn("upto", F.sum("c").over(w))
-        .join(under.select(*keys, offsets.alias("offsets")), keys)
+        .transform(_null_safe_join, under.select(*keys, offsets.alias("offsets")), keys)
         .withColumn("rank", F.col("idx") - F.get("offsets", F.col("i")))
         .filter((F.col("upto") > F.col("rank")) & (F.col("upto") - F.col("c") <= F.col("rank")))
     )
+    # a bracket that misses its rank must not lose a row in silence
+    wanted = brackets.select(*keys, "n", F.explode("wanted").alias("w")).select(*keys, "n", F.col("w.p").alias("p"))
+    found = _null_safe_join(wanted, found.select(*keys, "p", "_v"), [*keys, "p"], "left")
+    missed = F.raise_error(F.lit("an order statistic lies outside its bracket")).cast(rows.schema["_v"].dataType)
     kept = [k for k in keys if k != "_all"]
-    return found.select(*kept, "p", "n", F.col("_v").alias(value))
+    return found.select(*kept, "p", "n", F.coalesce("_v", missed).alias(value))

@@ -8,7 +8,7 @@ from custodia.operators import tfidf
 from custodia.operators.topk import SCORE_DIGITS, top_k
 from custodia.session import union
 
-_BROADCAST_IDS = 1_000_000
+_BROADCAST_BYTES = 64 << 20
 
 
 def semantic_top_k(vectors: DataFrame, queries: DataFrame, k: int, dim: int, metric="cosine",
@@ -72,22 +72,24 @@ def hybrid_retrieve(vectors: DataFrame, index: tfidf.KeywordIndex, queries: Data
     )
 
 
-def with_documents(hits: DataFrame, corpus: DataFrame, *columns) -> DataFrame:
-    """Join ranked hits to short columns of their documents."""
-    docs = corpus.select(F.col("id").alias("_id"), *columns)
-    return hits.join(docs, F.col("item_id") == F.col("_id")).drop("_id")
-
+def with_documents(hits: DataFrame, corpus: DataFrame, *columns, long=("content",)) -> DataFrame:
+    """Join ranked hits to columns of their documents.
 
-def with_texts(hits: DataFrame, corpus: DataFrame, *columns) -> DataFrame:
-    """Join hits to long columns of their documents.
-
-    ``hits`` should be a stored table: its ids are counted first. Up to a checked number of them
-    the corpus is filtered where it is read, so that no unwanted text is shuffled; beyond that it
-    is a plain join."""
+    ``hits`` should be a stored table: its ids are measured first. Up to a checked size of them the
+    corpus is filtered where it is read, so that nothing unwanted is shuffled; beyond that it is a
+    plain join. Of documents that share an id one is taken, the smallest by its short columns and
+    then by the ``long`` ones, so that separate joins agree on it."""
     ids = hits.select(F.col("item_id").alias("id")).distinct()
-    if ids.limit(_BROADCAST_IDS + 1).count() <= _BROADCAST_IDS:
+    size = ids.agg(F.sum(F.octet_length(F.col("id").cast("string")) + 16)).first()[0] or 0
+    if size <= _BROADCAST_BYTES:
         corpus = corpus.join(F.broadcast(ids), "id", "left_semi")
-    return with_documents(hits, corpus, *columns)
+    short = sorted(c for c in corpus.columns if c != "id" and c not in long)
+    texts = [c for c in long if c in corpus.columns]
+    if all(isinstance(c, str) for c in columns):
+        texts = [c for c in texts if c in columns]
+    docs = corpus.groupBy(F.col("id").alias("_id")).agg(F.min(F.struct(*short, *texts)).alias("_doc"))
+    docs = docs.select("_id", F.col("_id").alias("id"), "_doc.*").select("_id", *columns)
+    return hits.join(docs, F.col("item_id") == F.col("_id")).drop("_id")
 
 
 def first_by_id(corpus: DataFrame, key="id", position="position") -> DataFrame:

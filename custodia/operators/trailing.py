@@ -1,92 +1,65 @@
 """Exact trailing-window counts without a large group.
 
-A plain window per key (or with no key) puts a hot key into one task. Here every count is
-the difference of two running positions, and a position is put together from two levels, each
-with a group bounded by the clock and not by the rows:
+A plain window per key (or with no key) puts a hot key into one task. Here every row leaves two marks
+in one order of (key, time, id): its own, and one where its window starts. The marks are cut by range
+into partitions of even size, whatever the keys, instants and id types are; the running number of
+counted rows is a partition's own plus the sum of the partitions before it. A row's count is the
+difference at its two marks, since all marks between them belong to its key.
 
-  * inside a slice of 2^24 microseconds (17 s) of a key: one row per instant and id chunk,
-    because rows of the same key and instant are counted before the shuffle;
-  * the slices of a key: at most 1.9 million per year of log.
-
-Rows of one key at the same instant are taken in id order, in chunks of 2^16 ids (running ids
-fill a chunk; scattered ids only make more chunks). The counted
-instants are written once, since both levels start from them."""
+The sorted marks carry the rows and are written once: the cuts, and so the counts, stay the same when
+a task is run again."""
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from custodia.session import materialize
+from custodia.session import materialize, union
 
 _SECOND_US = 1_000_000
-_SLICE_BITS = 24
-_CHUNK_BITS = 16
-_LAST_CHUNK = 2**62
-
-
-def _running_before(df, part, order, value):
-    """Sum of ``value`` over the earlier rows of the partition."""
-    w = Window.partitionBy(*part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return F.coalesce(F.sum(value).over(w), F.lit(0))
-
-
-def _slice_bases(marks, keys):
-    """Rows before each (key, slice)."""
-    slices = marks.groupBy(*keys, "slice").agg(F.sum("n").alias("n"))
-    return slices.select(*keys, "slice", _running_before(slices, keys, ["slice"], "n").alias("base"))
 
 
 def trailing_counts(events: DataFrame, keys, micros: str, order_id: str, width_seconds: int,
                     out="n_recent", counted=None) -> DataFrame:
     """Add, per row, how many rows of its key lie less than ``width_seconds`` back.
 
-    The row itself counts; of the rows at its own instant those with a smaller id count.
-    ``micros`` is a bigint time in microseconds, ``order_id`` orders ties (best a running integer).
-    With ``counted``, a condition, only rows that meet it are counted; all rows are kept."""
+    The row itself counts; of the rows at its own instant those with a smaller id count, of those with
+    its id too some come before it. ``micros`` is a bigint time in microseconds. With ``counted``, a
+    condition, only rows that meet it are counted. Every row is kept once: null keys form a key of
+    their own, a row without a time counts nowhere and gets null."""
     columns = events.columns
-    constant = [] if keys else ["_all"]
-    part = [*keys, *constant]
-    # ids that are no integers cannot be cut in order: they form one chunk
-    integral = isinstance(events.schema[order_id].dataType, T.IntegralType)
-    chunk = F.shiftright(F.col(order_id).cast("long"), _CHUNK_BITS) if integral else F.lit(0).cast("long")
-    rows = events.withColumn("_t", F.col(micros)).withColumn("_chunk", chunk)
-    for name in constant:
-        rows = rows.withColumn(name, F.lit(0))
     one = F.lit(1) if counted is None else F.when(counted, 1).otherwise(0)
-    rows = rows.withColumn("_one", one.cast("long"))
-
-    instants = materialize(
-        rows.groupBy(*part, "_t", "_chunk").agg(F.sum("_one").alias("n")), "instants"
+    key = [f"_k{i}" for i in range(len(keys))]
+    order = [*key, "at", "start", "tie", "_r"]
+    tagged = events.filter(F.col(micros).isNotNull()).select(
+        F.monotonically_increasing_id().alias("_r"),
+        *[F.col(k).alias(name) for k, name in zip(keys, key)],
+        F.col(micros).alias("_t"),
+        F.col(order_id).alias("_o"),
+        one.cast("long").alias("_one"),
+        F.struct(*columns).alias("_row"),
     )
-    width_us = width_seconds * _SECOND_US
-    # each counted instant twice: where it stands, and where its window starts
-    marks = instants.select(
-        *part,
-        "_t",
-        "_chunk",
-        F.explode(
-            F.array(
-                F.struct(
-                    F.col("_t").alias("at"), F.col("_chunk").alias("at_chunk"),
-                    F.col("n").alias("n"), F.lit(False).alias("start"),
-                ),
-                F.struct(
-                    (F.col("_t") - width_us).alias("at"), F.lit(_LAST_CHUNK).alias("at_chunk"),
-                    F.lit(0).cast("long").alias("n"), F.lit(True).alias("start"),
-                ),
-            )
-        ).alias("m"),
-    ).select(*part, "_t", "_chunk", "m.*")
-    marks = marks.withColumn("slice", F.shiftright("at", _SLICE_BITS))
-
-    before = _running_before(marks, [*part, "slice"], ["at", "at_chunk"], "n")
-    placed = marks.withColumn("before", before).join(_slice_bases(marks, part), [*part, "slice"])
-    sign = F.when(F.col("start"), -1).otherwise(1)
-    earlier = placed.groupBy(*part, "_t", "_chunk").agg(
-        F.sum(sign * (F.col("before") + F.col("base"))).alias("_earlier")
+    nothing = F.lit(False)  # keeps the type of what it hides
+    own = F.struct(
+        F.col("_t").alias("at"), F.lit(False).alias("start"), F.col("_o").alias("tie"),
+        F.col("_one").alias("n"), F.col("_row").alias("row"),
     )
-    within = Window.partitionBy(*part, "_t", "_chunk").orderBy(order_id)
-    own = F.sum("_one").over(within.rowsBetween(Window.unboundedPreceding, 0))
-    return rows.join(earlier, [*part, "_t", "_chunk"]).select(
-        *columns, (F.col("_earlier") + own).cast("long").alias(out)
+    # after all rows of its instant: a row exactly the width back is out
+    start = F.struct(
+        (F.col("_t") - width_seconds * _SECOND_US).alias("at"), F.lit(True).alias("start"),
+        F.when(nothing, F.col("_o")).alias("tie"), F.lit(0).cast("long").alias("n"),
+        F.when(nothing, F.col("_row")).alias("row"),
     )
+    marks = tagged.select("_r", *key, F.explode(F.array(own, start)).alias("m")).select("_r", *key, "m.*")
+    parts = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    marks = marks.repartitionByRange(parts, *order).withColumn("_p", F.spark_partition_id())
+    marks = materialize(marks, "marks")
+
+    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # a row per partition
+    bases = marks.groupBy("_p").agg(F.sum("n").alias("n"))
+    bases = bases.select("_p", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_base"))
+    upto = Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    placed = marks.withColumn("_n", F.sum("n").over(upto)).join(F.broadcast(bases), "_p")
+    placed = placed.withColumn("_n", F.col("_n") + F.col("_base"))
+    starts = placed.filter("start").select("_r", F.col("_n").alias("_n0"))
+    found = placed.filter("not start").join(starts, "_r").select("row.*", (F.col("_n") - F.col("_n0")).alias(out))
+    untimed = events.filter(F.col(micros).isNull()).select(*columns, F.lit(None).cast("long").alias(out))
+    return union(found, untimed)

@@ -374,7 +374,8 @@ def _mask_kinds(column):
             out = f"regexp_replace({out}, {lit(pattern)}, '<{kind}>', 'g')"
         else:
             out = (
-                f"list_reduce(list_distinct({entity_list(out, kind)}), lambda a, v: replace(a, v, '<{kind}>'), {out})"
+                f"list_reduce(list_distinct({entity_list(out, kind)}), lambda a, v: "
+                f"regexp_replace(a, '\\b\\Q' || v || '\\E\\b', '<{kind}>', 'g'), {out})"
             )
     return out
 

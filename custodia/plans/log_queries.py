@@ -6,7 +6,6 @@ from custodia import constants as C
 from custodia.functions import text
 from custodia.operators import access, alerts, analytics, guardrails
 from custodia.operators.order_stats import order_statistics
-from custodia.operators.trailing import trailing_counts
 from custodia.plans.registry import query
 from custodia.plans.sql_views import text as lit
 from custodia.plans.sql_views import with_views, words
@@ -136,8 +135,8 @@ def _audit(spark, sf_dir):
     FROM (SELECT count(*) AS total_queries, count_if(success) AS successful_queries, count_if(NOT success) AS failed_queries,
       sum(documents_retrieved)::BIGINT AS total_documents_retrieved, sum(documents_denied)::BIGINT AS total_validation_denials
       FROM query_metrics) t,
-    (SELECT avg(total_time_ms) AS avg_ms, list_sort(list(total_time_ms)) AS v, count(*) AS n FROM
-      (SELECT total_time_ms FROM query_metrics ORDER BY ts DESC, query_id DESC LIMIT 1000))"""))
+    (SELECT avg(total_time_ms) AS avg_ms, list_sort(list(total_time_ms)) AS v, count(*) AS n
+      FROM query_metrics)"""))
 def system_metrics(spark, sf_dir):
     out = analytics.system_metrics(analytics.stage_times(T.query_metrics(spark, sf_dir)))
     return out.select(*[F.round(c, 8).alias(c) if c.endswith("_ms") else c for c in out.columns])
@@ -174,10 +173,9 @@ def security_summary(spark, sf_dir):
 
 
 @query("guardrail_metrics", with_views("violations", """
-    , kept AS (SELECT * FROM violations ORDER BY recorded_at DESC, violation_id DESC LIMIT 1000)
-    SELECT 'severity' AS kind, severity AS key, count(*) AS n FROM kept GROUP BY 2
-    UNION ALL SELECT 'type', violation_type, count(*) FROM kept GROUP BY 2
-    UNION ALL SELECT 'total', 'all', count(*) FROM kept""".lstrip()))
+    SELECT 'severity' AS kind, severity AS key, count(*) AS n FROM violations GROUP BY 2
+    UNION ALL SELECT 'type', violation_type, count(*) FROM violations GROUP BY 2
+    UNION ALL SELECT 'total', 'all', count(*) FROM violations"""))
 def guardrail_metrics(spark, sf_dir):
     return analytics.guardrail_metrics(T.violations(spark, sf_dir))
 
@@ -236,9 +234,8 @@ def audit_counters(spark, sf_dir):
 
 
 @query("dashboard_summary", with_views("denial_alerts excessive violations", f"""
-    , kept AS (SELECT * FROM violations ORDER BY recorded_at DESC, violation_id DESC LIMIT 1000),
-    g AS (SELECT count(*) AS total_violations, count_if(severity = 'CRITICAL') AS critical_violations,
-      count_if(severity = 'HIGH') AS high_violations FROM kept),
+    , g AS (SELECT count(*) AS total_violations, count_if(severity = 'CRITICAL') AS critical_violations,
+      count_if(severity = 'HIGH') AS high_violations FROM violations),
     s AS (SELECT {_LEVELS} FROM severities), a AS (SELECT {_COUNTERS} FROM flagged)
     SELECT g.*, s.*, a.* FROM g, s, a""".lstrip(), _SEVERITIES))
 def dashboard_summary(spark, sf_dir):
@@ -351,15 +348,6 @@ def excessive_denials(spark, sf_dir):
     return both.withColumn("timestamp", stamp("timestamp"))
 
 
-@query("deque_caps", with_views("denials", """
-    SELECT request_id, least(n, 3) AS n_capped, least(n, 3) >= 4 AS fires FROM (SELECT *, count(*) OVER (PARTITION BY username
-      ORDER BY micros RANGE BETWEEN 86399999999 PRECEDING AND CURRENT ROW) AS n FROM denials)"""))
-def deque_caps(spark, sf_dir):
-    counted = trailing_counts(T.denials(spark, sf_dir), ["username"], "micros", "request_id", 86_400, "n")
-    capped = F.least("n", F.lit(3)).cast("long")
-    return counted.select("request_id", capped.alias("n_capped"), (capped >= 4).alias("fires"))
-
-
 _CACHE = """touched AS (SELECT md5(event_type || query) AS fingerprint, micros FROM requests),
     gaps AS (SELECT fingerprint, micros - lag(micros) OVER (PARTITION BY fingerprint ORDER BY micros) AS gap FROM touched),
     per_key AS (SELECT fingerprint, count(*) AS accesses, count_if(coalesce(gap <= 3600000000, false)) AS hits,

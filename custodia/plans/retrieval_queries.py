@@ -184,7 +184,7 @@ def query_similar_filtered(spark, sf_dir):
         T.vectors(spark, sf_dir), T.question_vectors(spark, sf_dir), K, DIM, namespace="ns0", domain="finance"
     )
     docs = T.corpus(spark, sf_dir)
-    shown = retrieval.with_texts(
+    shown = retrieval.with_documents(
         materialize(hits, "hits"), docs, "title", "domain", F.substring("content", 1, 1000).alias("content_preview")
     )
     return _rounded(shown.withColumnRenamed("item_id", "id"))
@@ -425,7 +425,7 @@ def _validated(spark, sf_dir):
     hits = _hybrid(spark, sf_dir, K).join(asked, "query_id")
     found = materialize(retrieval.with_documents(hits, corpus, "domain"), "found")
     return access.annotate(
-        retrieval.with_texts(access.access_filter(found), corpus, "id", "title", "content")
+        retrieval.with_documents(access.access_filter(found), corpus, "id", "title", "content")
     )
 
 

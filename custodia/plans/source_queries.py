@@ -30,7 +30,7 @@ def _records(spark, sf_dir):
 
 @query("scan_violations", with_views("violations", f"""
     SELECT violation_type, severity, description, {sql_stamp('recorded_at')} AS recorded_at, username, query, violation_id
-    FROM violations ORDER BY recorded_at DESC, description DESC LIMIT 1000"""))
+    FROM violations"""))
 def scan_violations(spark, sf_dir):
     path = new_path(spark, "violations-json")
     _records(spark, sf_dir).write.option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(path)
@@ -46,7 +46,7 @@ def scan_violations(spark, sf_dir):
       SELECT alert_type, ts AS t, "user", message, severity, NULL::BIGINT AS denial_count FROM denial_alerts UNION ALL
       SELECT alert_type, ts, "user", message, severity, denial_count FROM excessive UNION ALL
       SELECT 'guardrail_' || violation_type, recorded_at, "user", 'Guardrail violation: ' || description, severity, NULL
-        FROM violations WHERE severity IN ('CRITICAL', 'HIGH')) ORDER BY t DESC, message DESC LIMIT 1000"""))
+        FROM violations WHERE severity IN ('CRITICAL', 'HIGH'))"""))
 def scan_alerts(spark, sf_dir):
     path = new_path(spark, "alerts-json")
     _alerts(spark, sf_dir).write.option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(path)

@@ -131,10 +131,10 @@ VIEWS = {
         FROM embeddings e JOIN corpus c ON c.id = e.vec_id""",
     "question_vectors": """SELECT q.*, e.embedding::DOUBLE[] AS embedding FROM questions q
         JOIN embeddings e ON e.vec_id = q.query_id % (SELECT count(*) FROM embeddings)""",
-    "rate_global": """SELECT *, least(count(*) OVER (ORDER BY micros RANGE BETWEEN 59999999 PRECEDING
-        AND CURRENT ROW), 1000) AS n_global FROM requests""",
-    "rate_user": f"""SELECT request_id AS u_id, least(count(*) OVER (PARTITION BY username ORDER BY micros
-        RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW), 200) AS n_user
+    "rate_global": """SELECT *, count(*) OVER (ORDER BY micros RANGE BETWEEN 59999999 PRECEDING
+        AND CURRENT ROW) AS n_global FROM requests""",
+    "rate_user": f"""SELECT request_id AS u_id, count(*) OVER (PARTITION BY username ORDER BY micros
+        RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW) AS n_user
         FROM rate_global WHERE n_global <= {T.PER_MINUTE}""",
     "limited": f"""SELECT g.*, g.n_global > {T.PER_MINUTE} AS blocked_global, u.n_user,
         u.n_user > {T.PER_USER_HOUR} AS blocked_user
@@ -163,8 +163,8 @@ VIEWS = {
         'Access denied: Role ''' || role || ''' attempted to access ''' || domain || ''' domain' AS message,
         coalesce(reason, 'Access denied for role ''' || role || ''' to domain ''' || domain || '''') AS description,
         'MEDIUM' AS severity, domain, role, substr(query, 1, 200) AS query FROM denials""",
-    "denial_counts": """SELECT *, least(count(*) OVER (PARTITION BY username ORDER BY micros
-        RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW), 100) AS n FROM denials""",
+    "denial_counts": """SELECT *, count(*) OVER (PARTITION BY username ORDER BY micros
+        RANGE BETWEEN 3599999999 PRECEDING AND CURRENT ROW) AS n FROM denials""",
     "excessive": f"""SELECT 'excessive_denials' AS alert_type, 'EXCESSIVE_DENIALS' AS type, ts, request_id,
         username AS "user", session_id, 'Excessive access denials detected: ' || n || ' denials in last hour' AS message,
         n || ' denials in last hour for user ' || username AS description, 'HIGH' AS severity, n AS denial_count

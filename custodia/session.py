@@ -1,7 +1,10 @@
 """Session and shared-folder helpers."""
 
+import atexit
 import functools
 import os
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -33,23 +36,36 @@ def local_session(cpus="*", shuffle_partitions=8, **conf):
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor sees, as the cluster names it.
 
-    Only a local master may fall back to a machine-local folder."""
+    Only a session whose executors are this process may use a temporary folder of the machine."""
     configured = spark.conf.get(_DIR_KEY, None)
     if configured:
         return configured
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError(f"set {_DIR_KEY} to a folder shared by all executors")
     return _local_fallback()
 
 
 @functools.cache
 def _local_fallback():
-    return tempfile.mkdtemp(prefix="custodia-")
+    path = tempfile.mkdtemp(prefix="custodia-")
+    atexit.register(shutil.rmtree, path, ignore_errors=True)
+    return path
+
+
+_owned = set()
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return os.path.join(shared_dir(spark), "custodia", f"{name}-{uuid.uuid4().hex}")
+    """A fresh path below the shared folder, removed with the application's others when its JVM ends."""
+    context = spark.sparkContext
+    work = os.path.join(shared_dir(spark), "custodia", context.applicationId)
+    if work not in _owned:
+        folder = context._jvm.org.apache.hadoop.fs.Path(work)
+        files = folder.getFileSystem(context._jsc.hadoopConfiguration())
+        files.mkdirs(folder)
+        files.deleteOnExit(folder)
+        _owned.add(work)
+    return os.path.join(work, f"{name}-{uuid.uuid4().hex}")
 
 
 def materialize(df: DataFrame, name: str, partition_by=()) -> DataFrame:
@@ -63,16 +79,6 @@ def materialize(df: DataFrame, name: str, partition_by=()) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Spread a table that is read in fewer splits than there are cores.
-
-    A split is at most ``spark.sql.files.maxPartitionBytes``, so only a small table is ever
-    shuffled here; without it, a file of one row group keeps a single core busy with work that
-    is heavy per row."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
 def union(*frames: DataFrame, allow_missing=False) -> DataFrame:
     """All rows of the frames, by column name.
 

@@ -15,13 +15,13 @@ VIOLATION_SCHEMA = (
 )
 
 
-def scan_violations(spark: SparkSession, path: str, retention=C.LOG_RETENTION, array_files=True) -> DataFrame:
-    """The newest violations of a JSON log."""
+def scan_violations(spark: SparkSession, path: str, retention=None, array_files=True) -> DataFrame:
+    """The violations of a JSON log, or the newest ``retention`` of them."""
     log = spark.read.schema(VIOLATION_SCHEMA).option("multiLine", str(array_files).lower()).json(path)
     return analytics.retain_last_n(log, retention, "recorded_at", "description")
 
 
-def scan_alerts(spark: SparkSession, path: str, retention=C.LOG_RETENTION, array_files=True) -> DataFrame:
+def scan_alerts(spark: SparkSession, path: str, retention=None, array_files=True) -> DataFrame:
     log = spark.read.schema(ALERT_SCHEMA).option("multiLine", str(array_files).lower()).json(path)
     return analytics.retain_last_n(log, retention, "timestamp", "message")
 
