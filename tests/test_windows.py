@@ -141,3 +141,51 @@ def test_trailing_counts_with_string_ids(rows):
     df = rows("key string, t long, id string", ("a", 0, "x"), ("a", 0, "y"), ("a", 59 * SECOND, "z"))
     out = trailing_counts(df, ["key"], "t", "id", 60)
     assert {r["id"]: r["n_recent"] for r in out.collect()} == {"x": 1, "y": 2, "z": 3}
+
+
+def test_every_row_is_counted_once_whatever_its_key_time_and_id(rows):
+    data = [(None, 0, 1), ("a", 0, 2), ("a", None, 3), ("a", 5, 2), ("a", 5, 2), (None, 7, None), (None, None, None)]
+    df = rows("key string, t long, id long", *data)
+    out = trailing_counts(df, ["key"], "t", "id", 60).collect()
+    assert sorted((tuple(r)[:3] for r in out), key=repr) == sorted(data, key=repr)
+    counts = {}
+    for r in out:
+        counts.setdefault((r["key"], r["t"]), []).append(r["n_recent"])
+    assert {k: sorted(v, key=repr) for k, v in counts.items()} == {
+        (None, 0): [1], ("a", 0): [1], ("a", None): [None], ("a", 5): [2, 3], (None, 7): [2], (None, None): [None],
+    }
+
+
+def test_limits_keep_null_users_and_repeated_requests(rows):
+    data = [(1, None, 0), (1, None, 0), (2, "u", 1), (3, "u", None)]
+    out = guardrails.rate_limits(rows("request_id long, username string, micros long", *data), 2, 5).collect()
+    assert sorted(((r["request_id"], r["username"], r["micros"]) for r in out), key=repr) == sorted(data, key=repr)
+    assert sorted((r["n_global"], r["n_user"]) for r in out if r["username"] is None) == [(1, 1), (2, 2)]
+    assert [r["blocked_global"] for r in out if r["request_id"] in (2, 3)].count(True) == 1
+
+
+def test_counts_above_any_bound(rows):
+    df = rows("request_id long, username string, micros long", *[(i, "u", i) for i in range(1200)])
+    out = guardrails.rate_limits(df, 1150, 10_000)
+    assert out.agg(F.max("n_global"), F.count_if("blocked_global")).first()[:] == (1200, 50)
+
+
+def test_one_instant_is_cut_by_any_id(spark):
+    df = spark.range(40_000).selectExpr("uuid() as id", "cast(0 as long) as t")
+    out = trailing_counts(df, [], "t", "id", 60)
+    assert out.agg(F.min("n_recent"), F.max("n_recent"), F.count_distinct("n_recent")).first()[:] == (1, 40_000, 40_000)
+
+
+def test_order_statistics_keep_the_null_group(rows):
+    df = rows("g string, v double", (None, 1.0), (None, 3.0), ("a", 2.0))
+    out = {(r["g"], r["p"]): r["v"] for r in order_stats.order_statistics(df, ["g"], "v", [0.5]).collect()}
+    assert out == {(None, 0.5): 3.0, ("a", 0.5): 2.0}
+
+
+def test_metrics_cover_the_whole_log(rows):
+    data = [(str(i), "HIGH" if i % 2 else None, "t", i) for i in range(1500)]
+    df = rows("violation_id string, severity string, violation_type string, recorded_at long", *data)
+    out = {(r["kind"], r["key"]): r["n"] for r in analytics.guardrail_metrics(df).collect()}
+    assert out == {("severity", "HIGH"): 750, ("severity", "UNKNOWN"): 750, ("type", "t"): 1500, ("total", "all"): 1500}
+    bounded = {(r["kind"], r["key"]): r["n"] for r in analytics.guardrail_metrics(df, retention=100).collect()}
+    assert bounded[("total", "all")] == 100
