@@ -184,7 +184,7 @@ REFUSAL_TEXT = (
     "I couldn't find any information I'm authorized to share with you based on your access level."
 )
 
-# --- fixed values: default English stop words (the list Spark ML ships) -------------
+# --- default English stop words, a parameter: the list that Spark ML ships ---------
 STOP_WORDS = """
 i me my myself we our ours ourselves you your yours yourself yourselves he him his himself
 she her hers herself it its itself they them their theirs themselves what which who whom this

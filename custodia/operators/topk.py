@@ -3,9 +3,8 @@
 Scores are computed block against block with a matrix product inside Spark tasks. A task
 emits at most k rows per query, never a row per pair.
 
-Queries below a checked size are sent to every task once and the items stay where they
-are. Above it, both sides are cut into blocks of bounded size, and each (query block,
-item block) cell becomes one co-grouped task."""
+The items stay where they are. Queries are sent to every task in blocks of bounded size, one
+after the other: each block passes once over the items."""
 
 import math
 
@@ -15,9 +14,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from custodia.session import materialize, union
+
 SCORE_DIGITS = 9  # ranking precision: hides the summation order of the product
-BROADCAST_BYTES = 64 << 20
-CELL_BYTES = 64 << 20
+BLOCK_BYTES = 64 << 20
+_KEPT_BYTES = 24  # of a scored id
 _SCORES_PER_STEP = 4_000_000
 _ITEM_BYTES = 8 << 20
 
@@ -144,25 +145,28 @@ def _usable(df, key, vector, layout, dim):
 
 def top_k(items: DataFrame, queries: DataFrame, k: int, dim: int, metric="cosine", layout="dense",
           item_key="id", query_key="query_id", vector="embedding", positive_only=False,
-          broadcast_bytes=BROADCAST_BYTES) -> DataFrame:
+          block_bytes=BLOCK_BYTES, least_blocks=1) -> DataFrame:
     """(query_id, item_id, score, rank) of the k best items per query.
 
-    ``metric`` is cosine, dot or l2 (score = minus the squared distance)."""
+    ``metric`` is cosine, dot or l2 (score = minus the squared distance). Queries go to the tasks in
+    blocks of at most about ``block_bytes``, what a task keeps for them included."""
     types = id_type(queries, query_key), id_type(items, item_key)
     item_rows = _usable(items, item_key, vector, layout, dim)
     query_rows = _usable(queries, query_key, vector, layout, dim)
-    # decoded queries are dense float64, whatever their layout
-    limit = max(1, broadcast_bytes // (8 * dim))
-    head = query_rows.limit(limit + 1).toArrow()
-    if head.num_rows <= limit:
-        partial = _with_broadcast_queries(item_rows, head, k, dim, metric, layout, positive_only, types)
-    else:
-        partial = _with_cells(item_rows, query_rows, k, dim, metric, layout, positive_only, types)
+    # decoded queries are dense float64, whatever their layout; a task keeps k scored ids of each
+    limit = max(1, block_bytes // (8 * dim + _KEPT_BYTES * (k + 1)))
+    blocks = max(least_blocks, math.ceil(query_rows.count() / limit))
+    parts = []
+    for block in range(blocks):
+        mine = query_rows.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block) if blocks > 1 else query_rows
+        parts.append(_best_of_block(item_rows, mine.toArrow(), k, dim, metric, layout, positive_only, types))
     best_first = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "item_id")
-    return partial.withColumn("rank", F.row_number().over(best_first)).filter(F.col("rank") <= k)
+    ranked = union(*parts).withColumn("rank", F.row_number().over(best_first))
+    return ranked.filter(F.col("rank") <= k)
 
 
-def _with_broadcast_queries(items, head, k, dim, metric, layout, positive_only, types):
+def _best_of_block(items, head, k, dim, metric, layout, positive_only, types):
+    """Each task's best items for one block of queries, written so that the block can be let go."""
     ids = _ids(head.column(0))
     matrix = _DECODERS[layout](head.column(1), dim)
     shared = items.sparkSession.sparkContext.broadcast((ids, matrix))
@@ -171,32 +175,6 @@ def _with_broadcast_queries(items, head, k, dim, metric, layout, positive_only,
         query_ids, query_matrix = shared.value
         yield _score_batches(batches, query_ids, query_matrix, k, metric, layout, positive_only, types)
 
-    return items.mapInArrow(run, _schema(types))
-
-
-def _with_cells(items, queries, k, dim, metric, layout, positive_only, types):
-    # a cell holds at most this many rows of each side, at 8 bytes per dimension
-    rows = max(1, CELL_BYTES // (8 * dim))
-
-    def blocks(df):
-        return max(1, math.ceil(df.count() / rows))
-
-    q_blocks, i_blocks = blocks(queries), blocks(items)
-
-    def placed(df, own, own_blocks, other, other_blocks):
-        return df.withColumn(own, F.pmod(F.xxhash64("id"), F.lit(own_blocks))).withColumn(
-            other, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(other_blocks - 1).cast("long")))
-        )
-
-    left = placed(queries, "qb", q_blocks, "ib", i_blocks).select("qb", "ib", "id", "vec")
-    right = placed(items, "ib", i_blocks, "qb", q_blocks).select("qb", "ib", "id", "vec")
-
-    def run(query_table, item_table):
-        query_ids = _ids(query_table.column("id"))
-        matrix = _DECODERS[layout](query_table.column("vec"), dim)
-        batches = item_table.select(["id", "vec"]).combine_chunks().to_batches() if len(query_ids) else []
-        return pa.Table.from_batches(
-            [_score_batches(batches, query_ids, matrix, k, metric, layout, positive_only, types)]
-        )
-
-    return left.groupBy("qb", "ib").cogroup(right.groupBy("qb", "ib")).applyInArrow(run, _schema(types))
+    found = materialize(items.mapInArrow(run, _schema(types)), "best")
+    shared.destroy()
+    return found

@@ -299,7 +299,8 @@ def alternative_roles(spark, sf_dir):
 
 
 _RESPONSES = """responses AS (SELECT conv_id * 100 + turn AS rid, conv_id, text AS response,
-      ['admin','analyst','manager','employee','guest'][(conv_id % 5) + 1] AS role FROM conversations WHERE role = 'assistant'
+      CASE conv_id % 7 WHEN 0 THEN NULL WHEN 1 THEN 'visitor' ELSE ['admin','analyst','manager','employee','guest'][(conv_id % 5) + 1] END
+      AS role FROM conversations WHERE role = 'assistant'
       UNION ALL SELECT -1 - doc_id, doc_id, text, ['admin','analyst','manager','employee','guest'][((doc_id // 2) % 5) + 1]
       FROM documents)"""
 
@@ -308,7 +309,7 @@ def _responses(spark, sf_dir):
     conv = F.col("conv_id")
     turns = T.table(spark, sf_dir, "conversations").filter("role = 'assistant'").select(
         (conv * 100 + F.col("turn")).alias("rid"), "conv_id", F.col("text").alias("response"),
-        T.pick(C.ROLES, conv).alias("role"),
+        F.when(conv % 7 == 1, "visitor").when(conv % 7 > 1, T.pick(C.ROLES, conv)).alias("role"),
     )
     doc = F.col("doc_id")
     docs = T.table(spark, sf_dir, "documents").select(

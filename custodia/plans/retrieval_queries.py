@@ -11,7 +11,7 @@ from custodia.plans.sql_views import hybrid, role_mask, rows, with_views, words
 from custodia.plans.sql_views import text as lit
 from custodia.sources import tables as T
 from custodia.sources import vector_store
-from custodia.session import materialize, union
+from custodia.session import materialize, new_path, union
 
 DIM = 64
 K = 5
@@ -88,7 +88,10 @@ def _shown(store):
     changed AS (SELECT id, domain FROM corpus JOIN labels ON doc_id = id WHERE quality = 1)"""))
 def vector_upsert(spark, sf_dir):
     changes = vector_store.with_key(_updates(spark, sf_dir))
-    return _shown(vector_store.upsert(_store(spark, sf_dir), changes))
+    path = new_path(spark, "vector-store")
+    vector_store.write_store(_store(spark, sf_dir), path, buckets=4)
+    vector_store.merge_into(changes, path, buckets=4)
+    return _shown(spark.read.parquet(path))
 
 
 @query("vector_delete_ids", with_views("vectors", """
@@ -171,8 +174,7 @@ def semantic_topk_dot(spark, sf_dir):
 
 @query("query_x_document", with_views("cos_ranked", f"{_TOP} cos_ranked WHERE rank <= 3"))
 def query_x_document(spark, sf_dir):
-    # no room for a broadcast: both sides are cut into blocks
-    return _rounded(_semantic(spark, sf_dir, 3, broadcast_bytes=0))
+    return _rounded(_semantic(spark, sf_dir, 3, least_blocks=4))
 
 
 @query("query_similar_filtered", with_views("cos_scores", """

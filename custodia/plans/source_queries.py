@@ -190,13 +190,25 @@ def rag_functions(spark, sf_dir):
     return T.requests(spark, sf_dir).transform(tools.check_access).select("request_id", "general_role", "allowed")
 
 
+def _shape(texts):
+    """Stands in for an embedding model: length, words and question marks of each text."""
+    return [[len(t), t.count(" ") + 1, t.count("?")] for t in texts]
+
+
 @query("embedder", with_views("question_vectors", """
-    SELECT query_id, len(embedding) AS dim, round(list_sum(embedding), 4) AS total FROM question_vectors"""))
+    SELECT query_id, len(embedding) AS dim, round(list_sum(embedding), 4) AS total, 3 AS model_dim,
+      (length(query) + len(string_split(query, ' ')) + length(query) - length(replace(query, '?', '')))::DOUBLE AS model_total
+    FROM question_vectors"""))
 def embedder(spark, sf_dir):
-    """The default contract: vectors from the stored table."""
-    total = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x.cast("double"))
-    return T.question_vectors(spark, sf_dir).select(
-        "query_id", F.size("embedding").cast("long").alias("dim"), F.round(total, 4).alias("total")
+    """Both contracts: vectors of a stored table, and of a model that is called on the texts."""
+    def total(name):
+        return F.aggregate(name, F.lit(0.0), lambda a, x: a + x.cast("double"))
+
+    stored = T.question_vectors(spark, sf_dir).select("query_id", "query", F.col("embedding").alias("stored"))
+    both = plugins.with_embeddings(stored, "query", embed=plugins.embedder(_shape))
+    return both.select(
+        "query_id", F.size("stored").cast("long").alias("dim"), F.round(total("stored"), 4).alias("total"),
+        F.size("embedding").cast("long").alias("model_dim"), total("embedding").alias("model_total"),
     )
 
 

@@ -119,12 +119,13 @@ def stream_dashboard_counts(spark, sf_dir):
       FROM touched),
     runs AS (SELECT *, sum(s) OVER (PARTITION BY fingerprint ORDER BY micros) AS run FROM marked)
     SELECT fingerprint, {sql_stamp('min(ts)')} AS session_start, count(*) AS accesses, count(*) - 1 AS hits FROM runs
-    GROUP BY fingerprint, run HAVING max(micros) + 3600000000 <= (SELECT max(micros) // 1000 * 1000 - 600000000 FROM requests)""".lstrip()))
+    GROUP BY fingerprint, run""".lstrip()))
 def stream_cache_sessions(spark, sf_dir):
     out, work = _paths(spark, "sessions")
     touched = _requests(spark, sf_dir).select(F.md5(F.concat("event_type", "query")).alias("fingerprint"), "ts")
     _finish(flows.append_files(flows.cache_sessions(touched), out, work))
-    return spark.read.parquet(out).select(
+    accesses = T.requests(spark, sf_dir).select(F.md5(F.concat("event_type", "query")).alias("fingerprint"), "ts")
+    return flows.with_open_sessions(spark.read.parquet(out), accesses).select(
         "fingerprint", stamp("session_start").alias("session_start"), "accesses", "hits"
     )
 

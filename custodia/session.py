@@ -1,11 +1,13 @@
 """Session and shared-folder helpers."""
 
 import atexit
+import contextlib
 import functools
 import os
 import re
 import shutil
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -65,7 +67,32 @@ def new_path(spark: SparkSession, name: str) -> str:
         files.mkdirs(folder)
         files.deleteOnExit(folder)
         _owned.add(work)
-    return os.path.join(work, f"{name}-{uuid.uuid4().hex}")
+    path = os.path.join(work, f"{name}-{uuid.uuid4().hex}")
+    if (made := getattr(_scratch, "made", None)) is not None:
+        made.append(path)
+    return path
+
+
+_scratch = threading.local()
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession):
+    """Removes the tables that are written meanwhile, by this thread, at the end."""
+    _scratch.made = []
+    try:
+        yield
+    finally:
+        made, _scratch.made = _scratch.made, None
+        for path in made:
+            remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder, wherever Spark keeps it."""
+    context = spark.sparkContext
+    folder = context._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(context._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def materialize(df: DataFrame, name: str, partition_by=()) -> DataFrame:

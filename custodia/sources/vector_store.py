@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from custodia.functions.text import vector_key
-from custodia.session import union
+from custodia.session import materialize, union
+
+BUCKETS = 64  # of a namespace
 
 
 def with_key(df: DataFrame) -> DataFrame:
@@ -28,6 +30,28 @@ def upsert(store: DataFrame, changes: DataFrame, version="version") -> DataFrame
     return union(store.join(new.select("vector_id"), "vector_id", "left_anti"), new)
 
 
+def write_store(store: DataFrame, path: str, buckets=BUCKETS) -> None:
+    """A store that ``merge_into`` can change in place: partitioned by namespace and key bucket."""
+    _bucketed(store, buckets).write.mode("errorifexists").partitionBy("namespace", "bucket").parquet(path)
+
+
+def _bucketed(df, buckets):
+    return df.withColumn("bucket", F.pmod(F.xxhash64("vector_id"), F.lit(buckets)).cast("int"))
+
+
+def merge_into(changes: DataFrame, path: str, version="version", buckets=BUCKETS) -> None:
+    """Upsert into a written store: only the partitions that a change falls into are read and rewritten.
+
+    A key that changes its namespace is another key, as the key holds the namespace."""
+    spark = changes.sparkSession
+    new = materialize(_bucketed(changes, buckets), "changes")
+    touched = new.select("namespace", "bucket").distinct()  # at most one row per partition of the store
+    store = spark.read.parquet(path).join(F.broadcast(touched), ["namespace", "bucket"], "left_semi")
+    merged = materialize(upsert(store, new.select(store.columns), version), "merged")
+    writer = merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("namespace", "bucket").parquet(path)
+
+
 def delete_ids(store: DataFrame, ids: DataFrame, namespace: str, key="id") -> DataFrame:
     """Without the given document ids of one namespace."""
     gone = ids.select(F.concat_ws("_", F.col(key), F.lit(namespace)).alias("vector_id"))

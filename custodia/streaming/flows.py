@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from custodia import constants as C
 from custodia.operators import access, alerts, analytics
+from custodia.session import union
 
 _NOW = {"availableNow": True}
 
@@ -79,6 +80,16 @@ def cache_sessions(accesses: DataFrame, key="fingerprint", ts="ts", ttl_seconds=
     )
 
 
+def with_open_sessions(closed: DataFrame, accesses: DataFrame, key="fingerprint", ts="ts",
+                       ttl_seconds=C.CACHE_TTL_SECONDS) -> DataFrame:
+    """What a stream has closed, and, once its input has ended, the sessions still open then.
+
+    ``accesses`` is the whole input as a batch."""
+    every = cache_sessions(accesses, key, ts, ttl_seconds)
+    still = every.join(closed.select(key, "session_start"), [key, "session_start"], "left_anti")
+    return union(closed, still.select(*closed.columns))
+
+
 def redaction(documents: DataFrame, terms=None) -> DataFrame:
     """Access filter, term flags and masking of arriving documents; needs a role per row."""
     return access.validate_documents(documents, terms=terms)

@@ -2,14 +2,14 @@
 
 The batch operators do the counting, so a hot user or a burst is spread over tasks as there; no
 user's state sits in one task. Every path is derived from the batch id, so a batch that is run
-again overwrites its own output."""
+again overwrites its own output; state that no batch can ask for any more is removed."""
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from custodia import constants as C
 from custodia.operators import alerts, guardrails
-from custodia.session import union
+from custodia.session import remove, scratch, union
 
 _SECOND = 1_000_000
 
@@ -26,17 +26,22 @@ def judge_with_recent(stream: DataFrame, judge, out: str, work: str, keep_second
         if batch_id > 0:
             past = spark.read.schema(batch.schema).parquet(f"{work}/recent/{batch_id - 1}")
             known = union(known, past.withColumn("is_new", F.lit(False)))
-        # the batch feeds three jobs: write it once
-        known.write.mode("overwrite").parquet(f"{work}/known/{batch_id}")
-        known = spark.read.schema(known.schema).parquet(f"{work}/known/{batch_id}")
-        judge(known).filter("is_new").drop("is_new").write.mode("overwrite").parquet(
-            f"{out}/batch={batch_id}"
-        )
-        newest = known.agg(F.max(micros)).first()[0]
-        oldest = 0 if newest is None else newest - keep_seconds * _SECOND
-        known.filter(F.col(micros) > oldest).drop("is_new").write.mode("overwrite").parquet(
-            f"{work}/recent/{batch_id}"
-        )
+        with scratch(spark):
+            # the batch feeds three jobs: write it once
+            known.write.mode("overwrite").parquet(f"{work}/known/{batch_id}")
+            known = spark.read.schema(known.schema).parquet(f"{work}/known/{batch_id}")
+            judge(known).filter("is_new").drop("is_new").write.mode("overwrite").parquet(
+                f"{out}/batch={batch_id}"
+            )
+            newest = known.agg(F.max(micros)).first()[0]
+            oldest = 0 if newest is None else newest - keep_seconds * _SECOND
+            known.filter(F.col(micros) > oldest).drop("is_new").write.mode("overwrite").parquet(
+                f"{work}/recent/{batch_id}"
+            )
+        # a batch that is run again reads the past of the batch before it, and nothing older
+        remove(spark, f"{work}/known/{batch_id}")
+        if batch_id > 1:
+            remove(spark, f"{work}/recent/{batch_id - 2}")
 
     return (
         stream.writeStream.foreachBatch(run)

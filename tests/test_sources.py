@@ -1,4 +1,6 @@
+import glob
 import json
+import os
 
 import pandas as pd
 import pytest
@@ -6,7 +8,8 @@ from pyspark.sql import functions as F
 
 from custodia.functions import plugins
 from custodia.operators import guardrails
-from custodia.sources import documents, logs
+from custodia.session import new_path, scratch
+from custodia.sources import documents, logs, vector_store
 from custodia.streaming import flows, recent
 
 
@@ -161,3 +164,38 @@ def test_dashboard_counts_over_many_batches(spark, rows, tmp_path):
     got = {(r["window_start"], r["kind"]): r["n"] for r in newest.collect()}
     hours = df.withColumn("h", F.date_trunc("hour", F.timestamp_micros("micros"))).groupBy("h", "kind").count()
     assert got == {(r["h"], r["kind"]): r["count"] for r in hours.collect()}
+
+
+def test_an_upsert_rewrites_the_touched_partitions_only(spark, tmp_path):
+    path = str(tmp_path / "store")
+    old = spark.range(200).selectExpr("id", "concat('ns', id % 3) as namespace", "1 as version")
+    vector_store.write_store(vector_store.with_key(old), path, buckets=4)
+    before = set(glob.glob(f"{path}/*/*/*.parquet"))
+    changes = spark.createDataFrame([(0, "ns0", 2), (0, "ns0", 3), (900, "ns0", 2)], "id long, namespace string, version int")
+    vector_store.merge_into(vector_store.with_key(changes), path, buckets=4)
+    after = set(glob.glob(f"{path}/*/*/*.parquet"))
+    touched = {os.path.dirname(p) for p in after - before}
+    assert 1 <= len(touched) <= 2
+    assert {p for p in before if os.path.dirname(p) not in touched} <= after
+    rows = spark.read.parquet(path).select("id", "version").collect()
+    assert len(rows) == 201 and {tuple(r) for r in rows if r["version"] > 1} == {(0, 3), (900, 2)}
+
+
+def test_live_state_stays_as_small_as_the_past_it_needs(spark, tmp_path):
+    source, out, work = (str(tmp_path / n) for n in ("in", "out", "work"))
+    schema = "request_id long, username string, micros long, ts timestamp, session_id string, role string, domain string, reason string, query string"
+    for batch in range(4):
+        rows = spark.createDataFrame([(batch, "u", batch * 10**6, None, "s", "guest", "hr", None, "q")], schema)
+        rows.coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        recent.stream_excessive_denials(stream, out, work, limit=2).awaitTermination()
+    assert sorted(os.listdir(f"{work}/recent")) == ["2", "3"] and os.listdir(f"{work}/known") == []
+    assert spark.read.parquet(out).filter("alert_type = 'excessive_denials'").count() == 3
+
+
+def test_work_folders_are_removed(spark):
+    with scratch(spark):
+        path = new_path(spark, "short-lived")
+        spark.range(3).write.parquet(path)
+        assert os.path.isdir(path)
+    assert not os.path.exists(path)
