@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -185,22 +186,24 @@ def _rows_of(sample, names):
 
     rows = common.run_arrow(sample, run, "kind string, lost array<int>, gained array<int>, label int", "_text")
     rows = rows.groupBy("kind", "lost", "gained", "label").agg(F.count("*").alias("n"))
-    return rows.orderBy("kind", "lost", "gained", "label").collect()
+    return rows.orderBy("kind", "lost", "gained", "label").toArrow()
 
 
-def _sparse(lists):
-    ids = np.array([i for x in lists for i in x], np.int64)
-    return ids, np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+def _sparse(lists: pa.ListArray):
+    """Feature numbers of all lists, and the list that each is of."""
+    counts = lists.value_lengths().to_numpy(zero_copy_only=False)
+    return lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.repeat(np.arange(len(lists)), counts)
 
 
-def train(texts, labels, counts, pairs, pair_counts, size):
+def train(texts, pairs, size):
     """Weights and bias of the penalised logistic fit, by gradient steps of adapted length.
 
-    ``texts`` are lists of feature numbers; ``pairs`` are the (lost, gained) features of a sentence's
-    variant, whose score changes are squared and added to the loss."""
-    ids, rows = _sparse(texts)
-    lost, lost_rows = _sparse([p[0] for p in pairs])
-    gained, gained_rows = _sparse([p[1] for p in pairs])
+    ``texts`` has a text's feature numbers (lost), label and count per row; ``pairs`` the features that
+    a sentence's variant has lost and gained, whose score changes are squared and added to the loss."""
+    labels, counts, pair_counts = texts["label"].to_numpy(), texts["n"].to_numpy(), pairs["n"].to_numpy()
+    ids, rows = _sparse(texts["lost"].combine_chunks())
+    lost, lost_rows = _sparse(pairs["lost"].combine_chunks())
+    gained, gained_rows = _sparse(pairs["gained"].combine_chunks())
     y, share = np.asarray(labels, float), np.asarray(counts, float) / np.sum(counts)
     pair_share = np.asarray(pair_counts, float) / max(1.0, float(np.sum(pair_counts)))
     weights, mean, square = np.zeros((3, size + 1))
@@ -233,12 +236,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", la
         return Model({}, float(np.log(share / (1 - share))) if sum(shares.values()) else -30.0)
     names = _choose(sample, toxic, other)
     rows = _rows_of(sample, names)
-    texts = [r for r in rows if r.kind == "text"]
-    pairs = [r for r in rows if r.kind == "pair"]
-    weights, bias = train(
-        [r.lost for r in texts], [r.label for r in texts], [r.n for r in texts],
-        [(r.lost, r.gained) for r in pairs], [r.n for r in pairs], len(names),
-    )
+    texts, pairs = (rows.filter(pc.equal(rows["kind"], kind)) for kind in ("text", "pair"))
+    weights, bias = train(texts, pairs, len(names))
     bias += float(np.log(share / (1 - share)) - np.log(toxic / other))  # classes are sampled apart
     return Model({f: float(w) for f, w in zip(names, weights)}, bias)
 
