@@ -145,16 +145,16 @@ def _usable(df, key, vector, layout, dim):
 
 def top_k(items: DataFrame, queries: DataFrame, k: int, dim: int, metric="cosine", layout="dense",
           item_key="id", query_key="query_id", vector="embedding", positive_only=False,
-          block_bytes=BLOCK_BYTES, least_blocks=1) -> DataFrame:
+          broadcast_bytes=BLOCK_BYTES, least_blocks=1) -> DataFrame:
     """(query_id, item_id, score, rank) of the k best items per query.
 
     ``metric`` is cosine, dot or l2 (score = minus the squared distance). Queries go to the tasks in
-    blocks of at most about ``block_bytes``, what a task keeps for them included."""
+    blocks of at most about ``broadcast_bytes``, what a task keeps for them included."""
     types = id_type(queries, query_key), id_type(items, item_key)
     item_rows = _usable(items, item_key, vector, layout, dim)
     query_rows = _usable(queries, query_key, vector, layout, dim)
     # decoded queries are dense float64, whatever their layout; a task keeps k scored ids of each
-    limit = max(1, block_bytes // (8 * dim + _KEPT_BYTES * (k + 1)))
+    limit = max(1, broadcast_bytes // (8 * dim + _KEPT_BYTES * (k + 1)))
     blocks = max(least_blocks, math.ceil(query_rows.count() / limit))
     parts = []
     for block in range(blocks):

@@ -41,7 +41,7 @@ def test_top_k_is_exact(rows, monkeypatch, metric, path):
     items, queries = vectors(300, 1), vectors(50, 2, copies=False)
     item_df = rows("id long, embedding array<double>", *[(i, list(map(float, v))) for i, v in enumerate(items)])
     query_df = rows("query_id long, embedding array<double>", *[(i, list(map(float, v))) for i, v in enumerate(queries)])
-    out = topk.top_k(item_df, query_df, 7, DIM, metric, block_bytes=3_000 if path == "blocks" else 1 << 20)
+    out = topk.top_k(item_df, query_df, 7, DIM, metric, broadcast_bytes=3_000 if path == "blocks" else 1 << 20)
     got = {}
     for r in sorted(out.collect(), key=lambda r: r["rank"]):
         got.setdefault(r["query_id"], []).append(r["item_id"])
