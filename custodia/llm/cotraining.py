@@ -24,7 +24,7 @@ ROUNDS = 4
 SURE = 0.97  # probability from which a pseudo-label is given
 GIVEN_PER_ROUND = 0.1  # of the unlabelled rows, at most, by each view
 CALIBRATION_SHARE = 0.25  # of the labelled rows
-METADATA_BUCKETS = 512
+METADATA_BUCKETS = 256
 RIDGE = 1e-3
 
 _UPPER = bytes(range(65, 91))
@@ -77,10 +77,14 @@ def _view_rows(docs, id_col, text_col, metadata):
     )
 
 
-def _one_hot(lists) -> np.ndarray:
-    out = np.zeros((len(lists), METADATA_BUCKETS))
-    for i, buckets in enumerate(lists):
-        out[i, buckets] = 1
+def _matrix(lists: pa.Array) -> np.ndarray:
+    """Lists of one length as rows."""
+    return lists.flatten().to_numpy(zero_copy_only=False).reshape(len(lists), -1)
+
+
+def _one_hot(buckets: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(buckets), METADATA_BUCKETS), np.float32)
+    out[np.arange(len(buckets))[:, None], buckets] = 1
     return out
 
 
@@ -207,12 +211,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", la
     known = rows.join(F.broadcast(chosen), F.col("_id") == F.col("_labelled")).drop("_labelled")
     free = _sampled(rows.filter(F.col("_id").isNotNull()), "_id", UNLABELLED_ROWS, docs.count(), "unlabelled")
     free = free.join(F.broadcast(chosen), F.col("_id") == F.col("_labelled"), "left_anti").withColumn("_label", F.lit(None).cast("int"))
-    got = _features(known.unionByName(free)).orderBy("_id", "_features").collect()
-    if not got:
+    got = _features(known.unionByName(free)).orderBy("_id", "_features").toArrow()
+    if not got.num_rows:
         return None
-    text = np.array([r._features for r in got])
-    meta = _one_hot([r._meta for r in got])
-    label = np.array([-1 if r._label is None else r._label for r in got])
+    text, meta = _matrix(got["_features"].combine_chunks()), _one_hot(_matrix(got["_meta"].combine_chunks()))
+    label = got["_label"].fill_null(-1).to_numpy()
     known = np.flatnonzero(label >= 0)
     if len(set(label[known])) < 2:
         return None
@@ -238,7 +241,7 @@ def score(docs: DataFrame, model: Model | None, id_col="doc_id", text_col="text"
         scores = np.full((3, len(texts)), 0.5)
         if model is not None:
             text = np.array([text_features(t) for t in texts])
-            meta = _one_hot(block.column("_meta").to_pylist())
+            meta = _one_hot(_matrix(block.column("_meta")))
             scores = [_sigmoid(model.text.calibrated(text)), _sigmoid(model.meta.calibrated(meta)), model.score(text, meta)]
         return pa.record_batch(
             [block.column("_id"), *(pa.array(np.asarray(s, float)) for s in scores)],
