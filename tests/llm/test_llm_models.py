@@ -100,7 +100,7 @@ def test_entities_are_found_in_their_place():
         ("10.1.2.3", "ip"), ("John", "given-m"), ("Smith", "family"), ("Елена", "given-f"), ("Иванова", "family"),
         ("DE89 3704 0044 0532 0130 00", "iban"), ("078-05-1120", "ssn"),
     }
-    assert surrogates.detect("version 1.2.3.4.5, 12345 and 123456789012") == []
+    assert surrogates.detect("version 1.2.3.4.5, 12345 and 123456789012, orders 4111111111111112 9807915762804490") == []
 
 
 def test_surrogates_keep_type_format_gender_and_script():
@@ -128,7 +128,7 @@ def test_values_stay_distinct_and_mentions_stay_together(spark):
 
 def test_personal_data_of_the_table_is_replaced(spark, sf_dir, small):
     found = {r.doc_id: r for r in queries.op7_pii_surrogates(spark, sf_dir).collect()}
-    patterns = [r"\S+@\S+", r"\+1 \(\d{3}\) \d{3}-\d{4}", r"(?<![\w])4\d{15}(?!\w)", r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w])"]
+    patterns = [r"\S+@\S+", r"\+1 \(\d{3}\) \d{3}-\d{4}", r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?![\w])"]
     mapped = {}
     for name, text in small:
         for p in patterns:
