@@ -7,7 +7,7 @@ from custodia.operators import access
 from custodia.plans.log_queries import sql_stamp, stamp
 from custodia.plans.registry import query
 from custodia.plans.sql_views import role_mask, terms, with_views, words
-from custodia.session import new_path
+from custodia.session import is_folder, new_path
 from custodia.sources import logs
 from custodia.sources import tables as T
 from custodia.streaming import flows, recent
@@ -15,8 +15,10 @@ from custodia.plans.corpus_queries import EXTRA_TERMS
 
 
 def _stream(spark, sf_dir, name):
-    """A table's file as a stream; more files beside it would be picked up as they appear."""
+    """A table's file, or the files of its folder, as a stream; new ones would be picked up as they appear."""
     schema = T.table(spark, sf_dir, name).schema
+    if is_folder(spark, path := f"{sf_dir}/{name}.parquet"):
+        return logs.stream_log(spark, path, schema)
     return logs.stream_log(spark, sf_dir, schema, pathGlobFilter=f"{name}.parquet")
 
 

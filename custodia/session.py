@@ -88,6 +88,12 @@ def scratch(spark: SparkSession):
             remove(spark, path)
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    context = spark.sparkContext
+    place = context._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(context._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory()
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder, wherever Spark keeps it."""
     context = spark.sparkContext
