@@ -1,22 +1,26 @@
 """Quality rules: plain counts of a text, and a hashed n-gram log-likelihood ratio.
 
 Words and pairs of neighbouring words fall into a fixed number of hash buckets. Two multinomials
-over the buckets are counted, one of trusted texts, one of the whole corpus; a text's score is the
+over the buckets are counted, one of all trusted texts, one of the whole corpus; a text's score is the
 mean of log p(trusted) - log p(corpus) over its n-grams, so length does not matter. Every text at or
-above the threshold is kept, always the same ones.
+above the threshold is kept, always the same ones; the threshold follows the trusted texts' scores.
 
-All of it is built-in expressions. The bucket weights are broadcast: their number is a parameter. A
-text's n-grams are summed where the text is, so one row per text is shuffled."""
+All of it is built-in expressions. The bucket weights are broadcast: their number is a parameter. The
+texts meet the trusted ids by a shuffle; when judged, a text's n-grams are summed where the text is,
+so one row per text is shuffled."""
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from custodia.llm.common import SPACE, text_of
+from custodia.session import materialize, union
 
 BUCKETS = 1 << 16
-SMOOTHING = 10.0  # counts added to a bucket on both sides: rare n-grams weigh little
-THRESHOLD = -0.07
-TRUSTED_ROWS = 20_000  # at most about as many trusted texts make the target
+SMOOTHING = 10.0  # counts at least added to a bucket on both sides: rare n-grams weigh little
+SMOOTHING_SHARE = 0.25  # of the target's mean count per bucket, added where that is more
+THRESHOLD = -0.07  # where no trusted text passes the plain rules
+LOW, LOWEST = 0.01, 0.001  # shares of the trusted texts whose scores place the threshold
+SCORE_DIGITS = 3  # trusted scores are counted at
 SYMBOLS = "#*$%&|<>"
 
 
@@ -83,21 +87,22 @@ def ngram_buckets(hashes: str, buckets=BUCKETS) -> Column:
     return F.concat(one, two)
 
 
-def trusted_ids(labels: DataFrame, id_col: str, trusted: Column, rows=TRUSTED_ROWS) -> DataFrame:
-    """Ids of trusted texts, thinned by their hash to about ``rows`` at most."""
-    ids = labels.filter(trusted & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_trusted")).distinct()
-    parts = 1 << 20
-    limit = parts * min(1.0, rows / max(1, ids.count()))
-    return ids.filter(F.pmod(F.xxhash64(F.col("_trusted").cast("string")), F.lit(parts)) < limit)
+def trusted_ids(labels: DataFrame, id_col: str, trusted: Column) -> DataFrame:
+    """Ids of all trusted texts."""
+    return labels.filter(trusted & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_trusted")).distinct()
 
 
 def fit(docs: DataFrame, trusted: DataFrame, id_col="doc_id", text_col="text", buckets=BUCKETS) -> DataFrame:
     """(bucket, weight) of all buckets that occur: log p(trusted) - log p(corpus), both smoothed.
 
-    ``docs`` are counted whole; ids in ``trusted``, a bounded table, mark the trusted texts."""
-    marked = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text")).join(
-        F.broadcast(trusted), F.col("_id") == F.col("_trusted"), "left"  # a bounded sample
-    )
+    ``docs`` are counted whole; ids in ``trusted``, a table of any size, mark the trusted texts. Both
+    sides are smoothed alike, by a count that grows with the target."""
+    rows = docs.select(F.col(id_col).alias("_id"), text_of(text_col).alias("_text"))
+    # rows without an id are never trusted and would all meet in one task
+    # by a shuffle at every size: the ids grow with the corpus
+    known = rows.filter(F.col("_id").isNotNull()).join(trusted.hint("merge"), F.col("_id") == F.col("_trusted"), "left")
+    unknown = rows.filter(F.col("_id").isNull()).withColumn("_trusted", F.lit(None).cast(trusted.schema["_trusted"].dataType))
+    marked = union(known, unknown)
     hashed = marked.withColumn("_w", words_of(F.col("_text"))).withColumn("_h", _hashes("_w"))
     counts = (
         hashed.select(F.col("_trusted").isNotNull().cast("long").alias("t"), ngram_buckets("_h", buckets).alias("_b"))
@@ -106,10 +111,40 @@ def fit(docs: DataFrame, trusted: DataFrame, id_col="doc_id", text_col="text", b
         .groupBy("bucket")
         .agg(F.sum("t").cast("double").alias("t"), F.count("*").cast("double").alias("r"))
     )
+    counts = materialize(counts, "buckets")  # asked for twice, and at most ``buckets`` rows
     totals = counts.agg(F.sum("t"), F.sum("r")).first()
     share = (totals[0] or 0.0) / (totals[1] or 1.0)
-    expected = F.col("r") * share  # of a trusted sample that is like the corpus
-    return counts.select("bucket", F.log((F.col("t") + SMOOTHING) / (expected + SMOOTHING)).alias("weight"))
+    expected = F.col("r") * share  # of trusted texts that are like the corpus
+    added = max(SMOOTHING, SMOOTHING_SHARE * (totals[0] or 0.0) / buckets)
+    return counts.select("bucket", F.log((F.col("t") + added) / (expected + added)).alias("weight"))
+
+
+def trusted_threshold(judged: DataFrame, trusted: DataFrame, id_col="doc_id") -> float:
+    """The score that trusted texts hardly ever miss: as far below their lowest scores as those lie
+    below their low ones.
+
+    Trusted texts that fail the plain rules do not count. The scores are counted at ``SCORE_DIGITS``
+    digits, so the driver gets one number for each different one."""
+    passed = judged.filter(~F.col("base_failed")).join(trusted, F.col(id_col) == F.col("_trusted"))
+    counts = passed.groupBy(F.round("score", SCORE_DIGITS).alias("s")).count().orderBy("s").collect()
+    total = sum(r["count"] for r in counts)
+    if not total:
+        return THRESHOLD
+    places, seen = {}, 0
+    for r in counts:
+        seen += r["count"]
+        for share in (LOW, LOWEST):
+            if seen > share * (total - 1):
+                places.setdefault(share, r["s"])
+    return places[LOWEST] - (places[LOW] - places[LOWEST])
+
+
+def judge_by_trusted(docs: DataFrame, trusted: DataFrame, id_col="doc_id", text_col="text", **rules) -> DataFrame:
+    """``judge`` with weights and threshold of the trusted texts; every text is scored once."""
+    weights = fit(docs, trusted, id_col, text_col, rules.get("buckets", BUCKETS))
+    judged = materialize(judge(docs, weights, id_col, text_col, **rules), "judged")
+    limit = trusted_threshold(judged, trusted, id_col)
+    return judged.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= limit))
 
 
 def judge(docs: DataFrame, weights: DataFrame, id_col="doc_id", text_col="text", threshold=THRESHOLD,

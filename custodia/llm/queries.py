@@ -64,7 +64,7 @@ def op6_substring_dedup(spark, sf_dir):
 def op5_quality_rules(spark, sf_dir):
     docs, labels = (common.table(spark, sf_dir, name) for name in ("documents", "labels"))
     trusted = quality_rules.trusted_ids(labels, "doc_id", F.col("quality") == 1)
-    found = quality_rules.judge(docs, quality_rules.fit(docs, trusted))
+    found = quality_rules.judge_by_trusted(docs, trusted)
     return found.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "score", "base_failed", "kept"
     )

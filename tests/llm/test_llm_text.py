@@ -171,6 +171,25 @@ def test_quality_tells_labelled_classes_apart(spark, sf_dir):
     assert found.filter("quality = 0 and kept").count() <= 0.02 * found.filter("quality = 0").count()
 
 
+def test_every_trusted_text_makes_the_target(spark):
+    labels = spark.range(40_000).selectExpr("id as doc_id", "1 as quality")
+    assert quality_rules.trusted_ids(labels, "doc_id", labels.quality == 1).count() == 40_000
+
+
+def test_threshold_and_smoothing_follow_the_trusted_texts(spark):
+    scores = [(i, i / 1000, False) for i in range(1001)] + [(2000, -9.0, True), (2001, -9.0, False)]
+    judged = spark.createDataFrame(scores, "doc_id long, score double, base_failed boolean")
+    trusted = spark.range(2001).selectExpr("id as _trusted")
+    assert quality_rules.trusted_threshold(judged, trusted) == pytest.approx(0.001 - (0.01 - 0.001))
+    assert quality_rules.trusted_threshold(judged, trusted.limit(0)) == quality_rules.THRESHOLD
+    weights = []
+    for copies in (1, 3):  # the same texts, more of them: the same weights
+        docs = spark.range(2_000 * copies).selectExpr("id as doc_id", "if(id % 2 = 0, repeat('good text ', 40), repeat('bad text ', 40)) as text")
+        fitted = quality_rules.fit(docs, docs.filter("doc_id % 2 = 0").selectExpr("doc_id as _trusted"), buckets=64)
+        weights.append({r.bucket: r.weight for r in fitted.collect()})
+    assert weights[0] == pytest.approx(weights[1], abs=1e-9)
+
+
 def base_spans(text):
     text = text or ""
     found = [
