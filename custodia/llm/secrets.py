@@ -4,10 +4,12 @@ Beyond the fixed patterns, a string in a sensitive context (a word like ``secret
 shortly before it) is a candidate. It is compressed by zstandard primed with the code around it and
 with a dictionary of usual identifiers; the bytes that it adds, per byte of its own, are its
 novelty. Names, words and repeated strings compress against what is known; keys do not, and are
-reported."""
+reported. What follows a reported string without a break, as the lines of a PEM body do, shares its
+context."""
 
 import bisect
 import itertools
+import math
 import re
 
 import pyarrow as pa
@@ -34,7 +36,17 @@ SENSITIVE = re.compile(
 )
 CONTEXT = 64  # code points before a candidate in which a sensitive word counts
 AROUND = 512  # code points on either side that prime the compressor
+GAP = re.compile(r"""[\s"'+\\/,]{0,32}""")  # between strings that belong together
 NOVELTY = 0.85  # added bytes per byte
+ENTROPY = 0.95  # of a random string's bits, that a long one must add at least
+LONG = 32  # code points from which letters and digits are entropy-coded
+HELD = 0.95  # of a token's code points, besides a prefix or a separator, make its alphabet
+# the alphabets of encodings, smallest first; a token's is the first that holds it
+_ALPHABETS = tuple(
+    (re.compile(f"[={characters}]+"), math.log2(n) / 8)
+    for characters, n in (("0-9A-F", 16), ("0-9a-f", 16), ("A-Z2-7", 32), ("a-z2-7", 32), ("0-9A-Z", 36), ("0-9a-z", 36),
+                          ("0-9A-Za-z", 62), ("0-9A-Za-z+/", 64), ("0-9A-Za-z_-", 64), ("0-9A-Za-z+/_~-", 67))
+)
 IDENTIFIERS = (
     "abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 "
     "access account address admin api application argument array async auth authorization await base64 bearer bool "
@@ -69,6 +81,16 @@ def novelty(token: str, before: str, after: str) -> float:
     return (len(packer.compress(raw)) - len(packer.compress(b""))) / len(raw)
 
 
+def least_novelty(token: str) -> float:
+    """Added bytes per byte from which a token counts as random.
+
+    A long one is entropy-coded, so a random one of a small alphabet adds no more than its bits."""
+    if len(token) < LONG:
+        return NOVELTY
+    bytes_each = next(b for pattern, b in _ALPHABETS if sum(map(len, pattern.findall(token))) >= HELD * len(token))
+    return min(NOVELTY, ENTROPY * bytes_each)
+
+
 def scan(raw: bytes) -> list[tuple[str, int, int]]:
     """(kind, start, end) of all secrets of a text, in code points, by start and kind."""
     low = raw.translate(_LOWER)
@@ -91,23 +113,30 @@ def scan(raw: bytes) -> list[tuple[str, int, int]]:
 
 
 def _novel(text, base):
-    """Candidates near a sensitive word that do not compress; what the base kinds cover is left out."""
+    """Candidates near a sensitive word, or right behind a reported one, that do not compress; what the
+    base kinds cover is left out."""
     starts = [s for _, s, _ in base]
     ends = list(itertools.accumulate((e for _, _, e in base), max))
     found, done = [], 0
     for word in SENSITIVE.finditer(text):
-        at, reach = max(word.end(), done), word.end() + CONTEXT + LEAST_CANDIDATE
-        while at < reach and (m := CANDIDATE.search(text, at, reach)):
-            m = CANDIDATE.match(text, m.start())  # whole, beyond the reach
-            token, at = m[0], m.end()
+        at, reach, linked = max(word.end(), done), word.end() + CONTEXT + LEAST_CANDIDATE, False
+        while True:
+            m = CANDIDATE.match(text, GAP.match(text, at).end()) if linked else None
+            if m is None and at < reach and (m := CANDIDATE.search(text, at, reach)):
+                m = CANDIDATE.match(text, m.start())  # whole, beyond the reach
+            if m is None:
+                break
+            token, at, linked = m[0], m.end(), False
             done = at
             if not (any(c.isdigit() for c in token) and any(c.isalpha() for c in token)):
                 continue
             before_end = bisect.bisect_left(starts, m.end())
             if before_end and ends[before_end - 1] > m.start():
+                linked = True
                 continue
             before, after = text[max(0, m.start() - AROUND) : m.start()], text[m.end() : m.end() + AROUND]
-            if novelty(token, before, after) >= NOVELTY:
+            if novelty(token, before, after) >= least_novelty(token):
+                linked = True
                 found.append(("novel", m.start(), m.end()))
     return found
 
