@@ -187,3 +187,31 @@ def test_pipeline_of_odd_rows(spark, odd, sf_dir, tmp_path):
     for name, stage in corpus_pipeline.STAGES:
         empty = stage(spark, empty, sf_dir)
         assert empty.count() == 0
+
+
+def test_cards_beside_other_numbers_are_found():
+    card = "4111 1111 1111 1111"
+    for text in (f"{card} 12/27", f"{card} 123", "12 4111111111111111", f"{card} {card} 0000", f"10 20 {card} 30 40 50 60"):
+        found = [text[a:b] for a, b, kind, _ in surrogates.detect(text) if kind == "card"]
+        assert found and {f.replace(" ", "") for f in found} == {"4111111111111111"}, text
+        assert len(found) == text.replace(" ", "").count("4111111111111111")
+    assert [s[2] for s in surrogates.detect("pay 6200 0000 0000 0005 now")] == ["card"]
+    assert surrogates.detect("12-4111111111111111 4111111111111112 123") == []
+
+
+def test_the_pre_test_holds_whatever_a_pattern_finds(spark):
+    from hypothesis import HealthCheck, given, settings
+    from hypothesis import strategies as st
+
+    samples = ["(030)/123456", "(0221) – 123456", "+1.22.33", "1.1.1.1", "(٠٣٠) 123456", "Mr Ng"]
+    texts = st.one_of(*(st.from_regex(p) for _, p in surrogates.PATTERNS), st.from_regex(surrogates._TITLED))
+
+    @settings(max_examples=400, deadline=None, database=None, suppress_health_check=list(HealthCheck))
+    @given(texts)
+    def draw(text):
+        if all(ord(c) < 0xD800 or 0xDFFF < ord(c) for c in text):
+            samples.append(text)
+
+    draw()
+    missed = spark.createDataFrame([(t,) for t in samples], "t string").filter(~F.col("t").rlike(surrogates._MAYBE))
+    assert [r.t for r in missed.collect()] == []
