@@ -4,11 +4,12 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from custodia.llm import (
-    common, cotraining, decontaminate, pieces, quality_rules, secrets, sharding, simhash, substrings, surrogates, toxicity,
+    common, cotraining, decontaminate, filter_audit, pieces, quality_rules, secrets, sharding, simhash, sql, substrings,
+    surrogates, toxicity,
 )
 
 QUERIES = {}
-ORACLES = {}
+ORACLES = dict(sql.ORACLES)
 
 
 def _query(build):
@@ -125,3 +126,9 @@ def op9_quality_classifier(spark, sf_dir):
         "doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "text_score", "metadata_score", "score",
         (F.col("score") >= 0.5).alias("kept"),
     )
+
+
+@_query
+def op13_filter_audit(spark, sf_dir):
+    docs, labels = (common.table(spark, sf_dir, name) for name in ("documents", "labels"))
+    return filter_audit.audit(filter_audit.failure_counts(docs, labels))
