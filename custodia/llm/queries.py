@@ -4,8 +4,8 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from custodia.llm import (
-    common, cotraining, decontaminate, filter_audit, pieces, quality_rules, secrets, sharding, simhash, sql, substrings,
-    surrogates, toxicity,
+    collocations, common, cotraining, decontaminate, digests, filter_audit, pieces, quality_rules, secrets, sharding,
+    simhash, sql, substrings, surrogates, toxicity,
 )
 
 QUERIES = {}
@@ -132,3 +132,13 @@ def op9_quality_classifier(spark, sf_dir):
 def op13_filter_audit(spark, sf_dir):
     docs, labels = (common.table(spark, sf_dir, name) for name in ("documents", "labels"))
     return filter_audit.audit(filter_audit.failure_counts(docs, labels))
+
+
+@_query
+def op12_collocations(spark, sf_dir):
+    return collocations.mine(common.table(spark, sf_dir, "documents"), least=100, longest=5, top=2000)
+
+
+@_query
+def op11_fingerprints(spark, sf_dir):
+    return digests.compare_edited(common.table(spark, sf_dir, "documents"))
