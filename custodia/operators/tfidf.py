@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from custodia import constants as C
 from custodia.functions.once import bind
-from custodia.operators.topk import id_type, top_k
+from custodia.operators import postings
+from custodia.operators.topk import id_type
 from custodia.session import materialize, union
 
 _INLINE_WORDS = 5000  # a word set up to this size is held by every task
@@ -191,26 +192,30 @@ def weigh(texts: DataFrame, vocab: DataFrame, key: str, text: str, stop_words=No
 
 @dataclass
 class KeywordIndex:
-    """A fitted model and the vectors of the corpus it was fitted on."""
+    """A fitted model, the vectors of the corpus it was fitted on, and their inverted index."""
 
     vocab: DataFrame
     vectors: DataFrame
     dim: int
     stop_words: list | None
+    segments: DataFrame
+    champions: DataFrame
 
 
 def fit(docs: DataFrame, key="id", text="content", max_features=1000, max_df=0.95,
         stop_words=None) -> KeywordIndex:
     vocab = vocabulary(docs, text, max_features, max_df, stop_words)
     vectors = materialize(weigh(docs, vocab, key, text, stop_words), "tfidf-vectors")
-    return KeywordIndex(vocab, vectors.withColumnRenamed(key, "id"), max_features, stop_words)
+    vectors = vectors.withColumnRenamed(key, "id")
+    segments = materialize(postings.build(vectors), "tfidf-postings")
+    champions = materialize(postings.champions(segments), "tfidf-champions")
+    return KeywordIndex(vocab, vectors, max_features, stop_words, segments, champions)
 
 
 def keyword_top_k(index: KeywordIndex, queries: DataFrame, k: int, query="query",
                   query_key="query_id", **options) -> DataFrame:
-    """The k best documents per query by TF-IDF similarity, those without any dropped."""
+    """The k best documents per query by TF-IDF similarity, those without any dropped.
+
+    The work follows the postings of the queries' terms, not the size of the corpus."""
     weighed = weigh(queries, index.vocab, query_key, query, index.stop_words)
-    return top_k(
-        index.vectors, weighed, k, index.dim, metric="dot", layout="sparse",
-        query_key=query_key, vector="vec", positive_only=True, **options,
-    )
+    return postings.top_k(index.segments, index.champions, weighed, k, index.dim, query_key=query_key, **options)

@@ -29,24 +29,13 @@ def _dense(column, dim):
     return array.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
-def _sparse(column, dim):
-    """Arrow list<struct<i,w>> column to a dense float64 matrix."""
-    array = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    lengths = array.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-    flat = array.flatten()
-    out = np.zeros((len(array), dim))
-    rows = np.repeat(np.arange(len(array)), lengths)
-    out[rows, flat.field(0).to_numpy(zero_copy_only=False)] = flat.field(1).to_numpy(zero_copy_only=False)
-    return out
-
-
 def id_type(df, column):
     """Ids are bigint where they are integers, else strings."""
     kind = df.schema[column].dataType
     return "long" if isinstance(kind, T.IntegralType) else "string"
 
 
-def _ids(column):
+def plain_ids(column):
     """Arrow ids to a numpy array that sorts as Spark does."""
     if pa.types.is_integer(column.type):
         return column.to_numpy(**_copy(column))
@@ -57,8 +46,11 @@ def _copy(column):
     return {} if isinstance(column, pa.ChunkedArray) else {"zero_copy_only": False}
 
 
+def arrow_ids(ids, kind):
+    return pa.array(ids, _ARROW_IDS[kind])
+
+
 _ARROW_IDS = {"long": pa.int64(), "string": pa.string()}
-_DECODERS = {"dense": _dense, "sparse": _sparse}
 
 
 def _scores(queries, items, metric):
@@ -73,7 +65,7 @@ def _scores(queries, items, metric):
     return np.round(product, SCORE_DIGITS) + 0.0
 
 
-class _Best:
+class Best:
     """Running best k per query, ties by smaller id."""
 
     def __init__(self, count, k, positive_only, item_type):
@@ -89,12 +81,16 @@ class _Best:
         floor = self.floor[first_row : first_row + len(scores)]
         if width > k:
             floor = np.maximum(floor, np.partition(scores, width - k, axis=1)[:, width - k])
-        keep = scores >= floor[:, None]
+        r, c = np.nonzero(scores >= floor[:, None])
+        self.take(r + first_row, scores[r, c], ids[c])
+
+    def take(self, rows, scores, ids):
+        """Scored ids of some queries, by row; those below their floor may be among them."""
+        scores = np.round(scores, SCORE_DIGITS)
         if self.positive_only:
-            keep &= scores > 0
-        r, c = np.nonzero(keep)
-        self.waiting.append((r + first_row, scores[r, c], ids[c]))
-        self.waiting_rows += len(r)
+            rows, scores, ids = (x[scores > 0] for x in (rows, scores, ids))
+        self.waiting.append((rows, scores, ids))
+        self.waiting_rows += len(rows)
         if self.waiting_rows > self.enough:
             self.merge()
 
@@ -112,21 +108,21 @@ class _Best:
         return self.kept
 
 
-def _score_batches(batches, query_ids, query_matrix, k, metric, layout, positive_only, types):
-    best = _Best(len(query_ids), k, positive_only, types[1])
+def _score_batches(batches, query_ids, query_matrix, k, metric, types):
+    best = Best(len(query_ids), k, False, types[1])
     dim = query_matrix.shape[1]
     item_step = max(256, _ITEM_BYTES // (8 * dim))
     for batch in batches:
         for offset in range(0, batch.num_rows, item_step):
             part = batch.slice(offset, item_step)
-            items = _DECODERS[layout](part.column(1), dim)
-            ids = _ids(part.column(0))
+            items = _dense(part.column(1), dim)
+            ids = plain_ids(part.column(0))
             step = max(1, _SCORES_PER_STEP // max(1, len(ids)))
             for first in range(0, len(query_ids), step):
                 best.add(first, _scores(query_matrix[first : first + step], items, metric), ids)
     row, score, ids = best.merge()
     return pa.RecordBatch.from_arrays(
-        [pa.array(query_ids[row], _ARROW_IDS[types[0]]), pa.array(ids, _ARROW_IDS[types[1]]), pa.array(score)],
+        [arrow_ids(query_ids[row], types[0]), arrow_ids(ids, types[1]), pa.array(score)],
         ["query_id", "item_id", "score"],
     )
 
@@ -135,45 +131,42 @@ def _schema(types):
     return f"query_id {types[0]}, item_id {types[1]}, score double"
 
 
-def _usable(df, key, vector, layout, dim):
+def _usable(df, key, vector, dim):
     out = df.select(F.col(key).cast(id_type(df, key)).alias("id"), F.col(vector).alias("vec"))
-    if layout == "dense":
-        # ragged or missing vectors cannot be scored; ensure_dimension() reports them
-        out = out.filter(F.size(F.array_compact("vec")) == dim)
-    return out
+    # ragged or missing vectors cannot be scored; ensure_dimension() reports them
+    return out.filter(F.size(F.array_compact("vec")) == dim)
 
 
-def top_k(items: DataFrame, queries: DataFrame, k: int, dim: int, metric="cosine", layout="dense",
-          item_key="id", query_key="query_id", vector="embedding", positive_only=False,
-          broadcast_bytes=BLOCK_BYTES, least_blocks=1) -> DataFrame:
+def top_k(items: DataFrame, queries: DataFrame, k: int, dim: int, metric="cosine", item_key="id",
+          query_key="query_id", vector="embedding", broadcast_bytes=BLOCK_BYTES, least_blocks=1) -> DataFrame:
     """(query_id, item_id, score, rank) of the k best items per query.
 
     ``metric`` is cosine, dot or l2 (score = minus the squared distance). Queries go to the tasks in
     blocks of at most about ``broadcast_bytes``, what a task keeps for them included."""
     types = id_type(queries, query_key), id_type(items, item_key)
-    item_rows = _usable(items, item_key, vector, layout, dim)
-    query_rows = _usable(queries, query_key, vector, layout, dim)
-    # decoded queries are dense float64, whatever their layout; a task keeps k scored ids of each
+    item_rows = _usable(items, item_key, vector, dim)
+    query_rows = _usable(queries, query_key, vector, dim)
+    # decoded queries are float64; a task keeps k scored ids of each
     limit = max(1, broadcast_bytes // (8 * dim + _KEPT_BYTES * (k + 1)))
     blocks = max(least_blocks, math.ceil(query_rows.count() / limit))
     parts = []
     for block in range(blocks):
         mine = query_rows.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block) if blocks > 1 else query_rows
-        parts.append(_best_of_block(item_rows, mine.toArrow(), k, dim, metric, layout, positive_only, types))
+        parts.append(_best_of_block(item_rows, mine.toArrow(), k, dim, metric, types))
     best_first = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "item_id")
     ranked = union(*parts).withColumn("rank", F.row_number().over(best_first))
     return ranked.filter(F.col("rank") <= k)
 
 
-def _best_of_block(items, head, k, dim, metric, layout, positive_only, types):
+def _best_of_block(items, head, k, dim, metric, types):
     """Each task's best items for one block of queries, written so that the block can be let go."""
-    ids = _ids(head.column(0))
-    matrix = _DECODERS[layout](head.column(1), dim)
+    ids = plain_ids(head.column(0))
+    matrix = _dense(head.column(1), dim)
     shared = items.sparkSession.sparkContext.broadcast((ids, matrix))
 
     def run(batches):
         query_ids, query_matrix = shared.value
-        yield _score_batches(batches, query_ids, query_matrix, k, metric, layout, positive_only, types)
+        yield _score_batches(batches, query_ids, query_matrix, k, metric, types)
 
     found = materialize(items.mapInArrow(run, _schema(types)), "best")
     shared.destroy()
