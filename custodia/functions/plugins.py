@@ -3,6 +3,8 @@
 A model is a Python function over a pandas Series of texts. It runs batch-wise inside Spark
 tasks as a pandas UDF; without one, stored tables or rules stand in."""
 
+import re
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -60,16 +62,24 @@ def verdict_table(df: DataFrame, key: str, text: str, moderate) -> DataFrame:
 
 
 def entity_recognizer(function):
-    """texts -> lists of (entity, value) pairs, to be passed to the output gate."""
+    """texts -> lists of findings, to be passed to the output gate and the masks. A finding is (entity, value),
+    or (entity, value, start, end, score) where the model knows the place."""
+    names = ("entity", "value", "start", "end", "score")
 
-    @F.pandas_udf("array<struct<entity:string,value:string>>")
+    @F.pandas_udf("array<struct<entity:string,value:string,start:int,end:int,score:double>>")
     def recognize(texts: pd.Series) -> pd.Series:
-        found = [[{"entity": e, "value": v} for e, v in pairs] for pairs in function(texts)]
+        found = [[dict(zip(names, (*f, None, None, None))) for f in findings] for findings in function(texts)]
         return pd.Series(found, index=texts.index)
 
     return recognize
 
 
+def capitalised_pairs(texts):
+    """Stands in for a name model: pairs of capitalised words, with their places."""
+    pattern = re.compile("[A-Z][a-z]+ [A-Z][a-z]+")
+    return [[("PERSON", m[0], *m.span(), 0.85) for m in pattern.finditer(t or "")] for t in texts]
+
+
 class DomainTools:
     """The table functions of one domain, for use with ``DataFrame.transform``."""
 

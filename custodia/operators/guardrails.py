@@ -89,7 +89,7 @@ def pii_output_gate(responses: DataFrame, text="response", role="role", recogniz
     ``entities`` keeps one item per finding, ``entity_kinds`` the distinct kinds, sorted."""
     # a missing role is no exempt role
     checked = ~F.coalesce(F.col(role).isin("admin", "analyst"), F.lit(False))
-    found = F.when(checked, E.detect_entities(text, recognizer))
+    found = E.detect_entities(F.when(checked, F.col(text)), recognizer)
     return (
         responses.withColumn("_found", found)
         .withColumn("entities", F.transform("_found", lambda e: e["entity"]))

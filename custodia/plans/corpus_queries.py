@@ -4,12 +4,13 @@ from pyspark.sql import functions as F
 
 from custodia import constants as C
 from custodia import rules
-from custodia.functions import masking, roles, text
+from custodia.functions import masking, plugins, roles, text
 from custodia.functions.once import filter_computed
 from custodia.operators import access, guardrails
 from custodia.functions import entities as E
 from custodia.plans.registry import query
-from custodia.plans.sql_views import entity_list, mask, role_mask, terms, with_views, words
+from custodia.plans.span_sql import masked, visible_spans
+from custodia.plans.sql_views import kinds_of, mask, role_mask, terms, with_views, words
 from custodia.plans.sql_views import text as lit
 from custodia.sources import tables as T
 from custodia.session import union
@@ -319,14 +320,10 @@ def _responses(spark, sf_dir):
     return union(turns, docs)
 
 
-def _entity_sql():
-    from custodia.plans.sql_views import entities
-
-    return entities("response")
-
-
-_GATED = f"""gated AS (SELECT *, CASE WHEN role IN ('admin', 'analyst') THEN []::VARCHAR[] ELSE {_entity_sql()} END AS found,
-      coalesce((SELECT max(toxic) FROM labels l WHERE l.doc_id = conv_id), 0) = 1 AS unsafe FROM responses)"""
+_GATED = f"""found_spans AS ({visible_spans('responses', 'rid', 'response')}),
+    gated AS (SELECT r.*, CASE WHEN role IN ('admin', 'analyst') THEN [] ELSE coalesce(f.found, []) END AS found,
+      coalesce((SELECT max(toxic) FROM labels l WHERE l.doc_id = conv_id), 0) = 1 AS unsafe
+      FROM responses r LEFT JOIN {kinds_of('found_spans')} f ON f.k = rid)"""
 
 
 @query("pii_output_gate", f"""WITH {_RESPONSES}, {_GATED}
@@ -364,23 +361,37 @@ def output_gate(spark, sf_dir):
     return gated.select("rid", "violation_type", "severity", "is_safe", "description")
 
 
-_PLAIN_KINDS = [k for k in E.ENTITY_PATTERNS if k not in ("CREDIT_CARD", "IBAN_CODE")]
+_MARKED = """marked AS (SELECT id, content || ' (DE89 3704 0044 0532 0130 00) card 3782 822463 10005 ' || id || ', ' || id
+      || '.20.30.40@mail' || id || '.example' AS content FROM corpus)"""
 
 
-def _mask_kinds(column):
-    """The kinds in rule order; checked kinds replace only the values that pass."""
-    out = column
-    for kind, pattern in E.ENTITY_PATTERNS.items():
-        if kind in _PLAIN_KINDS:
-            out = f"regexp_replace({out}, {lit(pattern)}, '<{kind}>', 'g')"
-        else:
-            out = (
-                f"list_reduce(list_distinct({entity_list(out, kind)}), lambda a, v: "
-                f"regexp_replace(a, '\\b\\Q' || v || '\\E\\b', '<{kind}>', 'g'), {out})"
-            )
-    return out
+def _marked(spark, sf_dir):
+    """The corpus, each text with a line of a reference, a card and an address made of its id."""
+    number = F.col("id").cast("string")
+    line = F.concat(F.col("content"), F.lit(" (DE89 3704 0044 0532 0130 00) card 3782 822463 10005 "), number, F.lit(", "), number,
+                    F.lit(".20.30.40@mail"), number, F.lit(".example"))
+    return T.corpus(spark, sf_dir).select("id", line.alias("content"))
 
 
-@query("mask_entities", with_views("corpus", f"SELECT id, {_mask_kinds('content')} AS content FROM corpus"))
+@query("mask_entities", with_views("corpus", f"""SELECT k AS id, masked AS content FROM
+    ({masked('marked', 'id', 'content', 'found')})""", _MARKED, f"found AS ({visible_spans('marked', 'id', 'content')})"))
 def mask_entities(spark, sf_dir):
-    return E.mask_entities(T.corpus(spark, sf_dir).select("id", "content"))
+    return E.mask_entities(_marked(spark, sf_dir))
+
+
+@query("entity_spans", with_views("corpus", f"""SELECT k AS id, s::INT AS start, e::INT AS "end", kind AS entity FROM
+    ({visible_spans('marked', 'id', 'content')})""", _MARKED))
+def entity_spans(spark, sf_dir):
+    """Every finding with its place; an address hides the numbers inside it."""
+    return E.span_table(_marked(spark, sf_dir), "id").select("id", "start", "end", "entity")
+
+
+_NAMES = ("PERSON", 0.85, "[A-Z][a-z]+ [A-Z][a-z]+")
+
+
+@query("mask_recognized", with_views("corpus", f"""SELECT k AS id, masked AS content FROM
+    ({masked('marked', 'id', 'content', 'found')})""", _MARKED,
+    f"found AS ({visible_spans('marked', 'id', 'content', [_NAMES])})"))
+def mask_recognized(spark, sf_dir):
+    """What rules and a model find, masked together."""
+    return E.mask_entities(_marked(spark, sf_dir), recognizer=plugins.entity_recognizer(plugins.capitalised_pairs))

@@ -8,6 +8,7 @@ from custodia.functions.once import filter_computed
 from custodia.operators import analytics, guardrails
 from custodia.plans.log_queries import _alerts, _interactions, sql_stamp, stamp
 from custodia.plans.registry import query
+from custodia.plans.span_sql import visible_spans
 from custodia.plans.sql_views import mask, terms, with_views
 from custodia.session import new_path
 from custodia.sources import documents, logs
@@ -227,19 +228,11 @@ def moderator(spark, sf_dir):
     return judged.select("id", "unsafe", F.when(F.col("unsafe"), C.TOXIC_CONTENT).alias("violation_type"))
 
 
-def _names(texts):
-    """Stands in for a name model: pairs of capitalised words."""
-    import re
-
-    pattern = re.compile("[A-Z][a-z]+ [A-Z][a-z]+")
-    return [[("PERSON", name) for name in pattern.findall(t)] for t in texts]
-
-
-@query("entity_recognizer", with_views("doc_verdicts", """
-    SELECT id, len(found) + len(regexp_extract_all(content, '[A-Z][a-z]+ [A-Z][a-z]+')) AS entity_count,
-      len(regexp_extract_all(content, '[A-Z][a-z]+ [A-Z][a-z]+')) AS persons FROM doc_verdicts"""))
+@query("entity_recognizer", with_views("corpus", f"""
+    SELECT id, count(k) AS entity_count, count(k) FILTER (kind = 'PERSON') AS persons FROM corpus LEFT JOIN
+      ({visible_spans('corpus', 'id', 'content', [('PERSON', 0.85, '[A-Z][a-z]+ [A-Z][a-z]+')])}) ON k = id GROUP BY id"""))
 def entity_recognizer(spark, sf_dir):
     docs = T.corpus(spark, sf_dir).select("id", F.col("content").alias("response"), F.lit("guest").alias("role"))
-    gated = guardrails.pii_output_gate(docs, recognizer=plugins.entity_recognizer(_names))
+    gated = guardrails.pii_output_gate(docs, recognizer=plugins.entity_recognizer(plugins.capitalised_pairs))
     persons = F.size(F.filter("entities", lambda e: e == "PERSON"))
     return gated.select("id", "entity_count", persons.cast("long").alias("persons"))

@@ -1,7 +1,7 @@
 """The same views as ``sources.tables`` in SQL, for side-by-side checks."""
 
 from custodia import constants as C
-from custodia.functions.entities import ENTITY_PATTERNS
+from custodia.plans.span_sql import visible_spans
 from custodia.sources import tables as T
 
 
@@ -58,40 +58,9 @@ def terms(content="content", values=None):
     return f"nullif(array_to_string([{cases}], ','), '')"
 
 
-def luhn(value):
-    digits = f"list_reverse(string_split(regexp_replace({value}, '[^0-9]', '', 'g'), ''))"
-    return (
-        f"list_sum(list_transform({digits}, lambda d, i: CASE WHEN i % 2 = 0 THEN "
-        f"(CASE WHEN d::INT > 4 THEN d::INT * 2 - 9 ELSE d::INT * 2 END) ELSE d::INT END)) % 10 = 0"
-    )
-
-
-def iban(value):
-    moved = f"substr({value}, 5) || substr({value}, 1, 4)"
-    digits = (
-        f"array_to_string(list_transform(string_split({moved}, ''), lambda c: "
-        f"CASE WHEN c BETWEEN '0' AND '9' THEN c ELSE (ascii(c) - 55)::VARCHAR END), '')"
-    )
-    return f"({digits})::HUGEINT % 97 = 1"
-
-
-def entity_list(content, kind):
-    found = f"regexp_extract_all({content}, {text(ENTITY_PATTERNS[kind])})"
-    if kind == "CREDIT_CARD":
-        found = f"list_filter({found}, lambda v: {luhn('v')})"
-    if kind == "IBAN_CODE":
-        found = f"list_filter({found}, lambda v: {iban('v')})"
-    return found
-
-
-def entities(content="content"):
-    parts = [
-        f"list_transform({entity_list(content, kind)}, lambda v: {text(kind)})" for kind in ENTITY_PATTERNS
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = f"list_concat({out}, {part})"
-    return out
+def kinds_of(spans):
+    """(k, found): the kinds of each key's spans, as a list."""
+    return f"(SELECT k, list(kind) AS found FROM {spans} GROUP BY k)"
 
 
 VIEWS = {
@@ -144,8 +113,10 @@ VIEWS = {
         CASE WHEN blocked_global THEN 'Global rate limit exceeded: ' || n_global || ' requests per minute'
         ELSE 'User rate limit exceeded: ' || n_user || ' requests per hour' END AS description
         FROM limited WHERE blocked_global OR coalesce(blocked_user, false)""",
-    "doc_verdicts": f"""SELECT c.id, c.author AS username, c.content, {entities()} AS found,
-        coalesce((SELECT max(toxic) FROM labels l WHERE l.doc_id = c.id), 0) = 1 AS unsafe FROM corpus c""",
+    "doc_spans": visible_spans("corpus", "id", "content"),
+    "doc_verdicts": f"""SELECT c.id, c.author AS username, c.content, coalesce(f.found, []) AS found,
+        coalesce((SELECT max(toxic) FROM labels l WHERE l.doc_id = c.id), 0) = 1 AS unsafe
+        FROM corpus c LEFT JOIN {kinds_of('doc_spans')} f ON f.k = c.id""",
     "doc_violations": f"""SELECT id, username,
         CASE WHEN len(found) > 0 THEN '{C.PII_DETECTED}' ELSE '{C.TOXIC_CONTENT}' END AS violation_type,
         CASE WHEN len(found) > 0 THEN 'CRITICAL' ELSE 'HIGH' END AS severity,
@@ -213,7 +184,8 @@ _NEEDS = {
     "rate_user": ["rate_global"],
     "limited": ["rate_user"],
     "rate_violations": ["limited"],
-    "doc_verdicts": ["corpus"],
+    "doc_spans": ["corpus"],
+    "doc_verdicts": ["doc_spans"],
     "doc_violations": ["doc_verdicts"],
     "violations": ["rate_violations", "doc_violations"],
     "denial_alerts": ["denials"],

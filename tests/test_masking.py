@@ -1,11 +1,17 @@
 import re
+import time
 
+import duckdb
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from custodia import constants as C
 from custodia.functions import entities as E
-from custodia.functions import masking
+from custodia.functions import masking, plugins
+from custodia.operators import guardrails
+from custodia.plans import span_sql
 
 CASES = [
     ("SSN 123-45-6789.", "SSN [MASKED-SSN]."),
@@ -111,6 +117,24 @@ ENTITY_CASES = [
     ("ssn 123-45-6789", ["US_SSN"], "ssn <US_SSN>"),
     ("call 555-123-4567", ["PHONE_NUMBER"], "call <PHONE_NUMBER>"),
     ("clean", [], "clean"),
+    ("amex 378282246310005", ["CREDIT_CARD"], "amex <CREDIT_CARD>"),
+    ("amex 3782 822463 10005, 3782-822463-10005", ["CREDIT_CARD"] * 2, "amex <CREDIT_CARD>, <CREDIT_CARD>"),
+    ("19 digits 6304000000000000000", ["CREDIT_CARD"], "19 digits <CREDIT_CARD>"),
+    ("19 digits 6305 0000 0000 0000 000", [], "19 digits 6305 0000 0000 0000 000"),
+    ("19 digits 6304000000000000008", [], "19 digits 6304000000000000008"),
+    ("13 digits 4222222222222", ["CREDIT_CARD"], "13 digits <CREDIT_CARD>"),
+    ("a time 1704067200003", [], "a time 1704067200003"),
+    ("4111 1111 1111 1111 123 and 12 4111111111111111", ["CREDIT_CARD"] * 2, "<CREDIT_CARD> 123 and 12 <CREDIT_CARD>"),
+    ("4111 1111 1111 1111 12/27", ["CREDIT_CARD"], "<CREDIT_CARD> 12/27"),
+    ("x4111111111111111 4111111111111111_", [], "x4111111111111111 4111111111111111_"),
+    ("DE89 3704 0044 0532 0130 00", ["IBAN_CODE"], "<IBAN_CODE>"),
+    ("DE89 3704 0044 0532 0130 00 EUR", ["IBAN_CODE"], "<IBAN_CODE> EUR"),
+    ("AB12 DE89 3704 0044 0532 0130 00", ["IBAN_CODE"], "AB12 <IBAN_CODE>"),
+    ("DE89 37 040044 0532 0130 00", [], "DE89 37 040044 0532 0130 00"),
+    ("1.2.3.4@mail.example", ["EMAIL_ADDRESS"], "<EMAIL_ADDRESS>"),  # longer than the address inside
+    ("a@b@c.de a@b", ["EMAIL_ADDRESS"], "a@<EMAIL_ADDRESS> a@b"),
+    ("é 日本 🙂 a@b.co 🙂", ["EMAIL_ADDRESS"], "é 日本 🙂 <EMAIL_ADDRESS> 🙂"),
+    ("", [], ""),
 ]
 
 
@@ -121,3 +145,78 @@ def test_entities(rows):
         assert [e["entity"] for e in r["e"]] == ENTITY_CASES[r["i"]][1]
     for r in E.mask_entities(df).collect():
         assert r["content"] == ENTITY_CASES[r["i"]][2]
+
+
+def _found(*values):
+    """A model that knows some words, with or without their places."""
+
+    def model(texts):
+        return [[v if len(v) > 2 else v for v in values if v[1] in (t or "")] for t in texts]
+
+    return plugins.entity_recognizer(model)
+
+
+def test_spans_of_rules_and_models_meet(rows):
+    df = rows("i int, content string", (1, "Ann Lee 123-45-6789 Lee"), (2, None), (3, "nobody"), (4, "LeeLee"), (5, "mail ann@lee.org"))
+    model = _found(("PERSON", "Lee"), ("PERSON", "Ann Lee", 0, 7, 0.9), ("US_DRIVER_LICENSE", "123-45", 8, 14, 0.99),
+                   ("PERSON", "ann", 5, 8, 1.0), ("PERSON", "nobody", 3, 99, 1.0))
+    spans = E.span_table(df, "i", recognizer=model).collect()
+    got = {}
+    for r in spans:
+        got.setdefault(r["i"], []).append((r["start"], r["end"], r["entity"], r["value"]))
+    assert got == {
+        1: [(0, 7, "PERSON", "Ann Lee"), (8, 19, "US_SSN", "123-45-6789"), (20, 23, "PERSON", "Lee")],
+        4: [(0, 3, "PERSON", "Lee"), (3, 6, "PERSON", "Lee")],
+        5: [(5, 16, "EMAIL_ADDRESS", "ann@lee.org")],
+    }
+    masked = {r["i"]: r["content"] for r in E.mask_entities(df, recognizer=model).collect()}
+    assert masked == {1: "<PERSON> <US_SSN> <PERSON>", 2: None, 3: "nobody", 4: "<PERSON><PERSON>", 5: "mail <EMAIL_ADDRESS>"}
+    gated = guardrails.pii_output_gate(df.withColumn("role", F.lit("guest")), text="content", recognizer=model)
+    assert {r["i"]: r["entity_count"] for r in gated.collect()} == {1: 3, 2: 0, 3: 0, 4: 2, 5: 1}
+
+
+def painted(length, spans):
+    """Which span each character belongs to, by painting the worst first."""
+    out = [None] * length
+    for s in sorted(set(spans), key=lambda s: (s[0] - s[1], -s[3], s[2], s[0]), reverse=True):
+        out[s[0] : s[1]] = [s] * (s[1] - s[0])
+    return out
+
+
+_SPAN = st.tuples(st.integers(0, 30), st.integers(1, 12), st.sampled_from("ABC"), st.sampled_from([0.5, 0.7]))
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(_SPAN.map(lambda s: (s[0], s[0] + s[1], s[2], s[3])), max_size=14))
+def test_the_sweep_gives_each_character_to_its_best_span(spans):
+    best = painted(50, spans)
+    kept = E.sweep(spans)
+    assert sorted(kept) == kept
+    covered = {i: (kind, score) for a, b, kind, score in kept for i in range(a, b)}
+    assert sum(b - a for a, b, _, _ in kept) == len(covered)
+    assert covered == {i: s[2:] for i, s in enumerate(best) if s}
+
+
+SHAPES = st.text(alphabet="0123456789", max_size=5) | st.sampled_from([
+    "4111", "1111", " ", " ", "-", ".", "@", "a", "Z", "DE89", "3704", "0044", "0532", "0130", "00", "378282246310005", "co", "_", "é", "256"])
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.lists(st.lists(SHAPES, max_size=24).map("".join), min_size=20, max_size=60))
+def test_rules_equal_their_sql(texts):
+    con = duckdb.connect()
+    con.execute("CREATE TABLE texts (id BIGINT, content VARCHAR)")
+    con.executemany("INSERT INTO texts VALUES (?, ?)", list(enumerate(texts)))
+    got = {}
+    for k, s, e, kind in con.sql(span_sql.visible_spans("texts", "id", "content")).fetchall():
+        got.setdefault(k, []).append((s, e, kind))
+    want = {i: [s[:3] for s in E.sweep(E.rule_spans(t))] for i, t in enumerate(texts)}
+    assert {k: sorted(v) for k, v in got.items()} == {k: v for k, v in want.items() if v}
+
+
+@pytest.mark.parametrize("run", ["a", "1", "A", "a.", "1 ", "A1", "@", "a@", "1.", "AB12 ", "é"])
+def test_long_runs_take_time_in_proportion(run):
+    text = "x@y.zz 555-123-4567 " + run * (300_000 // len(run))
+    start = time.process_time()
+    E.masked(text, E.sweep(E.rule_spans(text)))
+    assert time.process_time() - start < 10
