@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from custodia import constants as C
 from custodia.operators import governed, retrieval, tfidf, topk
@@ -220,13 +221,74 @@ def test_upsert_and_delete(rows):
     assert {r["vector_id"] for r in vector_store.delete_namespace(out, "x").collect()} == {"a_y"}
 
 
-def test_load_batches_fail_whole(rows):
-    docs = rows(
-        "position long, embedding array<double>, seconds double",
-        *[(i, [0.0, 1.0] if i != 150 else [0.0], 0.01) for i in range(250)],
-    )
-    out = {r["batch"]: (r["documents"], r["failed"]) for r in vector_store.load_batches(docs, 2).collect()}
-    assert out == {0: (100, False), 1: (100, True), 2: (50, False)}
+DOCUMENT = "id long, title string, domain string, classification string, author string, date string, content string"
+
+
+def _documents(rows, ids, text="text {}"):
+    return rows(DOCUMENT, *[(i, f"t{i}", "hr", None, None, None, text.format(i)) for i in ids])
+
+
+def _model():
+    def model(texts):
+        if texts.str.contains("boom").any():
+            raise RuntimeError("no model")
+        return [[float(len(t)), 1.0] for t in texts]
+
+    return model
+
+
+def test_a_failing_batch_leaves_the_others_loaded(rows, spark, tmp_path):
+    path = str(tmp_path / "store")
+    old = rows("vector_id string, id long, namespace string, version int, title string, domain string, classification string,"
+               "author string, date string, content_preview string, content_length long, embedding array<float>",
+               ("150_x", 150, "x", 0, "old", "hr", "", "", "", "", 0, [0.0, 0.0]), ("900_x", 900, "x", 0, "old", "hr", "", "", "", "", 0, [0.0, 0.0]))
+    vector_store.write_store(old, path, buckets=3)
+    docs = _documents(rows, range(250)).withColumn("content", F.expr("if(id = 130, 'boom', content)")).repartition(7)
+    loads = vector_store.load_into(docs, path, _model(), "x", dim=2, position="id", buckets=3)
+    found = {r["batch"]: (r["documents"], r["failed"], r["error"]) for r in loads.collect()}
+    assert found == {0: (100, False, None), 1: (100, True, "RuntimeError: no model"), 2: (50, False, None)}
+    store = {r["id"]: r for r in spark.read.parquet(path).collect()}
+    assert set(store) == {*range(100), *range(200, 250), 150, 900}
+    assert store[150]["title"] == "old" and store[7]["title"] == "t7" and store[7]["embedding"] == [6.0, 1.0]
+    # the mended load under the same name replaces its rows
+    again = vector_store.load_into(_documents(rows, range(250)), path, _model(), "x", dim=2, position="id", buckets=3)
+    assert [r["failed"] for r in again.collect()] == [False] * 3
+    assert vector_store.loads_of(spark, path).count() == 3
+    vector_store.load_into(_documents(rows, [300]), path, _model(), "x", dim=2, load_id="2", buckets=3)
+    assert vector_store.loads_of(spark, path).count() == 4 and spark.read.parquet(path).count() == 252
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_batches_where_documents_lie(rows, parts):
+    calls = rows(DOCUMENT).sparkSession.sparkContext.accumulator(0)
+
+    answer = _model()
+
+    def model(texts):
+        assert 0 < len(texts) <= 100
+        calls.add(1)
+        return answer(texts)
+
+    done = vector_store.embed_batches(_documents(rows, range(730)).coalesce(1).repartition(parts), model, dim=2).collect()
+    loads = [r["load"] for r in done if r["load"]]
+    assert sum(b["documents"] for b in loads) == 730 and all(b["documents"] == 100 for b in loads if b["documents"] > 50)
+    assert sorted(r["id"] for r in done if r["load"] is None) == list(range(730))
+    assert calls.value == len(loads) <= 8 + parts
+
+
+@pytest.mark.parametrize("model", [
+    lambda texts: [[1.0]] * len(texts), lambda texts: [[1.0, 2.0]] * (len(texts) + 1), lambda texts: None, lambda texts: [["x", "y"]] * len(texts),
+])
+def test_wrong_answers_fail_their_batch(rows, model):
+    done = vector_store.embed_batches(_documents(rows, range(3)), model, dim=2).collect()
+    assert all(r["load"]["failed"] and r["load"]["error"] for r in done) and sum(r["load"]["documents"] for r in done) == 3
+
+
+def test_nothing_to_load(rows):
+    assert vector_store.embed_batches(_documents(rows, []), _model()).count() == 0
+    nulls = _documents(rows, [1]).withColumn("content", F.lit(None).cast("string"))
+    done = vector_store.embed_batches(nulls, lambda texts: [[float(t is None)] for t in texts]).collect()
+    assert [r["embedding"] for r in done if r["load"] is None] == [[1.0]]
 
 
 def test_first_document_per_id(rows):
