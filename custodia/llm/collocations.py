@@ -8,8 +8,8 @@ occurrences; a prefix below the least count is cut off with all its extensions.
 when its last wanted score lies above the bound of every word not yet expanded, so that no later
 phrase can even tie. Nothing else ends the search, and what is left unexpanded is never counted.
 
-Texts are read once, into blocks of word codes in the shared folder, and each step of a wave is a
-narrow pass over these blocks, summed by Spark. Words and phrases are told apart by 64-bit hashes,
+Texts are read twice: to count the words, and into blocks of the frequent words' codes in the shared
+folder. Each step of a wave is a narrow pass over these blocks, summed by Spark. Words and phrases are told apart by 64-bit hashes,
 seeded by the language. The driver holds a wave's frontier: a phrase of it occurs ``least`` times, so
 a slice of the wave has at most SLICE / ``least`` of one length, whatever the corpus; a wave that is
 larger, because of a single very common word, is expanded slice by slice."""
@@ -26,9 +26,12 @@ from custodia.llm.common import blocks, string_array, text_of
 from custodia.rules import local_table
 from custodia.session import materialize
 
-BLOCK = 4 << 20  # bytes of text in a block
+BLOCK = 1 << 20  # bytes of text in a block: its row stays small
+PENDING = 1 << 20  # counts that a task gathers before it sums them
+ROWS = 1 << 16  # of a batch of counts
+MARKS = 1 << 20  # places that frequent words are marked at, so that blocks leave most others out
 WAVE = 1 << 21  # occurrences of a language's words in its first wave; each next one has GROWTH times as many
-GROWTH = 4
+GROWTH = 2
 SLICE = 1 << 25  # occurrences whose phrases the driver keeps at once
 EXACT = 1 << 12  # counts below are told apart when words are lined up, larger ones by sixteenths of an octave
 
@@ -60,9 +63,9 @@ def word_codes(texts: pa.Array):
     return coded.dictionary, codes
 
 
-def _word_hashes(words: pa.Array, lang: str) -> np.ndarray:
+def _word_hashes(words: list[bytes], lang: str) -> np.ndarray:
     seed = xxhash.xxh64_intdigest(lang.encode())
-    found = np.array([xxhash.xxh64_intdigest(w, seed) for w in words.cast(pa.binary()).to_pylist()], np.uint64)
+    found = np.array([xxhash.xxh64_intdigest(w, seed) for w in words], np.uint64)
     return np.maximum(found, np.uint64(1))  # 0 stands for a break
 
 
@@ -71,43 +74,91 @@ def _packed(codes: np.ndarray) -> bytes:
     return codes.astype(np.uint16).tobytes() if not len(codes) or codes.max() < 1 << 16 else codes.tobytes()
 
 
-_CODED = "lang string, n_words long, words array<string>, hashes binary, wide boolean, codes binary"
+def _rows(docs, text_col, lang_col):
+    lang = F.coalesce(F.col(lang_col).cast("string"), F.lit("und"))
+    return docs.select(lang.alias("_lang"), text_of(text_col).alias("_text"))
 
 
-def code(docs: DataFrame, text_col="text", lang_col="lang") -> DataFrame:
-    """Blocks of one language each: its distinct words, their hashes, and the words in order as codes."""
-    rows = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("_lang"), text_of(text_col).alias("_text"))
+def _by_language(batch):
+    """(language, texts) of blocks of one language each."""
+    langs = string_array(batch.column(0)).dictionary_encode()
+    of = langs.indices.to_numpy()
+    for i, lang in enumerate(langs.dictionary.to_pylist()):
+        mine = batch.take(pa.array(np.flatnonzero(of == i)))
+        for block in blocks(mine, "_text", BLOCK):
+            yield lang, string_array(block.column("_text"))
+
+
+_CODED = "lang string, n_words long, words binary, hashes binary, wide boolean, codes binary"
+
+
+def code(rows: DataFrame, known: np.ndarray) -> DataFrame:
+    """Blocks of one language each: the words whose hash is marked in ``known``, joined by blanks, their hashes,
+    and the words in order as codes. Other words part phrases as breaks do; ``n_words`` counts them too."""
+    shared = rows.sparkSession.sparkContext.broadcast(known)
 
     def run(batches):
         for batch in batches:
-            langs = string_array(batch.column(0)).dictionary_encode()
-            of = langs.indices.to_numpy()
-            for i, lang in enumerate(langs.dictionary.to_pylist()):
-                mine = batch.take(pa.array(np.flatnonzero(of == i)))
-                for block in blocks(mine, "_text", BLOCK):
-                    words, codes = word_codes(string_array(block.column("_text")))
-                    packed = _packed(codes)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([lang]), pa.array([int(np.count_nonzero(codes))], pa.int64()),
-                         pa.array([words.to_pylist()], pa.list_(pa.string())),
-                         pa.array([_word_hashes(words, lang).tobytes()], pa.binary()),
-                         pa.array([len(packed) == 4 * len(codes)]), pa.array([packed], pa.binary())],
-                        ["lang", "n_words", "words", "hashes", "wide", "codes"],
-                    )
+            for lang, texts in _by_language(batch):
+                words, codes = word_codes(texts)
+                words = words.cast(pa.binary()).to_pylist()
+                hashes = _word_hashes(words, lang)
+                kept = np.flatnonzero(shared.value[hashes % np.uint64(len(shared.value))])
+                number = np.zeros(len(words) + 1, np.uint32)
+                number[kept + 1] = np.arange(1, len(kept) + 1)
+                n, codes = int(np.count_nonzero(codes)), number[codes]
+                codes = codes[(codes > 0) | np.concatenate([[False], codes[:-1] > 0])[: len(codes)]]  # one break at a time
+                packed = _packed(codes)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang]), pa.array([n], pa.int64()), pa.array([b" ".join(words[i] for i in kept.tolist())], pa.binary()),
+                     pa.array([hashes[kept].tobytes()], pa.binary()), pa.array([len(packed) == 4 * len(codes)]),
+                     pa.array([packed], pa.binary())],
+                    ["lang", "n_words", "words", "hashes", "wide", "codes"],
+                )
 
     return rows.mapInArrow(run, _CODED)
 
 
+def word_counts(rows: DataFrame) -> DataFrame:
+    """(lang, hash, n) of all words."""
+
+    def run(batches):
+        sums = {}
+        for batch in batches:
+            for lang, texts in _by_language(batch):
+                words, codes = word_codes(texts)
+                n = np.bincount(codes, minlength=len(words) + 1)[1:].astype(np.int64)
+                sums.setdefault(lang, _Sum()).add(_word_hashes(words.cast(pa.binary()).to_pylist(), lang), n)
+        yield from _summed(sums)
+
+    return rows.mapInArrow(run, _COUNTS).groupBy("lang", "hash").agg(F.sum("n").alias("n"))
+
+
+def _marked(frequent: DataFrame) -> np.ndarray:
+    """A table of MARKS marks, whatever the vocabulary: a frequent word's hash falls on a marked place."""
+    places = frequent.select((F.shiftrightunsigned("hash", 1) % F.lit(MARKS // 2)).alias("half"), (F.col("hash") % 2 != 0).alias("odd"))
+    found = places.distinct().toArrow()
+    marks = np.zeros(MARKS, bool)
+    marks[found["half"].to_numpy() * 2 + found["odd"].to_numpy().astype(int)] = True
+    return marks
+
+
 def _scan(coded: DataFrame, found, schema: str) -> DataFrame:
     """Rows that ``found(hashes, codes)`` makes of each block, hashes[0] standing for a break."""
 
     def run(batches):
-        for batch in batches:
-            for hashes, wide, codes in zip(*(c.to_pylist() for c in batch.columns)):
-                table = np.concatenate([np.zeros(1, np.uint64), np.frombuffer(hashes, np.uint64)])
-                yield found(table, np.frombuffer(codes, np.uint32 if wide else np.uint16))
+        for table, codes, _ in _blocks_of(batches):
+            yield found(table, codes)
+
+    return coded.select("hashes", "wide", "codes", "lang").mapInArrow(run, schema)
 
-    return coded.select("hashes", "wide", "codes").mapInArrow(run, schema)
+
+def _blocks_of(batches):
+    for batch in batches:
+        for row in range(batch.num_rows):
+            hashes, wide, codes, lang = (c[row].as_py() for c in batch.columns)
+            table = np.concatenate([np.zeros(1, np.uint64), np.frombuffer(hashes, np.uint64)])
+            yield table, np.frombuffer(codes, np.uint32 if wide else np.uint16), lang
 
 
 def _signed(values: np.ndarray) -> pa.Array:
@@ -118,26 +169,59 @@ def _unsigned(column) -> np.ndarray:
     return column.to_numpy().astype(np.int64).view(np.uint64)
 
 
-def _counts(values: np.ndarray) -> pa.RecordBatch:
-    value, n = np.unique(values, return_counts=True)
-    return pa.RecordBatch.from_arrays([_signed(value), pa.array(n.astype(np.int64))], ["hash", "n"])
+class _Sum:
+    """Counts by hash, gathered over the blocks of a task."""
 
+    def __init__(self):
+        self.parts, self.waiting, self.size = [], 0, 0
+
+    def add(self, hashes, n):
+        self.parts.append((hashes, n))
+        self.waiting += len(hashes)
+        if self.waiting > max(PENDING, self.size):
+            self.total()
+
+    def total(self):
+        hashes, n = (np.concatenate(p) for p in zip(*self.parts))
+        order = np.argsort(hashes)
+        hashes, n = hashes[order], n[order]
+        first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])[: len(hashes)])
+        found = hashes[first], np.add.reduceat(n, first) if len(first) else n
+        self.parts, self.waiting, self.size = [found], 0, len(first)
+        return found
+
+
+def _counted(coded: DataFrame, found) -> DataFrame:
+    """(lang, hash, n) of the hashes that ``found(hashes, codes)`` lists with counts for each block."""
 
-def word_counts(coded: DataFrame) -> DataFrame:
     def run(batches):
-        for batch in batches:
-            for lang, hashes, wide, codes in zip(*(c.to_pylist() for c in batch.columns)):
-                codes = np.frombuffer(codes, np.uint32 if wide else np.uint16)
-                n = np.bincount(codes, minlength=len(hashes) // 8 + 1)[1:]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(n), pa.string()), _signed(np.frombuffer(hashes, np.uint64)), pa.array(n.astype(np.int64))],
-                    ["lang", "hash", "n"],
-                )
+        sums = {}
+        for table, codes, lang in _blocks_of(batches):
+            sums.setdefault(lang, _Sum()).add(*found(table, codes))
+        yield from _summed(sums)
 
-    rows = coded.select("lang", "hashes", "wide", "codes").mapInArrow(run, "lang string, hash long, n long")
+    rows = coded.select("hashes", "wide", "codes", "lang").mapInArrow(run, _COUNTS)
     return rows.groupBy("lang", "hash").agg(F.sum("n").alias("n"))
 
 
+_COUNTS = "lang string, hash long, n long"
+
+
+def _summed(sums):
+    """The counts of a task, by language, as batches."""
+    for lang, counted in sums.items():
+        hashes, n = counted.total()
+        for a in range(0, len(hashes), ROWS):
+            part = _signed(hashes[a : a + ROWS])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([lang] * len(part), pa.string()), part, pa.array(n[a : a + ROWS])], ["lang", "hash", "n"])
+
+
+def _counts(values: np.ndarray):
+    value, n = np.unique(values, return_counts=True)
+    return value, n.astype(np.int64)
+
+
 # --- one slice of a wave -----------------------------------------------------------------------
 
 
@@ -166,8 +250,8 @@ def _ordered_words(table: np.ndarray, codes: np.ndarray, longest: int) -> np.nda
     return np.concatenate([table[codes], np.zeros(longest, np.uint64)])
 
 
-def _grow(coded, tree, slices, mine, longest) -> DataFrame:
-    """(hash, n) of all phrases one word longer than the last level of the tree, from its phrases."""
+def _grow(coded, tree, slices, mine, longest):
+    """Counts of all phrases one word longer than the last level of the tree, from its phrases."""
     shared = coded.sparkSession.sparkContext.broadcast(tree)
 
     def found(table, codes):
@@ -185,13 +269,13 @@ def _grow(coded, tree, slices, mine, longest) -> DataFrame:
             at, phrase = at[keep], phrase[keep]
         return _counts(phrase)
 
-    return _scan(coded, found, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+    return _counted(coded, found), shared
 
 
 _DESCRIBED = "hash long, words array<long>, least long, most long"
 
 
-def _describe(coded, tree, longest) -> DataFrame:
+def _describe(coded, tree, longest):
     """Every phrase of the tree with its words, and the least and the greatest word before it."""
     shared = coded.sparkSession.sparkContext.broadcast(tree)
 
@@ -220,8 +304,10 @@ def _describe(coded, tree, longest) -> DataFrame:
         empty = [pa.array([], t) for t in (pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int64())]
         return pa.concat_batches(parts) if parts else pa.RecordBatch.from_arrays(empty, ["hash", "words", "least", "most"])
 
-    return _scan(coded, found, _DESCRIBED).groupBy("hash").agg(
-        F.any_value("words").alias("words"), F.min("least").alias("least"), F.max("most").alias("most"))
+    told = _scan(coded, found, _DESCRIBED).groupBy("hash").agg(
+        F.any_value("words").alias("words"), F.min("least").alias("least"), F.max("most").alias("most")).toArrow()
+    shared.destroy()
+    return told
 
 
 def _count_phrases(coded, wanted: list[np.ndarray], first: np.ndarray, longest):
@@ -241,7 +327,8 @@ def _count_phrases(coded, wanted: list[np.ndarray], first: np.ndarray, longest):
             hits.append(phrase[_member(among, phrase)])
         return _counts(np.concatenate(hits))
 
-    counted = _scan(coded, found, "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n")).toArrow()
+    counted = _counted(coded, found).toArrow()
+    shared.destroy()
     return _unsigned(counted["hash"]), counted["n"].to_numpy()
 
 
@@ -258,7 +345,9 @@ def _expand(coded, first: np.ndarray, slices: int, mine: int, least: int, longes
     phrase is as frequent."""
     tree, counts = [np.sort(first)], [None]
     while len(tree) < longest:
-        grown = _grow(coded, tree, slices, mine, longest).filter(F.col("n") >= least).toArrow()
+        counted, shared = _grow(coded, tree, slices, mine, longest)
+        grown = counted.filter(F.col("n") >= least).toArrow()
+        shared.destroy()
         if not grown.num_rows:
             break
         hashes = _unsigned(grown["hash"])
@@ -267,7 +356,7 @@ def _expand(coded, first: np.ndarray, slices: int, mine: int, least: int, longes
         counts.append(grown["n"].to_numpy()[order])
     if len(tree) == 1:
         return []
-    told = _describe(coded, tree, longest).toArrow()
+    told = _describe(coded, tree, longest)
     hashes, spelled = _unsigned(told["hash"]), told["words"].combine_chunks()
     lengths = spelled.value_lengths().to_numpy()
     same_before = ((told["least"].to_numpy() == told["most"].to_numpy()) & (told["least"].to_numpy() != 0))
@@ -391,12 +480,13 @@ def mine(docs: DataFrame, text_col="text", lang_col="lang", least=100, longest=5
     ``und``; null and empty texts, and texts of blanks, have no words; repeated rows count each; texts
     are read whole, however long. A language without such a phrase, and an empty table, give no rows."""
     spark = docs.sparkSession
-    coded = materialize(code(docs, text_col, lang_col), "coded")
+    rows = _rows(docs, text_col, lang_col)
+    frequent = word_counts(rows).filter(F.col("n") >= least).withColumn("bucket", _bucket(F.col("n")))
+    frequent = materialize(frequent, "frequent")
+    coded = materialize(code(rows, _marked(frequent)), "coded")
     sizes = coded.groupBy("lang").agg(F.sum("n_words").alias("n")).orderBy("lang").collect()
     languages = [_Language(r["lang"], r["n"], top) for r in sizes]
     number = {x.name: i for i, x in enumerate(languages)}
-    frequent = word_counts(coded).filter(F.col("n") >= least).withColumn("bucket", _bucket(F.col("n")))
-    frequent = materialize(frequent, "frequent")
     lines = frequent.groupBy("lang", "bucket").agg(F.min("n").alias("least"), F.sum("n").alias("n")).orderBy("bucket")
     for r in lines.collect():
         languages[number[r["lang"]]].steps.append((r["bucket"], r["least"], r["n"]))
@@ -423,10 +513,11 @@ def _ranked(spark, coded, languages, top) -> DataFrame:
 
     def spell(batches):
         for batch in batches:
-            for words, hashes in zip(batch.column(0), batch.column(1).to_pylist()):
-                value = np.frombuffer(hashes, np.uint64)
+            for words, hashes in zip(batch.column(0), batch.column(1)):
+                value = np.frombuffer(hashes.as_py(), np.uint64)
                 at = np.flatnonzero(_member(shared.value, value))
-                yield pa.RecordBatch.from_arrays([_signed(value[at]), words.values.take(pa.array(at))], ["hash", "word"])
+                spelled = words.as_py().split(b" ")
+                yield pa.RecordBatch.from_arrays([_signed(value[at]), pa.array([spelled[i].decode() for i in at.tolist()], pa.string())], ["hash", "word"])
 
     spelled = coded.select("words", "hashes").mapInArrow(spell, "hash long, word string")
     found = spelled.groupBy("hash").agg(F.min("word").alias("word")).toArrow()
