@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from custodia.operators.topk import Best, arrow_ids, id_type, plain_ids
+from custodia.operators.topk import SCORE_DIGITS, Best, arrow_ids, id_type, plain_ids
 from custodia.session import materialize, union
 
 SEGMENT_DOCS = 8192
@@ -28,7 +28,6 @@ CHAMPIONS = 100  # greatest weights of a term that floors can be taken from
 SLACK = 1e-7  # bounds are compared with: more than scores are rounded by
 QUERY_BYTES = 64 << 20  # of a block of queries, with what a task keeps for them
 _ENTRY_BYTES, _KEPT_BYTES = 12, 24
-_SCORES_PER_STEP = 4_000_000
 
 _BLOCK_TYPE = "struct<terms:binary,most:binary,ends:binary,docs:binary,weights:binary>"
 _BLOCK_ARROW = pa.struct([(f, pa.binary()) for f in ("terms", "most", "ends", "docs", "weights")])
@@ -102,8 +101,8 @@ def build(vectors: DataFrame, key="id", vector="vec") -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def champions(segments: DataFrame) -> DataFrame:
-    """(term, weights): each term's CHAMPIONS greatest weights, greatest first.
+def champions(segments: DataFrame) -> dict[int, list[float]]:
+    """Each term's CHAMPIONS greatest weights, greatest first.
 
     Tasks keep a term's greatest; these are cut twice, so that no group grows with the corpus' tasks."""
     names = [f"b{i}" for i in range(BLOCKS)]
@@ -126,7 +125,7 @@ def champions(segments: DataFrame) -> DataFrame:
     for keys in (["term", "_part"], ["term"]):
         found = found.groupBy(*keys).agg(
             F.slice(F.sort_array(F.flatten(F.collect_list("weights")), asc=False), 1, CHAMPIONS).alias("weights"))
-    return found
+    return {r["term"]: r["weights"] for r in found.collect()}
 
 
 def _read(column):
@@ -136,7 +135,7 @@ def _read(column):
             yield {}
             continue
         terms, ends = np.frombuffer(block["terms"], np.int32), np.frombuffer(block["ends"], np.int32)
-        docs, weights = np.frombuffer(block["docs"], np.uint16), np.frombuffer(block["weights"])
+        docs, weights = np.frombuffer(block["docs"], np.uint16).astype(np.intp), np.frombuffer(block["weights"])
         yield {t: (docs[a:b], weights[a:b]) for t, a, b in zip(terms.tolist(), [0, *ends[:-1].tolist()], ends.tolist())}
 
 
@@ -179,63 +178,65 @@ class Searched:
         self.postings = self.lookups = self.skipped = 0
 
 
-def search_segment(queries: Queries, floor, postings: dict, bounds: np.ndarray, documents: int, searched: Searched):
-    """Arrays (query, document, score), step by step, of all documents of a segment that can reach their
-    query's floor.
+def search_segment(queries: Queries, floor, k: int, postings: dict, bounds: np.ndarray, names: np.ndarray, searched: Searched):
+    """Arrays (query, document, score) of each query's k best documents of a segment, those below its floor left
+    out; ``floor`` rises with them.
 
-    ``postings`` has term -> (documents, weights), ``bounds`` the greatest weight of every term."""
+    ``postings`` has term -> (documents, weights), ``bounds`` the greatest weight of every term, ``names`` the
+    ids of the documents."""
     impact = queries.weight * bounds[queries.term]
     reach = np.bincount(queries.row, impact, minlength=len(floor))
     alive = (reach > 0) & (reach >= floor - SLACK)
     searched.skipped += int(len(floor) - alive.sum())
+    # the entries of each query that have postings, least impact first
     at = np.flatnonzero(alive[queries.row] & (impact > 0))
-    # of each query, least impact first; terms whose impacts together stay below the floor open no candidates
     at = at[np.lexsort((impact[at], queries.row[at]))]
-    row, term, weight = queries.row[at], queries.term[at], queries.weight[at]
-    total = np.cumsum(impact[at])
-    first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else row
-    before = np.repeat(np.r_[0, total][first], np.diff(np.r_[first, len(row)]))
-    opens = (total - before) >= (floor[row] - SLACK)
-    left = np.bincount(row[~opens], impact[at][~opens], minlength=len(floor))  # what the others can still add
-    active = np.flatnonzero(alive)
-    step = max(1, _SCORES_PER_STEP // max(1, documents))
-    for start in range(0, len(active), step):
-        mine = active[start : start + step]
-        local = np.full(len(floor), -1)
-        local[mine] = np.arange(len(mine))
-        scores = np.zeros((len(mine), documents))
-        part = np.flatnonzero(local[row] >= 0)
-        for t, entries in _by_term(term, part[opens[part]]):
-            docs, weights = postings[t]
-            scores[local[row[entries]][:, None], docs[None, :]] += weight[entries][:, None] * weights[None, :]
-            searched.postings += len(entries) * len(docs)
-        possible = (scores > 0) & (scores >= (floor - left - SLACK)[mine][:, None])
-        q, d = np.nonzero(possible)
-        s = scores[q, d]
-        for t, entries in _by_term(term, part[~opens[part]]):
-            docs, weights = postings[t]
-            asked = np.zeros(len(mine))
-            asked[local[row[entries]]] = weight[entries]
-            pairs = np.flatnonzero(asked[q] > 0)
-            place = np.minimum(np.searchsorted(docs, d[pairs]), len(docs) - 1)
-            hit = docs[place] == d[pairs]
-            s[pairs[hit]] += asked[q[pairs[hit]]] * weights[place[hit]]
-            searched.lookups += len(pairs)
-        keep = s >= floor[mine[q]] - SLACK
-        yield mine[q[keep]], d[keep], s[keep]
-
-
-def _by_term(term, entries):
-    """(term, its entries), in order of the terms."""
-    entries = entries[np.argsort(term[entries], kind="stable")]
-    cuts = np.flatnonzero(np.diff(term[entries])) + 1
-    for some in np.split(entries, cuts) if len(entries) else ():
-        yield int(term[some[0]]), some
+    row, term, weight, impact = queries.row[at], queries.term[at].tolist(), queries.weight[at].tolist(), impact[at]
+    starts = np.flatnonzero(np.r_[True, row[1:] != row[:-1]]) if len(row) else row
+    ends = np.r_[starts[1:], len(row)][: len(starts)].tolist()
+    scores = np.zeros(len(names))
+    found = []
+    for q, a, b in zip(row[starts].tolist(), starts.tolist(), ends):
+        least, total = floor[q] - SLACK, np.cumsum(impact[a:b])
+        # terms that together stay below the floor open no candidates
+        opens = a + int(np.searchsorted(total, least))
+        left = float(total[opens - a - 1]) if opens > a else 0.0
+        scores.fill(0.0)
+        for i in range(opens, b):
+            docs, weights = postings[term[i]]
+            scores[docs] += weight[i] * weights
+            searched.postings += len(docs)
+        some = np.flatnonzero(scores >= max(least - left, SLACK * SLACK))
+        for i in range(opens - 1, a - 1, -1):
+            docs, weights = postings[term[i]]
+            if 8 * len(some) > len(docs):
+                scores[docs] += weight[i] * weights
+                searched.postings += len(docs)
+            else:
+                place = np.minimum(np.searchsorted(docs, some), len(docs) - 1)
+                hit = docs[place] == some
+                scores[some[hit]] += weight[i] * weights[place[hit]]
+                searched.lookups += len(some)
+            left -= float(impact[i])
+            some = some[scores[some] >= least - left - SLACK]
+        reached = np.round(scores[some], SCORE_DIGITS)
+        some, reached = some[reached >= least], reached[reached >= least]
+        if len(some) >= k:
+            kth = np.partition(reached, len(reached) - k)[len(reached) - k]
+            floor[q] = max(floor[q], kth)
+            some, reached = some[reached >= kth], reached[reached >= kth]
+            if len(some) > k:
+                order = np.lexsort((names[some], -reached))[:k]
+                some, reached = some[order], reached[order]
+        found.append((np.full(len(some), q), some, reached))
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    return tuple(np.concatenate(x) for x in zip(*found))
 
 
 def _search_batches(batches, queries, k, dim, types):
     best = Best(len(queries.ids), k, True, types[1])
-    searched = Searched()
+    searched, floor = Searched(), queries.floor.copy()
     for batch in batches:
         columns = batch.columns[1:]
         for row in range(batch.num_rows):
@@ -246,33 +247,31 @@ def _search_batches(batches, queries, k, dim, types):
                 for terms, most in _bounds(block):
                     bounds[terms] = most
                 postings.update(*_read(block))
-            floor = np.maximum(queries.floor, best.floor)
             names = plain_ids(ids)
-            for q, d, s in search_segment(queries, floor, postings, bounds, len(ids), searched):
-                best.take(q, s, names[d])
+            q, d, s = search_segment(queries, floor, k, postings, bounds, names, searched)
+            best.take(q, s, names[d])
     row, score, ids = best.merge()
     return pa.RecordBatch.from_arrays(
         [arrow_ids(queries.ids[row], types[0]), arrow_ids(ids, types[1]), pa.array(score)], ["query_id", "item_id", "score"])
 
 
-def top_k(segments: DataFrame, tops: DataFrame, queries: DataFrame, k: int, dim: int, query_key="query_id",
+def top_k(segments: DataFrame, tops: dict, queries: DataFrame, k: int, dim: int, query_key="query_id",
           vector="vec", query_bytes=QUERY_BYTES) -> DataFrame:
     """(query_id, item_id, score, rank): the k best items of each query with a score above 0, ties by id.
 
     ``queries`` is computed once. Blocks of queries of a checked size go to all tasks, one after the
-    other; ``tops`` has a row per term of the model."""
+    other; ``tops`` are the champions of the model's terms."""
     kind = id_type(queries, query_key)
     item_kind = segments.schema["ids"].dataType.elementType.simpleString().replace("bigint", "long")
     asked = queries.select(F.col(query_key).cast(kind).alias("id"), F.col(vector).alias("vec"))
     stored = materialize(asked, "queries")
     size = stored.agg(F.count("*"), F.sum(F.size("vec"))).first()
     blocks = max(1, math.ceil((size[0] * _KEPT_BYTES * (k + 1) + (size[1] or 0) * _ENTRY_BYTES) / query_bytes))
-    best = {r["term"]: r["weights"] for r in tops.collect()}
     parts = []
     for block in range(blocks):
         mine = stored if blocks == 1 else stored.filter(F.pmod(F.xxhash64("id"), F.lit(blocks)) == block)
         head = mine.toArrow()
-        some = Queries.of(plain_ids(head.column(0)), head.column(1), best, k)
+        some = Queries.of(plain_ids(head.column(0)), head.column(1), tops, k)
         found = _best_of_block(segments, some, k, dim, (kind, item_kind))
         parts.append(materialize(found, "best") if blocks > 1 else found)
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "item_id")

@@ -199,7 +199,7 @@ class KeywordIndex:
     dim: int
     stop_words: list | None
     segments: DataFrame
-    champions: DataFrame
+    champions: dict  # of at most ``dim`` terms
 
 
 def fit(docs: DataFrame, key="id", text="content", max_features=1000, max_df=0.95,
@@ -208,7 +208,7 @@ def fit(docs: DataFrame, key="id", text="content", max_features=1000, max_df=0.9
     vectors = materialize(weigh(docs, vocab, key, text, stop_words), "tfidf-vectors")
     vectors = vectors.withColumnRenamed(key, "id")
     segments = materialize(postings.build(vectors), "tfidf-postings")
-    champions = materialize(postings.champions(segments), "tfidf-champions")
+    champions = postings.champions(segments)
     return KeywordIndex(vocab, vectors, max_features, stop_words, segments, champions)
 
 
