@@ -10,7 +10,7 @@ from custodia.plans.sql_views import role_mask, terms, with_views, words
 from custodia.session import is_folder, new_path
 from custodia.sources import logs
 from custodia.sources import tables as T
-from custodia.streaming import flows, recent
+from custodia.streaming import flows, limits, recent
 from custodia.plans.corpus_queries import EXTRA_TERMS
 
 
@@ -66,6 +66,29 @@ def stream_excessive_denials(spark, sf_dir):
     )
 
 
+@query("stateful_rate_limit", with_views("limited", """
+    SELECT request_id, n_global, blocked_global, n_user, blocked_user FROM limited"""))
+def stateful_rate_limit(spark, sf_dir):
+    """The same limits with keyed state."""
+    out, work = _paths(spark, "rate-state")
+    _finish(limits.stream_rate_limit(_requests(spark, sf_dir), out, work, T.PER_MINUTE, T.PER_USER_HOUR))
+    return spark.read.parquet(out).select("request_id", "n_global", "blocked_global", "n_user", "blocked_user")
+
+
+@query("stateful_denials", with_views("denial_alerts excessive", f"""
+    SELECT alert_type, {sql_stamp('ts')} AS "timestamp", "user", message, severity, denial_count FROM
+    (SELECT *, NULL::BIGINT AS denial_count FROM denial_alerts UNION ALL BY NAME SELECT * FROM excessive)"""))
+def stateful_denials(spark, sf_dir):
+    out, work = _paths(spark, "denial-state")
+    refused = access.access_denied(_requests(spark, sf_dir)).withColumn(
+        "reason", F.when(F.col("event_type") == "click", F.lit("policy")).otherwise(F.lit(None).cast("string"))
+    )
+    _finish(limits.stream_excessive_denials(refused, out, work, T.DENIALS_PER_HOUR))
+    return spark.read.parquet(out).select(
+        "alert_type", stamp("timestamp").alias("timestamp"), "user", "message", "severity", "denial_count"
+    )
+
+
 def _violation_log(spark, sf_dir):
     path = new_path(spark, "violation-stream")
     T.violations(spark, sf_dir).write.parquet(path)
