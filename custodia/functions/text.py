@@ -10,6 +10,11 @@ def _col(value):
     return F.col(value) if isinstance(value, str) else value
 
 
+def named(value) -> Column:
+    """A part of a message; a missing one is called None, so that the message survives."""
+    return F.coalesce(_col(value).cast("string"), F.lit("None"))
+
+
 def preview(text, length=200) -> Column:
     """The first characters, with dots when something was cut."""
     text = _col(text)

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from custodia import constants as C
-from custodia.functions.text import cut
+from custodia.functions.text import cut, named
 from custodia.operators.trailing import trailing_counts
 from custodia.session import union
 
@@ -36,7 +36,7 @@ def violation_to_alert(violations: DataFrame) -> DataFrame:
 
 def denial_to_alert(denials: DataFrame, user="username", reason="reason", query="query") -> DataFrame:
     """Every denial raises a MEDIUM alert."""
-    role, domain = F.col("role"), F.col("domain")
+    role, domain = named("role"), named("domain")
     default = F.concat(
         F.lit("Access denied for role '"), role, F.lit("' to domain '"), domain, F.lit("'")
     )
@@ -78,7 +78,7 @@ def excessive_alerts(counted: DataFrame, limit=C.MAX_DENIALS_PER_HOUR, user="use
         F.concat(
             F.lit("Excessive access denials detected: "), number, F.lit(" denials in last hour")
         ).alias("message"),
-        F.concat(number, F.lit(" denials in last hour for user "), F.col(user)).alias("description"),
+        F.concat(number, F.lit(" denials in last hour for user "), named(user)).alias("description"),
         F.lit(C.HIGH).alias("severity"),
         F.col("n_recent").alias("denial_count"),
     )

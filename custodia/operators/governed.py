@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from custodia import constants as C
 from custodia.functions.roles import with_general_role
-from custodia.functions.text import user_prompt
+from custodia.functions.text import named, user_prompt
 from custodia.operators import access, alerts, guardrails, retrieval
 from custodia.session import materialize, union
 
@@ -67,8 +67,8 @@ class ToolRun:
 
 def _reason(what, domain):
     return F.concat(
-        F.lit("Role '"), F.col("role"), F.lit("' (from department role '"), F.col("department_role"),
-        F.lit(f"') {what} '"), F.col(domain), F.lit("' domain"),
+        F.lit("Role '"), named("role"), F.lit("' (from department role '"), named("department_role"),
+        F.lit(f"') {what} '"), named(domain), F.lit("' domain"),
     )
 
 

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from custodia import constants as C
+from custodia.functions.text import named
 from custodia.operators import analytics
 from custodia.operators.alerts import ALERT_SCHEMA
 
@@ -62,23 +63,23 @@ def append_log(rows: DataFrame, path: str, ts="recorded_at") -> None:
 def access_line(user, role, domain, granted):
     status = F.when(granted, "GRANTED").otherwise("DENIED")
     return F.concat(
-        F.lit("ACCESS "), status, F.lit(" | User: "), user, F.lit(" | Role: "), role,
-        F.lit(" | Domain: "), domain,
+        F.lit("ACCESS "), status, F.lit(" | User: "), named(user), F.lit(" | Role: "), named(role),
+        F.lit(" | Domain: "), named(domain),
     )
 
 
 def pii_line(doc_id, kinds):
-    return F.concat(F.lit("PII DETECTED | Doc: "), doc_id, F.lit(" | Types: "), F.array_join(kinds, ", "))
+    return F.concat(F.lit("PII DETECTED | Doc: "), named(doc_id), F.lit(" | Types: "), F.array_join(kinds, ", "))
 
 
 def query_line(user, query, documents, seconds):
     # a line must stay one line
     shown = F.regexp_replace(F.substring(query, 1, 50), r"[\r\n]", " ")
     return F.concat(
-        F.lit("QUERY | User: "), user, F.lit(" | Query: "), shown, F.lit("... | Docs: "),
-        documents.cast("string"), F.lit(" | Duration: "),
+        F.lit("QUERY | User: "), named(user), F.lit(" | Query: "), named(shown), F.lit("... | Docs: "),
+        named(documents), F.lit(" | Duration: "),
         # half-even, as the log writer formats
-        F.call_function("format_number", seconds, F.lit("0.00")), F.lit("s"),
+        named(F.call_function("format_number", seconds, F.lit("0.00"))), F.lit("s"),
     )
 
 

@@ -1,9 +1,11 @@
 """Cases in which a gap would let something pass."""
 
 import pandas as pd
+from pyspark.sql import functions as F
 
 from custodia.functions import entities, plugins
-from custodia.operators import guardrails, retrieval
+from custodia.operators import alerts, governed, guardrails, retrieval
+from custodia.sources import logs
 
 
 def test_a_missing_or_unknown_role_is_searched(rows):
@@ -43,3 +45,27 @@ def test_a_repeated_document_id_gives_one_row_per_hit(rows):
     assert sorted((r["query_id"], r["item_id"], r["domain"]) for r in domains) == [(7, 1, "finance"), (7, 2, "public"), (8, 1, "finance")]
     texts = retrieval.with_documents(hits, corpus, "domain", "content").collect()
     assert sorted((r["query_id"], r["domain"], r["content"]) for r in texts) == [(7, "finance", "w"), (7, "public", "z"), (8, "finance", "w")]
+
+
+def test_denials_of_unknown_users_are_logged_and_told(rows):
+    df = rows("username string, role string, domain string, request_id long, micros long, ts timestamp, session_id string, reason string,"
+              "query string, n long, seconds double", (None, None, None, 1, 0, None, None, None, None, None, None), ("u", "guest", "hr", 2, 1, None, "s", "", "q", 2, 0.5))
+    line = logs.access_line(F.col("username"), F.col("role"), F.col("domain"), F.lit(False))
+    assert [r[0] for r in df.select(line).collect()] == [
+        "ACCESS DENIED | User: None | Role: None | Domain: None", "ACCESS DENIED | User: u | Role: guest | Domain: hr"]
+    asked = logs.query_line(F.col("username"), F.col("query"), F.col("n"), F.col("seconds"))
+    assert [r[0] for r in df.select(asked).collect()] == [
+        "QUERY | User: None | Query: None... | Docs: None | Duration: Nones", "QUERY | User: u | Query: q... | Docs: 2 | Duration: 0.50s"]
+    told = {r["user"]: (r["message"], r["description"]) for r in alerts.denial_to_alert(df).collect()}
+    assert told[None] == ("Access denied: Role 'None' attempted to access 'None' domain", "Access denied for role 'None' to domain 'None'")
+    many = {r["user"]: r["description"] for r in alerts.excessive_denials(df, 1).collect()}
+    assert many == {None: "1 denials in last hour for user None", "u": "1 denials in last hour for user u"}
+    named = df.withColumn("department_role", F.lit(None).cast("string")).select(governed._reason("may not read", "domain").alias("r"))
+    assert all(r["r"] for r in named.collect())
+
+
+def test_a_parsed_line_keeps_an_unknown_user(rows):
+    made = rows("user string, role string, domain string", (None, "guest", None))
+    line = logs.log_file_line(F.timestamp_seconds(F.lit(0)), logs.access_line(F.col("user"), F.col("role"), F.col("domain"), F.lit(False)))
+    parsed = logs.parse_audit_log(made.select(line.alias("value"))).first()
+    assert (parsed["kind"], parsed["user"], parsed["role"], parsed["domain"]) == ("access", "None", "guest", "None")
