@@ -149,8 +149,7 @@ def stream_cache_sessions(spark, sf_dir):
     out, work = _paths(spark, "sessions")
     touched = _requests(spark, sf_dir).select(F.md5(F.concat("event_type", "query")).alias("fingerprint"), "ts")
     _finish(flows.append_files(flows.cache_sessions(touched), out, work))
-    accesses = T.requests(spark, sf_dir).select(F.md5(F.concat("event_type", "query")).alias("fingerprint"), "ts")
-    return flows.with_open_sessions(spark.read.parquet(out), accesses).select(
+    return flows.with_open_sessions(spark.read.parquet(out), work).select(
         "fingerprint", stamp("session_start").alias("session_start"), "accesses", "hits"
     )
 

@@ -80,14 +80,19 @@ def cache_sessions(accesses: DataFrame, key="fingerprint", ts="ts", ttl_seconds=
     )
 
 
-def with_open_sessions(closed: DataFrame, accesses: DataFrame, key="fingerprint", ts="ts",
-                       ttl_seconds=C.CACHE_TTL_SECONDS) -> DataFrame:
-    """What a stream has closed, and, once its input has ended, the sessions still open then.
-
-    ``accesses`` is the whole input as a batch."""
-    every = cache_sessions(accesses, key, ts, ttl_seconds)
-    still = every.join(closed.select(key, "session_start"), [key, "session_start"], "left_anti")
-    return union(closed, still.select(*closed.columns))
+def open_sessions(spark: SparkSession, work: str, key="fingerprint") -> DataFrame:
+    """The sessions that a stream of ``cache_sessions`` has not closed yet, read from its state as last committed."""
+    held = spark.read.format("statestore").load(f"{work}/checkpoint")
+    return held.select(
+        F.col(f"value.{key}").alias(key), F.col("value.session_window.start").alias("session_start"),
+        F.col("value.session_window.end").alias("session_end"), F.col("value.count").alias("accesses"),
+        (F.col("value.count") - 1).alias("hits"),
+    )
+
+
+def with_open_sessions(closed: DataFrame, work: str, key="fingerprint") -> DataFrame:
+    """What a stream has closed, and the sessions still open in its state; the input is not read again."""
+    return union(closed, open_sessions(closed.sparkSession, work, key).select(*closed.columns))
 
 
 def redaction(documents: DataFrame, terms=None) -> DataFrame:

@@ -8,7 +8,7 @@ import time
 import pytest
 from custodia.operators import alerts, guardrails
 from custodia.sources import logs
-from custodia.streaming import limits
+from custodia.streaming import flows, limits
 from pyspark.sql import functions as F
 
 SECOND = 1_000_000
@@ -145,3 +145,26 @@ def test_string_ids(spark, tmp_path):
     limits.stream_rate_limit(spark.readStream.schema(df.schema).parquet(path), out, str(tmp_path / "work"), 9, 9).awaitTermination()
     got = {r["request_id"]: r["n_global"] for r in spark.read.parquet(out).collect()}
     assert got == {None: 1, "a": 2, "b": 3, "é": 4}
+
+
+def test_open_sessions_come_from_the_state(spark, arriving, tmp_path):
+    """Closed and open sessions together are those of all accesses, batch by batch, without reading the input."""
+    requests = some_requests(6, 120, hours=20, users=("a", "b", "c"))
+    out, work = str(tmp_path / "out"), str(tmp_path / "work")
+    for upto in (60, 120):
+        stream = arriving(requests[upto - 60 : upto - 30], requests[upto - 30 : upto])
+        sessions = flows.cache_sessions(stream.select(F.col("username").alias("fingerprint"), "ts"), ttl_seconds=600)
+        flows.append_files(sessions, out, work).awaitTermination()
+        closed = spark.read.parquet(out)
+        still = flows.open_sessions(spark, work)
+        assert 0 < still.count() < closed.count()
+        every = flows.with_open_sessions(closed, work)
+        runs = {}
+        for _, user, t in requests[:upto]:
+            mine = runs.setdefault(user, [])
+            if mine and t - mine[-1][1] <= 600 * SECOND:
+                mine[-1][1:] = [t, mine[-1][2] + 1]
+            else:
+                mine.append([t, t, 1])
+        want = sorted((u, n, n - 1) for u, mine in runs.items() for _, _, n in mine)
+        assert sorted((r["fingerprint"], r["accesses"], r["hits"]) for r in every.collect()) == want
