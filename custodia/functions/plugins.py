@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from custodia import constants as C
 from custodia.operators import access
 from custodia.operators.analytics import compliance_report
-from custodia.functions import masking, roles
+from custodia.functions import entities, masking, roles
 from custodia.operators.alerts import filter_alerts
 from custodia.operators.retrieval import assemble_context
 
@@ -74,6 +74,26 @@ def entity_recognizer(function):
     return recognize
 
 
+def register_entity_table(spark, function=None, name="entity_spans") -> None:
+    """A table function for SQL, to be joined laterally: ``FROM texts, LATERAL entity_spans(content)``.
+
+    Its rows are those of ``entities.span_table``: what the rules find, and with ``function``, a model as for
+    ``entity_recognizer``, what the model finds."""
+    names = ("entity", "value", "start", "end", "score")
+
+    class EntitySpans:
+        def eval(self, text: str):
+            if text is None:
+                return
+            findings = function(pd.Series([text]))[0] if function else []
+            told = [dict(zip(names, (*f, None, None, None))) for f in findings]
+            for start, end, kind, score in entities.sweep(entities.rule_spans(text) + entities.model_spans(text, told)):
+                yield start, end, kind, score, text[start:end]
+
+    spans = F.udtf(EntitySpans, returnType="start int, end int, entity string, score double, value string", useArrow=True)
+    spark.udtf.register(name, spans)
+
+
 def capitalised_pairs(texts):
     """Stands in for a name model: pairs of capitalised words, with their places."""
     pattern = re.compile("[A-Z][a-z]+ [A-Z][a-z]+")

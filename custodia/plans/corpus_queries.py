@@ -361,6 +361,7 @@ def output_gate(spark, sf_dir):
     return gated.select("rid", "violation_type", "severity", "is_safe", "description")
 
 
+_NAMES = ("PERSON", 0.85, "[A-Z][a-z]+ [A-Z][a-z]+")
 _MARKED = """marked AS (SELECT id, content || ' (DE89 3704 0044 0532 0130 00) card 3782 822463 10005 ' || id || ', ' || id
       || '.20.30.40@mail' || id || '.example' AS content FROM corpus)"""
 
@@ -386,7 +387,14 @@ def entity_spans(spark, sf_dir):
     return E.span_table(_marked(spark, sf_dir), "id").select("id", "start", "end", "entity")
 
 
-_NAMES = ("PERSON", 0.85, "[A-Z][a-z]+ [A-Z][a-z]+")
+@query("entity_table", with_views("corpus", f"""SELECT k AS id, s::INT AS start, e::INT AS "end", kind AS entity FROM
+    ({visible_spans('marked', 'id', 'content', [_NAMES])})""", _MARKED))
+def entity_table(spark, sf_dir):
+    """The spans of rules and a model by a SQL call of the table function."""
+    plugins.register_entity_table(spark, plugins.capitalised_pairs)
+    return spark.sql(
+        "SELECT id, s.start, s.end, s.entity FROM {docs}, LATERAL entity_spans(content) AS s",
+        docs=_marked(spark, sf_dir))
 
 
 @query("mask_recognized", with_views("corpus", f"""SELECT k AS id, masked AS content FROM

@@ -175,6 +175,22 @@ def test_spans_of_rules_and_models_meet(rows):
     assert {r["i"]: r["entity_count"] for r in gated.collect()} == {1: 3, 2: 0, 3: 0, 4: 2, 5: 1}
 
 
+def test_the_table_function_gives_the_rows_of_the_span_table(spark, rows):
+    df = rows("i int, content string", *enumerate([t for t, _, _ in ENTITY_CASES]), (90, None), (91, "Ann Lee 123-45-6789 Ann"))
+    df.createOrReplaceTempView("some_texts")
+
+    def model(texts):
+        return [[("PERSON", "Ann Lee", 0, 7, 0.9), ("PERSON", "Ann")] if "Ann" in t else [] for t in texts]
+
+    plugins.register_entity_table(spark, model, "spans_of")
+    got = spark.sql("SELECT i, s.* FROM some_texts, LATERAL spans_of(content) AS s").collect()
+    want = E.span_table(df, "i", recognizer=plugins.entity_recognizer(lambda texts: model([t or "" for t in texts]))).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+    plugins.register_entity_table(spark, name="rules_of")
+    got = spark.sql("SELECT i, s.* FROM some_texts, LATERAL rules_of(content) AS s").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, E.span_table(df, "i").collect()))
+
+
 def painted(length, spans):
     """Which span each character belongs to, by painting the worst first."""
     out = [None] * length
