@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from custodia import constants as C
 from custodia.functions import text
-from custodia.operators import access, alerts, analytics, guardrails
+from custodia.operators import access, alerts, analytics, guardrails, lifetimes
 from custodia.operators.order_stats import order_statistics
 from custodia.plans.registry import query
 from custodia.plans.sql_views import text as lit
@@ -373,6 +373,20 @@ def cache_stats(spark, sf_dir):
     return analytics.cache_stats(_cache_keys(spark, sf_dir))
 
 
+@query("fixed_lifetime_hits", with_views("requests", """
+    SELECT * FROM (WITH RECURSIVE moments AS MATERIALIZED (SELECT event_type, micros AS t, count(*) AS n FROM requests GROUP BY ALL),
+      nexts AS MATERIALIZED (SELECT a.event_type, a.t, min(b.t) AS next FROM moments a JOIN moments b
+        ON b.event_type = a.event_type AND b.t > a.t + 3600000000 GROUP BY ALL),
+      sets AS (SELECT event_type, min(t) AS t FROM moments GROUP BY event_type
+        UNION ALL SELECT s.event_type, x.next FROM sets s JOIN nexts x ON x.event_type = s.event_type AND x.t = s.t)
+      SELECT m.event_type, accesses, accesses - misses AS hits, misses
+      FROM (SELECT event_type, sum(n)::BIGINT AS accesses FROM moments GROUP BY event_type) m
+      JOIN (SELECT event_type, count(*) AS misses FROM sets GROUP BY event_type) USING (event_type))"""))
+def fixed_lifetime_hits(spark, sf_dir):
+    """One entry per event type: few keys, each of them hot."""
+    return lifetimes.fixed_lifetime_hits(T.requests(spark, sf_dir).select("event_type", "micros"), "event_type")
+
+
 @query("retain_last_n", with_views("violations", """
     SELECT violation_id, severity FROM violations ORDER BY recorded_at DESC, violation_id DESC LIMIT 1000"""))
 def retain_last_n(spark, sf_dir):
