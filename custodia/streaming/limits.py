@@ -1,10 +1,12 @@
 """Live limits: trailing counts of a stream with keyed state.
 
-A key is dealt to some places. A row is remembered in one of them, by its hash, and asks all of them how many
-rows of its key came before it within the width; the answers are summed per micro-batch. So no place holds
-more than its share of a hot key, a micro-batch reads and writes the state of its own keys only, and the rest
-stays in the state store. A place forgets rows that no row within the lateness can ask for, and itself when
-the watermark has passed the last of them.
+A key's time is cut into slices, some widths long, and a slice is dealt to some places. A row is remembered in
+one place of its slice, by its hash, and asks all places of it, and of the slice before where its width reaches
+back so far, how many rows of its key came before it within the width; the answers are summed per micro-batch.
+So no place holds more than its share of a slice of a hot key, nor meets more rows than those of two slices at
+once, however long the log of a micro-batch is. A micro-batch reads and writes the state of its own slices only,
+and the rest stays in the state store. A place forgets rows that no row within the lateness can ask for, and
+itself when the watermark has passed the last of them.
 
 A late row is judged at its own time, by what is remembered then; the watermark only clears state, no row
 is dropped for it.
@@ -12,8 +14,7 @@ is dropped for it.
 ``recent`` gives the same answers from a stored past; it is quicker where a whole log is replayed in few
 large micro-batches, this one where small ones arrive all day."""
 
-import bisect
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,87 +25,102 @@ from custodia import constants as C
 from custodia.operators import alerts
 from custodia.session import materialize, scratch
 
-PLACES = 4  # of a key
+PLACES, SLICE_WIDTHS = 4, 120  # of a slice of a key that all rows share; the length of a slice
+USER_PLACES, USER_SLICE_WIDTHS = 1, 720  # a place costs more than its rows, and most users have few
 _SECOND = 1_000_000
 _AHEAD_DAYS = 36_500  # the event time that Spark sees lies ahead, and its delay is longer by as much: no row is late
+_SENT = ["t", "untied", "tie", "rid", "counted", "own", "row"]
 _STAMP = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
 
 
-def _rows(stream, keys, micros, tie, counted):
+def _rows(stream, keys, micros, tie, counted, kind):
+    known = F.col(tie).cast(kind)
     return stream.select(
         F.to_json(F.struct(*stream.columns), _STAMP).alias("row"),
         F.to_json(F.struct(F.lit(0), *[F.col(k) for k in keys])).alias("key"),
-        F.col(micros).alias("t"), F.col(tie).cast("string").alias("tie"),
+        F.col(micros).alias("t"), F.coalesce(known, F.lit(0 if kind == "long" else "")).alias("tie"), known.isNull().alias("untied"),
         (F.lit(True) if counted is None else F.coalesce(counted, F.lit(False))).alias("counted"),
     ).withColumn("rid", F.xxhash64("row"))
 
 
-def _asked(rows, places, lateness_seconds):
-    """One message per row and place; the row itself travels to its own place only."""
+def _asked(rows, places, width, length, lateness_seconds):
+    """One message per row, slice asked and place; the row itself travels to its own place only."""
     ahead = F.timestamp_micros("t") + F.make_dt_interval(F.lit(_AHEAD_DAYS))
     rows = rows.withColumn("seen", ahead).withWatermark("seen", f"{_AHEAD_DAYS * 86_400 + lateness_seconds} seconds")
-    sent = rows.withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(places - 1))))
-    own = F.col("place") == F.pmod("rid", F.lit(places))
-    return sent.select("key", "place", "t", "tie", "rid", "counted", "seen", own.alias("own"), F.when(own, F.col("row")).alias("row"))
-
-
-def _sortable(tie):
-    return (tie is not None, 0 if tie is None else tie)
+    into = F.pmod("t", F.lit(length))
+    here = F.col("t") - into
+    asked = F.when(into < width - 1, F.array(here, here - length)).otherwise(F.array(here))
+    sent = rows.withColumn("slice", F.explode(asked))
+    sent = sent.withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(places - 1))))
+    own = (F.col("place") == F.pmod("rid", F.lit(places))) & (F.col("slice") == here)
+    return sent.select(
+        "key", "slice", "place", "t", "tie", "untied", "rid", "counted", "seen", own.alias("own"), F.when(own, F.col("row")).alias("row"))
+
+
+def _ranked(t, untied, tie, rid):
+    """The ranks of rows by time, tie (null first) and hash, equal rows sharing one; and the first row of each rank."""
+    if tie.dtype == object:
+        tie = np.unique(tie, return_inverse=True)[1]
+    order = np.lexsort((rid, tie, ~untied, t))
+    new = np.ones(len(t), bool)
+    new[1:] = False
+    for column in (t, untied, tie, rid):
+        ordered = column[order]
+        new[1:] |= ordered[1:] != ordered[:-1]
+    ranks = np.empty(len(t), np.int64)
+    ranks[order] = np.cumsum(new) - 1
+    return ranks, order[new]
 
 
 def _answers(width, keep, whole):
     """The function of a place: answers to a micro-batch's messages, and what is remembered afterwards."""
+    kinds = np.int64, bool, np.int64 if whole else object, np.int64
 
     def run(key, parts, state):
         if state.hasTimedOut:
             state.remove()
             return
-        known = list(zip(*map(list, state.get))) if state.exists else []
-        known = [(t, _sortable(None if missing else tie), rid) for t, tie, missing, rid in known]
-        messages, rows, copies = {}, {}, {}
-        for part in parts:
-            for t, tie, rid, counted, own, row in zip(part["t"], part["tie"], part["rid"], part["counted"], part["own"], part["row"]):
-                place = (int(t), _sortable(int(tie) if whole and tie is not None else tie), int(rid))
-                messages[place] = (bool(own), bool(counted))
-                if own:
-                    rows[place] = row
-                    copies[place] = copies.get(place, 0) + 1
+        parts = [[part[c].to_numpy() for c in _SENT] for part in parts]
+        *sent, counted, own, row = (np.concatenate(c) for c in zip(*parts))
+        held = [np.array(list(c), kind) for c, kind in zip(state.get, kinds)] if state.exists else [c[:0] for c in sent]
+        placed = [np.concatenate(c).astype(kind) for c, kind in zip(zip(held, sent), kinds)]
+        ranks, at = _ranked(*placed)
+        times, known = placed[0][at], np.sort(ranks[: len(held[0])])
+        asking, first, copies = np.unique(ranks[len(held[0]) :], return_index=True, return_counts=True)
+        own, counted = own[first].astype(bool), counted[first].astype(bool)
         # copies of a row that came in an earlier micro-batch lie before it
-        again = {m: bisect.bisect_right(known, m) - bisect.bisect_left(known, m) for m in messages}
-        new = [m for m, (own, counted) in messages.items() if own and counted for _ in range(copies[m])]
-        known = sorted(known + new)
-        found = []
-        for m, (own, counted) in messages.items():
-            before = bisect.bisect_left(known, m) + again[m] - bisect.bisect_left(known, (m[0] - width + 1,))
-            found.append((m[2], before, copies.get(m, 0), counted, rows.get(m)))
-        yield pd.DataFrame(found, columns=["rid", "before", "copies", "counted", "row"]).astype({"row": object})
+        again = np.searchsorted(known, asking, "right") - np.searchsorted(known, asking)
+        new = np.where(own & counted, copies, 0)
+        known = np.sort(np.concatenate([known, np.repeat(asking, new)]))
+        within = np.searchsorted(times[known], times[asking] - width + 1)
+        before = np.searchsorted(known, asking) + again - within
+        yield pd.DataFrame({
+            "rid": placed[3][at[asking]], "before": before, "copies": np.where(own, copies, 0), "counted": counted,
+            "row": pd.Series(np.where(own, row[first], None), dtype=object)})
         # what a row within the lateness may still ask for
-        newest = max(known[-1][0] if known else 0, max(m[0] for m in messages))
-        known = known[bisect.bisect_left(known, (newest - keep,)) :]
-        if not known:
+        newest = times[max(known[-1:].max(initial=0), asking[-1])]
+        known = known[np.searchsorted(times[known], newest - keep) :]
+        if not len(known):
             if state.exists:
                 state.remove()
             return
-        nothing = 0 if whole else ""
-        state.update((
-            [k[0] for k in known], [k[1][1] if k[1][0] else nothing for k in known],
-            [not k[1][0] for k in known], [k[2] for k in known],
-        ))
-        state.setTimeoutTimestamp(max((known[-1][0] + keep) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        state.update(tuple(c[at[known]].tolist() for c in placed))
+        state.setTimeoutTimestamp(max(int(times[known[-1]] + keep) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
 
     return run
 
 
 def trailing_answers(stream: DataFrame, keys, width_seconds: int, lateness_seconds: int, micros="micros", tie="request_id",
-                     counted=None, places=PLACES) -> DataFrame:
+                     counted=None, places=PLACES, slice_widths=SLICE_WIDTHS) -> DataFrame:
     """A stream of answers, to be summed by ``summed`` in each micro-batch."""
     kind = "long" if isinstance(stream.schema[tie].dataType, T.IntegralType) else "string"
-    rows = _rows(stream, keys, micros, tie, counted)
-    asked = _asked(rows.filter(F.col("t").isNotNull()), places, lateness_seconds)
-    answers = asked.groupBy("key", "place").applyInPandasWithState(
-        _answers(width_seconds * _SECOND, (width_seconds + lateness_seconds) * _SECOND, kind == "long"),
+    rows = _rows(stream, keys, micros, tie, counted, kind)
+    width = width_seconds * _SECOND
+    asked = _asked(rows.filter(F.col("t").isNotNull()), places, width, slice_widths * width, lateness_seconds)
+    answers = asked.groupBy("key", "slice", "place").applyInPandasWithState(
+        _answers(width, (width_seconds + lateness_seconds) * _SECOND, kind == "long"),
         "rid long, before long, copies long, counted boolean, row string",
-        f"times array<long>, ties array<{kind}>, nulls array<boolean>, rids array<long>",
+        f"times array<long>, nulls array<boolean>, ties array<{kind}>, rids array<long>",
         "append", GroupStateTimeout.EventTimeTimeout,
     )
     untimed = rows.filter(F.col("t").isNull())
@@ -164,7 +180,7 @@ class Chain:
 
 
 def stream_rate_limit(requests: DataFrame, out: str, work: str, per_minute=C.MAX_REQUESTS_PER_MINUTE,
-                      per_user_hour=C.MAX_REQUESTS_PER_USER_HOUR, lateness_seconds=600, places=PLACES, **trigger) -> Chain:
+                      per_user_hour=C.MAX_REQUESTS_PER_USER_HOUR, lateness_seconds=600, places=PLACES, user_places=USER_PLACES, **trigger) -> Chain:
     """Both rate limits on a request stream: requests with n_global, blocked_global, n_user, blocked_user.
 
     Two queries: the first judges the global limit, the second reads its result and counts the requests that
@@ -184,7 +200,7 @@ def stream_rate_limit(requests: DataFrame, out: str, work: str, per_minute=C.MAX
     def second():
         passed = spark.readStream.schema(judged).parquet(f"{work}/global").select(judged.names)
         recorded = ~F.col("blocked_global")
-        answers = trailing_answers(passed, ["username"], 3600, lateness_seconds, counted=recorded, places=places)
+        answers = trailing_answers(passed, ["username"], 3600, lateness_seconds, counted=recorded, places=user_places, slice_widths=USER_SLICE_WIDTHS)
 
         def write(batch):
             counted = summed(batch, judged, "n_user").withColumn("n_user", F.when(recorded, F.col("n_user")))
@@ -196,10 +212,10 @@ def stream_rate_limit(requests: DataFrame, out: str, work: str, per_minute=C.MAX
 
 
 def stream_excessive_denials(denials: DataFrame, out: str, work: str, limit=C.MAX_DENIALS_PER_HOUR,
-                             lateness_seconds=600, places=PLACES, **trigger):
+                             lateness_seconds=600, places=USER_PLACES, **trigger):
     """An alert for every denial, and one more for each beyond the hourly limit."""
     schema = denials.schema
-    answers = trailing_answers(denials, ["username"], 3600, lateness_seconds, places=places)
+    answers = trailing_answers(denials, ["username"], 3600, lateness_seconds, places=places, slice_widths=USER_SLICE_WIDTHS)
 
     def write(batch):
         counted = materialize(summed(batch, schema), "denials")  # read twice, the stream once

@@ -168,3 +168,30 @@ def test_open_sessions_come_from_the_state(spark, arriving, tmp_path):
                 mine.append([t, t, 1])
         want = sorted((u, n, n - 1) for u, mine in runs.items() for _, _, n in mine)
         assert sorted((r["fingerprint"], r["accesses"], r["hits"]) for r in every.collect()) == want
+
+
+def test_no_place_meets_more_than_two_slices_of_a_long_log(spark):
+    """All requests of one micro-batch share a key: the largest group does not grow with the log's length."""
+
+    def largest(hours):
+        rows = table(spark, [(i, "u", i * 20 * SECOND) for i in range(180 * hours)])
+        rows = limits._rows(rows, [], "micros", "request_id", None, "long")
+        asked = limits._asked(rows, 2, 60 * SECOND, 1800 * SECOND, 600)
+        groups = asked.groupBy("key", "slice", "place").agg(F.count("*").alias("n"), F.sum(F.col("own").cast("int")).alias("own"))
+        assert groups.agg(F.sum("own")).first()[0] == 180 * hours  # every row has one place of its own
+        return groups.agg(F.max("n")).first()[0]
+
+    assert largest(2) == largest(8) == 90 + 3
+
+
+@pytest.mark.parametrize("slice_widths", [1, 2])
+def test_short_slices_count_across_their_ends(spark, arriving, tmp_path, slice_widths):
+    requests = some_requests(8, 300, hours=6)
+    out = str(tmp_path / "out")
+    stream = arriving(requests[:100], requests[100:])
+    answers = limits.trailing_answers(stream, ["username"], 3600, 600, places=2, slice_widths=slice_widths)
+    limits._per_batch(answers, lambda batch: limits.summed(batch, stream.schema), out, str(tmp_path / "work")).awaitTermination()
+    want = []
+    for i, u, t in requests:
+        want.append((i, sum(v == u and t - 3600 * SECOND < s and (s, j) <= (t, i) for j, v, s in requests)))
+    assert found(spark.read.parquet(out), "request_id", "n_recent") == sorted(want, key=repr)
