@@ -1,9 +1,11 @@
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -342,3 +344,21 @@ def test_hybrid_with_string_ids(rows):
     assert [(r["item_id"], r["retrieval_method"]) for r in sorted(out, key=lambda r: r["rank"])] == [
         ("a", "semantic-pinecone"), ("b", "hybrid"),
     ]
+
+
+@pytest.mark.parametrize("metric", ["cosine", "dot", "l2"])
+def test_scoring_a_block_keeps_few_scores_at_once(metric):
+    """A task's memory follows its block of queries: 20 million scores are made, 1 million at a time."""
+    rng = np.random.default_rng(1)
+    queries, items = rng.normal(size=(2000, 8)), rng.normal(size=(10_000, 8))
+    items[:3], items[3, 0] = 0, np.nan
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(10_000)), pa.array(items.tolist(), pa.list_(pa.float64()))], ["id", "vec"])
+    tracemalloc.start()
+    found = topk._score_batches([batch], np.arange(2000), queries, 3, metric, ("long", "long"))
+    assert tracemalloc.get_traced_memory()[1] < 60 << 20
+    tracemalloc.stop()
+    if metric == "cosine":
+        sizes = np.linalg.norm(queries[:20], axis=1)[:, None] * np.linalg.norm(items, axis=1)
+        scores = np.divide(queries[:20] @ items.T, sizes, out=np.zeros((20, 10_000)), where=sizes > 0)
+        want = np.lexsort((np.broadcast_to(np.arange(10_000), scores.shape), -np.round(scores, 9)))[:, :3]
+        assert found.column("item_id").to_numpy()[:60].reshape(20, 3).tolist() == want.tolist()
